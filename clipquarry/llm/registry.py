@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, pii, toxicity
+from . import jpeg, minhash, mixing, packing, pii, preferences, quality, suffix, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {
+        "op1_jpeg": jpeg.query,
         "op2_pii": pii.query,
         "op3_minhash": minhash.query,
+        "op4_repeats": suffix.query,
+        "op5_preferences": preferences.query,
+        "op6_vectors": vectors.query,
         "op7_toxicity": toxicity.query,
+        "op8_quality": quality.query,
         "op9_packing": packing.query,
         "op10_mixing": mixing.query,
         "pipeline": corpus_pipeline.run,
@@ -25,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op10_mixing": mixing.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op5_preferences": preferences.SQL, "op10_mixing": mixing.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
