@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import scores
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_MODULES = (scores,)
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: q for m in _MODULES for k, q in m.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in _MODULES for k, q in m.oracles.items()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return queries()["score_priority"](spark, sf_dir)
