@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import scores
+from .plans import interval_queries, scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_MODULES = (scores,)
+_MODULES = (interval_queries, scores)
 
 
 def queries() -> dict[str, Query]:
@@ -23,4 +23,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["score_priority"](spark, sf_dir)
+    return queries()["golden_recall_precision"](spark, sf_dir)
