@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import interval_queries, scores
+from .plans import interval_queries, scores, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_MODULES = (interval_queries, scores)
+_MODULES = (interval_queries, scores, text_queries)
 
 
 def queries() -> dict[str, Query]:
