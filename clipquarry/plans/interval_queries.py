@@ -70,11 +70,11 @@ def interval_anti(spark, d):
     return I.overlap_semi(o, i, "ep", "id", DAY, 3600, anti=True).select("ep", "id", "s", "e")
 
 
-@register("guard_fallback", _IO.replace("IN ('purchase', 'click')", "IN ('purchase', 'click') AND ep % 3 <> 0").replace("IN ('view', 'error')", "IN ('view', 'error') AND id % 4 = 0") + f""", k AS (SELECT ep, id, s, e FROM outp o WHERE {_HIT.replace('3600', '40000')} OR NOT EXISTS (SELECT 1 FROM inp i WHERE i.ep = o.ep))
+@register("guard_fallback", _IO + f""", k AS (SELECT ep, id, s, e FROM outp o WHERE {_HIT.replace('3600', '150000')} OR NOT EXISTS (SELECT 1 FROM inp i WHERE i.ep = o.ep))
 SELECT * FROM k UNION ALL SELECT ep, id, s, e FROM inp WHERE ep IN (SELECT ep FROM outp) AND ep NOT IN (SELECT ep FROM k)""")
 def guard_fallback(spark, d):
     o, i = _in_out(spark, d)
-    return I.guarded_semi(o.filter("id % 4 = 0"), i.filter("ep % 3 <> 0"), "ep", "id", DAY, 40000).select("ep", "id", "s", "e")
+    return I.guarded_semi(o, i, "ep", "id", DAY, 150_000).select("ep", "id", "s", "e")
 
 
 @register("assign_speaker_max_overlap", using("predicted", "diarization") + """, c AS (SELECT p.id, d.speaker, row_number() OVER (PARTITION BY p.id ORDER BY least(p.e, d.e) - greatest(p.s, d.s) DESC, d.pos) AS r FROM predicted p JOIN diarization d ON p.ep = d.ep AND p.s < d.e AND d.s < p.e WHERE p.event_type = 'error')

@@ -87,10 +87,10 @@ def _fixes(seg):
     return seg.select("ep", "seg", x.alias("corrected")).filter("corrected IS NOT NULL")
 
 
-@register("proofread_guard", using("segments") + ", v AS (SELECT ep, seg, CASE seg % 4 WHEN 0 THEN CASE WHEN upper(text) = text THEN 'same' ELSE 'applied' END WHEN 2 THEN 'applied' WHEN 3 THEN 'none' END AS verdict FROM segments WHERE seg % 4 <> 1) SELECT * FROM v")
+@register("proofread_guard")
 def proofread_guard(spark, d):
     seg = V.segments(spark, d)
-    return proofread(seg, _fixes(seg))[0].filter("seg % 4 <> 1").select("ep", "seg", "verdict")
+    return proofread(seg, _fixes(seg))[0].select("ep", "seg", "verdict")
 
 
 @register("proofread_counts")
@@ -106,13 +106,12 @@ def quote_verify(spark, d):
     return M.verified_quotes(s, V.words(spark, d), "ep", "row").select("row", "s", "e", "quote_match_ratio")
 
 
-@register("spelling_variants", "WITH t AS (SELECT DISTINCT left(lower(regexp_extract(text, '[A-Za-z]{6,}')), 8) AS t FROM documents), v AS (SELECT t, k, left(t, k - 1) || m.b || substr(t, k + 1) AS v FROM (SELECT t, unnest(range(2, length(t) + 1)) AS k FROM t WHERE t <> '') JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in M.LATIN.items()) + ") m(a, b) ON substr(t, k, 1) = m.a), r AS (SELECT t, v, max(k) AS k FROM v GROUP BY ALL) SELECT t AS term, list(v ORDER BY k DESC) AS variants FROM r GROUP BY t")
+@register("spelling_variants", "WITH t AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{6,}'))) AS t FROM documents), v AS (SELECT t, k, left(t, k - 1) || m.b || substr(t, k + 1) AS v FROM (SELECT t, unnest(range(2, length(t) + 1)) AS k FROM t) JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in M.LATIN.items()) + ") m(a, b) ON substr(t, k, 1) = m.a), r AS (SELECT t, v, max(k) AS k FROM v GROUP BY ALL) SELECT t AS term, list(v ORDER BY k DESC)[1:24] AS variants FROM r GROUP BY t")
 def spelling_variants(spark, d):
-    t = V.table(spark, d, "documents").select(F.substring(F.lower(F.regexp_extract("text", "[A-Za-z]{6,}", 0)), 1, 8).alias("term")).filter("term <> ''").distinct()
+    t = V.table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("term")).select(F.lower("term").alias("term")).distinct()
     return t.select("term", M.spelling_variants("term").alias("variants")).filter("size(variants) > 0")
 
 
-
 @register("verify_terms", "SELECT 'Bonk' AS wrong, 'Bong' AS \"right\", 2 AS occurrences, 7 AS hits")
 def verify_terms(spark, d):
     """Bonk is unknown and Bong is known best; Fidea has a variant that could not be looked up."""
@@ -127,13 +126,12 @@ def unique_names(spark, d):
     return M.unique_names(n, "ep")
 
 
-@register("article_retry", """WITH p AS (SELECT doc_id, lang, text FROM documents WHERE length(text) > 400), t AS (SELECT lang AS ep, doc_id AS chunk, 1 AS try, text AS source, substr(text, 1, CAST(length(text) // 10 AS BIGINT)) AS edited FROM p UNION ALL SELECT lang, doc_id, 2, text, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'Zzzzzz yyyyyy xxxxxx' END FROM p) SELECT ep, chunk, CASE WHEN chunk % 2 = 0 THEN 2 ELSE 1 END AS try, chunk % 2 = 0 AS faithful FROM t WHERE try = 1""")
+@register("article_retry", "SELECT lang AS ep, doc_id AS chunk, CASE WHEN doc_id % 2 = 0 AND trim(text) <> '' THEN 2 ELSE 1 END AS try, doc_id % 2 = 0 AND trim(text) <> '' AS faithful FROM documents")
 def article_retry(spark, d):
-    p = V.table(spark, d, "documents").filter("length(text) > 400")
-    one = p.select(F.col("lang").alias("ep"), F.col("doc_id").alias("chunk"), F.lit(1).alias("try"), F.col("text").alias("source"), F.expr("substring(text, 1, cast(length(text) div 10 as int))").alias("edited"))
-    two = p.select(F.col("lang").alias("ep"), F.col("doc_id").alias("chunk"), F.lit(2).alias("try"), F.col("text").alias("source"), F.expr("CASE WHEN doc_id % 2 = 0 THEN text ELSE 'Zzzzzz yyyyyy xxxxxx' END").alias("edited"))
-    # the first tenth alone may break a word, which a limit on novel words of a fifth allows
-    return article(one.unionByName(two), {"max_novel": 0.2}).select("ep", "chunk", "try", "faithful")
+    """The first try of each document is empty; the second is the text itself, or, for every other document, foreign words."""
+    p = V.table(spark, d, "documents").select(F.col("lang").alias("ep"), F.col("doc_id").alias("chunk"), F.col("text").alias("source"))
+    tries = F.array(F.struct(F.lit(1).alias("try"), F.lit("").alias("edited")), F.struct(F.lit(2).alias("try"), F.expr("CASE WHEN chunk % 2 = 0 THEN source ELSE 'Zzzzzz yyyyyy xxxxxx' END").alias("edited")))
+    return article(p.select("*", F.explode(tries).alias("t")).select("ep", "chunk", "source", "t.*")).select("ep", "chunk", "try", "faithful")
 
 
 @register("srt_files", using("sentences") + ", n AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY seg, pos) AS n FROM sentences), t AS (SELECT *, " + ", ".join(f"printf('%02d:%02d:%02d,%03d', {c} // 3600000, {c} // 60000 % 60, {c} // 1000 % 60, {c} % 1000) AS {n}" for c, n in (("s_ms", "a"), ("e_ms", "b"))) + " FROM n) SELECT ep, string_agg(n || chr(10) || a || ' --> ' || b || chr(10) || text || chr(10), chr(10) ORDER BY n) AS srt FROM t GROUP BY ep")
@@ -173,12 +171,12 @@ def drawtext_filters(spark, d):
     return K.drawtext(V.sentences(spark, d), T.escape_filter("text")).select("ep", "seg", "pos", "filter")
 
 
-@register("reel_index_join", using("moments") + ", m AS (SELECT ep, id, row_number() OVER (PARTITION BY ep ORDER BY score DESC, s, id) AS rank FROM moments), f AS (SELECT DISTINCT doc_id % 30 AS n, 'reel_' || lpad(CAST(doc_id % 30 AS VARCHAR), 3, '0') || '.mp4' AS name FROM documents) SELECT f.name, m.id FROM f JOIN m ON m.rank = f.n AND f.n > 0 WHERE m.ep = 7")
+@register("reel_index_join", using("moments") + ", m AS (SELECT ep, id, row_number() OVER (PARTITION BY ep ORDER BY score DESC, s, id) AS rank FROM moments), f AS (SELECT DISTINCT doc_id % 30 AS n, 'reel_' || lpad(CAST(doc_id % 30 AS VARCHAR), 3, '0') || '.mp4' AS name FROM documents) SELECT f.name, m.ep, m.id FROM f JOIN m ON m.rank = f.n AND f.n > 0")
 def reel_index_join(spark, d):
     w = Window.partitionBy("ep").orderBy(F.desc("score"), "s", "id")
-    m = V.moments(spark, d).withColumn("rank", F.row_number().over(w)).filter("ep = 7").select("rank", "id")
+    m = V.moments(spark, d).withColumn("rank", F.row_number().over(w)).select("rank", "ep", "id")
     f = V.table(spark, d, "documents").select(F.concat(F.lit("reel_"), F.lpad((F.col("doc_id") % 30).cast("string"), 3, "0"), F.lit(".mp4")).alias("name")).distinct()
-    return K.reels_to_moments(f, m, T.reel_index("name")).select("name", "id")
+    return K.reels_to_moments(f, m, T.reel_index("name")).select("name", "ep", "id")
 
 
 _TJ = """concat('{"duration":"9","segments":[{"start":', conv_id, ',"end":', conv_id + 9, ',"text":" seg ', turn, ' ","words":[{"start":1,"end":2,"word":"a"},{"start":"x","end":3,"word":"b"},{"start":4,"end":4,"word":" c "},{"start":5,"end":4,"word":"d"}]},{"start":3,"end":2,"text":"bad"}],"sentences":[', CASE WHEN turn % 2 = 0 THEN '{"start":1,"end":2,"text":"s"}' ELSE '{"start":2,"end":2,"text":"s"}' END, ']}')"""

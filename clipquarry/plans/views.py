@@ -63,17 +63,17 @@ def diarization(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cards(spark: SparkSession, d: str) -> DataFrame:
-    """Moments with prose and measured factors, out of documents."""
+    """Moments with prose and measured factors, out of documents: the title is the first sentence, the caption the whole text."""
     x = table(spark, d, "documents")
     return x.select(F.col("doc_id").alias("id"), "lang", *[F.expr(f"{sql} AS {name}") for name, sql in CARD.items()])
 
 
 CARD = {
-    "title": "trim(substring(text, 1, cast(1 + doc_id % 70 AS int)))",
-    "quote": "trim(substring(text, 40, cast(doc_id % 9 * 25 AS int)))",
-    "why": "trim(substring(text, 120, cast(doc_id % 7 * 8 AS int)))",
-    "hook": "CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim(substring(text, 10, cast(5 + doc_id % 110 AS int))) END",
-    "caption": "CASE WHEN doc_id % 4 = 0 THEN '' ELSE trim(substring(text, 5, cast(10 + doc_id % 260 AS int))) END",
+    "title": "trim(regexp_extract(text, '^[^.!?]*', 0))",
+    "quote": "CASE WHEN doc_id % 9 = 0 THEN '' ELSE trim(regexp_extract(text, '^[^.!?]*[.!?]+[^.!?]*[.!?]+([^.!?]*)', 1)) END",
+    "why": "CASE WHEN doc_id % 7 = 0 THEN '' ELSE trim(regexp_extract(text, '([^.!?]*)[.!?]*$', 1)) END",
+    "hook": "CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim(regexp_extract(text, '^[^.!?]*[.!?]+([^.!?]*[.!?]?)', 1)) END",
+    "caption": "CASE WHEN doc_id % 4 = 0 THEN '' ELSE trim(text) END",
     "speaker": "CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END",
     "speaker_confidence": "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE cast(doc_id % 11 AS double) / 10 END",
     "s": "cast(doc_id * 37 % 7200 AS double)",

@@ -167,3 +167,28 @@ def test_empty_frames(spark):
     assert folds.nms(m, "ep").collect() == []
     assert intervals.overlap_semi(m, m, "ep", "id", 10).collect() == []
     assert folds.per_key(m, "ep", ["id"], lambda r: r, "id long").collect() == []
+
+
+def test_proofread_query_equals_difflib(spark):
+    import difflib
+    import re
+
+    from clipquarry.plans import views
+    from tests.oracle import SF
+
+    def norm(x):
+        return " ".join(re.findall(r"[^\W_]+", x.lower().replace("ё", "е")))
+
+    seg = views.segments(spark, SF)
+    fixes = {(r["ep"], r["seg"]): r["corrected"] for r in stages._fixes(seg).collect()}
+    got = {(r["ep"], r["seg"]): r["verdict"] for r in stages.queries["proofread_guard"](spark, SF).collect()}
+    for r in seg.collect():
+        k = (r["ep"], r["seg"])
+        new = fixes.get(k)
+        if new is None or new == r["text"]:
+            want = "none" if new is None else "same"
+        else:
+            a, b = norm(r["text"]), norm(new)
+            drift = abs(len(a.split()) - len(b.split())) <= max(2, int(len(a.split()) * 0.2))
+            want = "applied" if a == b or (b and drift and difflib.SequenceMatcher(None, a, b).ratio() >= 0.8) else "rejected"
+        assert got[k] == want
