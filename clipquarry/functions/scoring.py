@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEFAULT_WEIGHTS = {"base": 1.0, "hook": 1.8, "readability": 1.2, "completeness": 1.0, "speaker": 0.6, "duration": 1.4, "mid_thought": 1.0, "quote": 0.8, "audio": 0.7, "speech_rate": 0.4}
+#: What each factor weighs in the priority, in tenths.
+_TENTHS = dict(audio=7, base=10, completeness=10, duration=14, hook=18, mid_thought=10, quote=8, readability=12, speaker=6, speech_rate=4)
+DEFAULT_WEIGHTS = {factor: tenths / 10 for factor, tenths in _TENTHS.items()}
 NEUTRAL = 0.5
 #: Words that open a hook well, in either language.
 HOOK_WORDS = r"(?iu)(?<![\p{L}\p{N}])(why|how|what|when|secret|mistake|truth|never|always|почему|как|что|когда|секрет|ошибка|правда|никогда|всегда)(?![\p{L}\p{N}])"
@@ -122,7 +124,9 @@ def clip_duration(lo: Column, hi: Column, s="s", e="e") -> Column:
 
 
 def audio_quality(energy="audio_energy_db", silence="audio_silence_ratio") -> Column:
-    loud, quiet = clip((col(energy) + 35) / 20) * 0.6, (1 - clip((clip(col(silence)) - 0.35) / 0.65)) * 0.4
+    loud = clip((col(energy) + 35) / 20) * 0.6
+    pauses = clip((clip(col(silence)) - 0.35) / 0.65)
+    quiet = 0.4 * (1 - pauses)
     weight = F.when(col(energy).isNull(), 0.0).otherwise(0.6) + F.when(col(silence).isNull(), 0.0).otherwise(0.4)
     total = F.coalesce(loud, F.lit(0.0)) + F.coalesce(quiet, F.lit(0.0))
     return F.when(weight > 0, fixed(total / F.nullif(weight, F.lit(0.0)))).otherwise(F.lit(NEUTRAL))
@@ -142,8 +146,8 @@ def mid_thought_penalty(title="title", quote="quote", why="why") -> Column:
     return _points((t.endswith("...") | t.endswith("—") | t.endswith("-"), 0.3), ((q != "") & (word_count(q) < 3), 0.15), ((w != "") & (word_count(w) < 4), 0.1))
 
 
-def weights(overrides: Mapping[str, object] | None = None) -> dict[str, float]:
-    """Defaults with those known keys replaced whose values are numbers."""
+def weights(overrides: Mapping[str, object] | None = None):
+    """The weights as a dict: defaults with those known keys replaced whose values are numbers."""
     out = dict(DEFAULT_WEIGHTS)
     for k, v in (overrides or {}).items():
         try:

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from .scoring import col
 
-KNOWN = ("start", "end", "title", "quote", "why", "score", "clip_type", "hook", "caption", "speaker", "hashtags", "source_chunk_ids", "selection_stage")
-LIST_KEYS = ("moments", "candidates", "results", "items", "clips")
+KNOWN = tuple("start end title quote why score clip_type hook caption speaker hashtags source_chunk_ids selection_stage".split())
+LIST_KEYS = tuple("moments candidates results items clips".split())
 
 
 def fields(payload: Column | str) -> Column:
@@ -76,11 +76,15 @@ def _over(below: Column, above: Column) -> Column:
     return F.map_concat(F.map_filter(below, lambda k, v: ~F.map_contains_key(above, k)), above)
 
 
+#: What a model says to itself first.
+THOUGHTS = re.compile(r"(?s)<(think)>.*?</\1>")
+
+
 def salvage(text: str | None) -> str | None:
     """The first JSON value of a reply as compact JSON: fences and prose around it go; a value cut short is closed at the last place where that gives JSON; None if there is none."""
     if not text:
         return None
-    t = re.sub(r"<think>.*?</think>", "", text, flags=re.S)
+    t = THOUGHTS.sub("", text)
     starts = [m.start() for m in re.finditer(r"[\[{]", t)]
     decoder = json.JSONDecoder()
     for s in starts:
@@ -143,9 +147,9 @@ def json_value(reply: Column | str) -> Column:
 def markdown_sections(text: str | None) -> list[tuple[str, list[str]]]:
     """(title, paragraphs) of the headings of a text; what looks like JSON and sections without a paragraph go."""
     out: list[tuple[str, list[str]]] = [("", [])]
-    block: list[str] = []
+    block: list = []
 
-    def flush() -> None:
+    def close_paragraph() -> None:
         p = " ".join(block).strip()
         block.clear()
         if p and not re.match(r'^[\[{}\]]|^"[^"]*"\s*:', p):
@@ -155,13 +159,13 @@ def markdown_sections(text: str | None) -> list[tuple[str, list[str]]]:
         s = raw.strip()
         head = re.match(r"^#{1,6}\s+(.*)$", s)
         if head:
-            flush()
+            close_paragraph()
             out.append((head.group(1).strip(), []))
         elif not s:
-            flush()
+            close_paragraph()
         else:
             block.append(s)
-    flush()
+    close_paragraph()
     return [x for x in out if x[1]]
 
 

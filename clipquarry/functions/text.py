@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .scoring import col, fixed
 
 TOKEN = r"[\p{L}\p{N}]+"
+STOPS = ".!?" + "。！？"
 
 
 def tokens(x: Column | str) -> Column:
@@ -26,7 +27,7 @@ def clean(x: Column | str) -> Column:
 
 def sentences(x: Column | str) -> Column:
     """Split after . ! ? (also the wide ones) and white space."""
-    return F.filter(F.split(clean(x), r"(?<=[.!?。！？])\s+"), lambda s: s != "")
+    return F.filter(F.split(clean(x), rf"(?<=[{STOPS}])\s+"), lambda s: s != "")
 
 
 def sentences_without_quotes(x: Column | str) -> Column:
@@ -202,7 +203,7 @@ def file_size(n: Column | str) -> Column:
     return F.when(x < 1024, F.concat(x.cast("string"), F.lit(" B"))).when(x < 1 << 20, F.format_string("%.1f KB", x / 1024)).otherwise(F.format_string("%.1f MB", x / (1 << 20)))
 
 
-# ---------------------------------------------------------------- time codes, from whole milliseconds
+# -- time codes, from whole milliseconds
 
 
 def _two(x: Column) -> Column:

@@ -43,7 +43,7 @@ def applied(segments: DataFrame, fixes: DataFrame, key: list[str]) -> DataFrame:
 
 def best_window(quote: str | None, said: list[str]) -> tuple[float, int, int]:
     """(ratio, first, end) of the run of as many words that is most like the quote; the first on a tie. All words if there are no more than the quote has."""
-    q = re.findall(r"[^\W_]+", (quote or "").lower().replace("ё", "е"))
+    q = re.findall(r"[^\W_]+", (quote or "").lower().translate({0x451: 0x435}))
     n = len(q)
     if not n or not said:
         return 0.0, 0, 0

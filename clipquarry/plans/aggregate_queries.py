@@ -22,7 +22,7 @@ def register(name, sql=None):
     return add
 
 
-_MIX = {"story": 2, "reel": 3, "long_reel": 1, "highlight": 5}
+_MIX = dict(story=2, reel=3, long_reel=1, highlight=5)
 
 
 @register("quota_apportion", """WITH e AS (SELECT DISTINCT 60 + event_id * 7 % 36000 AS sec FROM events), t AS (SELECT sec, greatest(1, CAST(round_even(sec::DOUBLE * 11 / 3600, 0) AS BIGINT)) AS total FROM e),

@@ -176,7 +176,7 @@ def nms_dedupe(spark, d):
 @register("rank_greedy")
 def rank_greedy(spark, d):
     rows = V.moments(spark, d).withColumn("value", F.col("score").cast("double"))
-    return O.per_key(rows, "ep", ["id"], lambda r: O.ranked(r, {"story": 2, "reel": 3, "long_reel": 1, "highlight": 5}, total=14), "id long, rank long, bucket string, s long, e long")
+    return O.per_key(rows, "ep", ["id"], lambda r: O.ranked(r, dict(story=2, reel=3, long_reel=1, highlight=5), total=14), "id long, rank long, bucket string, s long, e long")
 
 
 _B = "CASE clip_type WHEN 'story' THEN 2 WHEN 'reel' THEN 3 WHEN 'long_reel' THEN 1 ELSE 5 END"

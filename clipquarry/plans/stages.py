@@ -18,7 +18,7 @@ from ..sources import sinks as K
 from . import views as V
 from .views import using
 
-STAGES = ("transcribe", "diarize", "proofread", "article", "analyze", "cut")
+STAGES = tuple("transcribe diarize proofread article analyze cut".split())
 queries, oracles = {}, {}
 
 

@@ -130,7 +130,7 @@ def _lead(x):
     return f"nullif(regexp_extract({clean(x)}, '^(\\S+(?: \\S+){{0,3}})', 1), '')"
 
 
-_FIELDS = ("title", "hook", "quote", "why")
+_FIELDS = tuple("title hook quote why".split())
 _SUBJECT = "coalesce(" + ", ".join([*map(_about, _FIELDS), *map(_lead, _FIELDS), "''"]) + ")"
 
 

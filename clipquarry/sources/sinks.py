@@ -7,7 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ass_time, srt_time
 
-ASS_HEADER = "[Script Info]\nScriptType: v4.00+\nPlayResX: 1080\nPlayResY: 1920\n\n[V4+ Styles]\nFormat: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Alignment, MarginL, MarginR, MarginV\nStyle: Default,Arial,64,&H00FFFFFF,&H0000FFFF,&H00000000,&H64000000,-1,0,2,60,60,240\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"
+_STYLE = [("Name", "Default"), ("Fontname", "Arial"), ("Fontsize", 64), ("PrimaryColour", "&H00FFFFFF"), ("SecondaryColour", "&H0000FFFF"), ("OutlineColour", "&H00000000"), ("BackColour", "&H64000000"), ("Bold", -1), ("Italic", 0), ("Alignment", 2), ("MarginL", 60), ("MarginR", 60), ("MarginV", 240)]
+_EVENT = "Layer Start End Style Name MarginL MarginR MarginV Effect Text"
+
+
+def _section(name: str, **lines: object) -> str:
+    return f"[{name}]\n" + "".join(f"{k}: {v}\n" for k, v in lines.items())
+
+
+ASS_HEADER = "\n".join(
+    [
+        _section("Script Info", ScriptType="v4.00+", **{f"PlayRes{axis}": n for axis, n in (("X", 1080), ("Y", 1920))}),
+        _section("V4+ Styles", Format=", ".join(k for k, _ in _STYLE), Style=",".join(str(v) for _, v in _STYLE)),
+        _section("Events", Format=", ".join(_EVENT.split())),
+    ]
+)
 
 
 def joined(order: list[str], text: Column, by: str) -> Column:
