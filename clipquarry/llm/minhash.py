@@ -104,22 +104,25 @@ def star_edges(sketches: DataFrame) -> DataFrame:
     return rows.select(F.min("doc_id").over(w).alias("u"), F.col("doc_id").alias("v")).filter("u < v").distinct()
 
 
-def near_duplicates(docs: DataFrame, bins: int = BINS, rows: int = ROWS, size: int = WORDS, least: float = LEAST) -> DataFrame:
-    """(doc_id, rep_doc_id, similarity) for every document that is a near copy of another: rep_doc_id, the smallest doc_id of its group, stays.
-
-    similarity is the sketch estimate of the Jaccard similarity of word shingles between the document and its group's representative (of the edge that joined it where the two are linked through others, it may be below ``least``). A pair enters a group if they share a bucket and the estimate reaches ``least``. Null doc_id or text, empty texts and texts without words: in no group. Rows that repeat a doc_id count as one document. No rows in: none out. Other columns are ignored."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def _grouped(docs: DataFrame, bins: int, rows: int, size: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, root) of every grouped document but the representatives, and (doc_id, sig)."""
+    small_batches(docs.sparkSession)
     sk = stored(sketch(docs, bins, rows, size), "minhash")
     sig = sk.select("doc_id", "sig").groupBy("doc_id").agg(F.min("sig").alias("sig"))
-    same = _same(bins)
     edges = star_edges(sk).join(sig.select(F.col("doc_id").alias("u"), F.col("sig").alias("a")), "u").join(sig.select(F.col("doc_id").alias("v"), F.col("sig").alias("b")), "v")
-    kept = edges.withColumn("s", same("a", "b")).filter(F.col("s") >= least).select("u", "v")
-    groups = components(kept).filter("id <> root")
+    kept = edges.withColumn("s", _same(bins)("a", "b")).filter(F.col("s") >= least).select("u", "v")
+    return components(kept).filter("id <> root"), sig
+
+
+def near_duplicates(docs: DataFrame, bins: int = BINS, rows: int = ROWS, size: int = WORDS, least: float = LEAST) -> DataFrame:
+    """(doc_id, rep_doc_id, similarity) for every document that is a near copy of another: rep_doc_id, the smallest doc_id of its group, stays.
+
+    similarity is the sketch estimate of the Jaccard similarity of word shingles between the document and its group's representative (where the two are linked through others, it may be below ``least``). A pair enters a group if they share a bucket and the estimate reaches ``least``. Null doc_id or text, empty texts and texts without words: in no group. Rows that repeat a doc_id count as one document. No rows in: none out. Other columns are ignored."""
+    groups, sig = _grouped(docs, bins, rows, size, least)
     return (
         groups.join(sig.select(F.col("doc_id").alias("id"), F.col("sig").alias("a")), "id")
         .join(sig.select(F.col("doc_id").alias("root"), F.col("sig").alias("b")), "root")
-        .select(F.col("id").alias("doc_id"), F.col("root").alias("rep_doc_id"), same("a", "b").alias("similarity"))
+        .select(F.col("id").alias("doc_id"), F.col("root").alias("rep_doc_id"), _same(bins)("a", "b").alias("similarity"))
     )
 
 
@@ -134,12 +137,14 @@ def _same(bins: int):
     return same
 
 
-def dedup(docs: DataFrame, **params: float) -> DataFrame:
+def dedup(docs: DataFrame, bins: int = BINS, rows: int = ROWS, size: int = WORDS, least: float = LEAST) -> DataFrame:
     """The documents without near copies, all columns kept; one of each group stays.
 
     Rows that share a doc_id are versions of one document: the row first by text stays. Rows with a null doc_id stay as they are, as nothing can name them."""
-    gone = near_duplicates(docs, **params).select("doc_id")
-    many = only(docs, "doc_id").filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id")
+    gone = _grouped(docs, bins, rows, size, least)[0].select(F.col("id").alias("doc_id"))
+    many = stored(only(docs, "doc_id").filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id"), "repeated")
+    if many.isEmpty():  # texts are shuffled once, for the anti-join
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     out = docs.join(gone.union(many).distinct(), "doc_id", "left_anti")
     first = docs.join(many, "doc_id", "left_semi").join(gone, "doc_id", "left_anti")
     w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
