@@ -60,7 +60,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-# ---------------------------------------------------------------- tokens
+# -- tokens
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -156,7 +156,7 @@ def per_chunk(fn: Callable[[np.ndarray, np.ndarray], list], column: pa.Array) ->
     return out
 
 
-# ---------------------------------------------------------------- graphs
+# -- graphs
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

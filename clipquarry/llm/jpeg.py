@@ -294,7 +294,7 @@ def media(df: DataFrame, key: str, image: str) -> DataFrame:
     return only(df, key, image).mapInArrow(run, f"`{key}` {kind}, {FIELDS}")
 
 
-# ------------------------------------------------------------ a baseline encoder, for images to read
+# -- a baseline encoder, for images to read
 
 DC_TABLE = (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12)))
 _AC = "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
