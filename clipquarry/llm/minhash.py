@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import by_value, components, mix, only, small_batches, stored, text_chunks, tokens
 
-BINS, ROWS, WORDS, LEAST = 128, 4, 3, 0.55
+BINS, ROWS, WORDS, LEAST = 192, 4, 3, 0.45
 
 
 def shingles(h: np.ndarray, row: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
