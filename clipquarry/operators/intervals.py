@@ -95,14 +95,17 @@ def asof(points: DataFrame, anchors: DataFrame, key: str, row: str, forward: boo
 
 
 def snapped(points: DataFrame, tiers: list[DataFrame], key: str, row: str, most: int, forward: bool = False) -> DataFrame:
-    """(row, t, snapped): t moved to the as-of anchor of the first tier that has one within ``most``; t itself where none has or most is 0."""
-    out, names = points.select(key, row, "t"), []
+    """(row, t, snapped): t moved to the as-of anchor of the first tier that has one within ``most``; t itself where none has or most is 0. All tiers are seen in one sorted window, so there is one shuffle and no join."""
+    kinds = points.schema[row].dataType
+    everything = points.select(key, "t", F.lit(1).alias("__q"), F.col(row), F.lit(-1).alias("__tier"), F.lit(None).cast("long").alias("a"))
     for k, tier in enumerate(tiers):
-        got = asof(points, tier, key, row, forward).withColumnRenamed("anchor", f"__a{k}")
-        out = out.join(got, row, "left")
-        shift = F.col(f"__a{k}") - F.col("t") if forward else F.col("t") - F.col(f"__a{k}")
-        names.append(F.when(shift.between(0, most) & F.lit(most > 0), F.col(f"__a{k}")))
-    return out.select(row, "t", F.coalesce(*names, F.col("t")).alias("snapped"))
+        everything = everything.unionByName(tier.select(key, F.col("a").cast("long").alias("t"), F.lit(2 if forward else 0).alias("__q"), F.lit(None).cast(kinds).alias(row), F.lit(k).alias("__tier"), F.col("a").cast("long")))
+    w = Window.partitionBy(key).orderBy("t", "__q")
+    w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
+    pick = F.min if forward else F.max
+    near = everything.withColumns({f"__a{k}": pick(F.when(F.col("__tier") == k, F.col("a"))).over(w) for k in range(len(tiers))}).filter("__q = 1")
+    within = [F.when((F.abs(F.col("t") - F.col(f"__a{k}")) <= most) & F.lit(most > 0), F.col(f"__a{k}")) for k in range(len(tiers))]
+    return near.select(row, "t", F.coalesce(*within, F.col("t")).alias("snapped"))
 
 
 def nearest(points: DataFrame, allowed: DataFrame, key: str, row: str, most: int) -> DataFrame:

@@ -38,13 +38,13 @@ SELECT a.ep, golden, hits, must, must_hits, coalesce(predicted, 0) AS predicted,
 def golden_recall_precision(spark, d):
     """Recall over golden moments, also of those labelled must, and precision, by episode."""
     g, p = V.golden(spark, d), V.predicted(spark, d)
-    pairs = I.overlap_join(g.select("ep", F.col("id").alias("gid"), "s", "e"), p.select("ep", F.col("id").alias("pid"), F.col("s").alias("s2"), F.col("e").alias("e2")), "ep", DAY).filter(I.half_of_shorter())
-    gh = g.join(pairs.select(F.col("gid").alias("id"), F.lit(1).alias("h")).distinct(), "id", "left")
-    ph = p.join(pairs.select(F.col("pid").alias("id"), F.lit(1).alias("h")).distinct(), "id", "left")
     must = F.col("label") == "must"
-    a = gh.groupBy("ep").agg(F.count("*").alias("golden"), F.count("h").alias("hits"), F.count_if(must).alias("must"), F.count_if(must & F.col("h").isNotNull()).alias("must_hits"))
-    b = ph.groupBy("ep").agg(F.count("*").alias("predicted"), F.count("h").alias("good"))
-    x = a.join(b, "ep", "left").fillna(0, ["predicted", "good"])
+    pairs = I.overlap_join(g.select("ep", F.col("id").alias("gid"), "label", "s", "e"), p.select("ep", F.col("id").alias("pid"), F.col("s").alias("s2"), F.col("e").alias("e2")), "ep", DAY).filter(I.half_of_shorter())
+    # the pairs are made once: a side's hits are its distinct ids in them
+    hits = pairs.groupBy("ep").agg(F.count_distinct("gid").alias("hits"), F.count_distinct(F.when(must, F.col("gid"))).alias("must_hits"), F.count_distinct("pid").alias("good"))
+    a = g.groupBy("ep").agg(F.count("*").alias("golden"), F.count_if(must).alias("must"))
+    b = p.groupBy("ep").agg(F.count("*").alias("predicted")).join(hits, "ep", "left")
+    x = a.join(b, "ep", "left").fillna(0, ["predicted", "good", "hits", "must_hits"])
     rate = lambda n, m, none: F.when(F.col(m) == 0, none).otherwise(F.floor(F.col(n) / F.col(m) * 1000 + 0.5) / 1000)
     return x.withColumns({"recall_all": rate("hits", "golden", 0.0), "recall_must": rate("must_hits", "must", 1.0), "precision": rate("good", "predicted", 0.0)})
 

@@ -22,16 +22,11 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parts(segs: DataFrame, pieces, name: str) -> DataFrame:
-    """segs with pieces (an array of strings) exploded as ``name`` with pos and s_ms, e_ms by running length; stays within the row, so nothing is shuffled."""
-    running = F.aggregate(
-        F.transform(pieces, lambda x: F.length(x).cast("long")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
-        lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")),
-        lambda a: a["all"],
-    )
-    x = segs.withColumn("__p", pieces).withColumn("__o", running).select("ep", "seg", "speaker", F.col("s_ms").alias("__s"), F.posexplode(F.arrays_zip("__p", "__o")).alias("pos", "x"))
-    begin = F.col("__s") + F.col("x.__o") * MS_PER_CHAR
-    return x.select("ep", "seg", F.col("pos").cast("long").alias("pos"), "speaker", F.col("x.__p").alias(name), begin.alias("s_ms"), (begin + F.length("x.__p") * MS_PER_CHAR).alias("e_ms"))
+    """segs with pieces (an array of strings) exploded as ``name`` with pos and s_ms, e_ms by running length. The window is on (ep, seg) of rows that are already dealt by ep, so they are sorted but not shuffled again."""
+    x = segs.select("ep", "seg", "speaker", F.col("s_ms").alias("__s"), F.posexplode(pieces).alias("pos", name))
+    w = Window.partitionBy("ep", "seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("__s") + F.sum(F.length(name).cast("long")).over(w) * MS_PER_CHAR
+    return x.select("ep", "seg", F.col("pos").cast("long").alias("pos"), "speaker", name, (end - F.length(name) * MS_PER_CHAR).alias("s_ms"), end.alias("e_ms"))
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
