@@ -35,12 +35,15 @@ _LOCAL = re.compile(r"[\w.%+\-]+$")
 _DOMAIN = re.compile(r"[a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z]{2,24}(?![a-z0-9])")
 _IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
 _PHONE = re.compile(r"(?:(?<![\d+])\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|(?<![\d.\-])\d{3}[ .\-])\d{3}[ .\-]?\d{4}(?!\d)|(?<![\d+])\+\d{9,14}(?!\d)|(?<!\d)1?\d{10}(?!\d)")
+#: Numbers with a country code, in groups of any length; 9 to 15 digits in all.
+_ABROAD = re.compile(r"(?<![\d+])\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,6}(?!\d)")
+_IBAN = re.compile(r"(?<![a-z0-9])[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?(?![a-z0-9])")
 _CARD = re.compile(r"(?<![\d.])\d(?:[ \-]?\d){12,18}(?!\d)")
 _SSN = re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")
 _SECRET = re.compile(r"(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{8,})")
 #: Where numbers can be; the patterns above need no other characters, but for a + or ( before.
 _NUMBERS = re.compile(r"\d[\d().\- ]*")
-KINDS = ("secret", "email", "ip", "ssn", "card", "phone")
+KINDS = ("secret", "email", "iban", "ip", "ssn", "card", "phone")
 
 
 class Tape:
@@ -173,6 +176,12 @@ def _apart(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
+def _sound(iban: str) -> bool:
+    """Whether the check digits are right."""
+    x = iban.replace(" ", "")
+    return x.isascii() and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
 def find(text: str, spelled: bool = True) -> list[tuple[int, int, str]]:
     """(begin, end, kind) in characters of text of every identifier, in order; where two overlap, the kind first in KINDS stays. An empty text has none."""
     if not text:
@@ -190,9 +199,13 @@ def find(text: str, spelled: bool = True) -> list[tuple[int, int, str]]:
             continue
         while a and t[a - 1] in "+(" and area.start() - a < 2:
             a -= 1
-        hits += [(2, m.start(), m.end()) for m in _IP.finditer(t, a, b) if all(int(x) < 256 for x in m.group(0).split("."))]
-        for rank, pattern in ((3, _SSN), (4, _CARD), (5, _PHONE)):
+        if a > 1 and t[a - 2 : a].isalpha() and (m := _IBAN.match(t, a - 2)) and _sound(m.group(0)):
+            hits.append((2, m.start(), m.end()))
+        hits += [(3, m.start(), m.end()) for m in _IP.finditer(t, a, b) if all(int(x) < 256 for x in m.group(0).split("."))]
+        for rank, pattern in ((4, _SSN), (5, _CARD), (6, _PHONE)):
             hits += [(rank, m.start(), m.end()) for m in pattern.finditer(t, a, b)]
+        if t[a] == "+":
+            hits += [(6, m.start(), m.end()) for m in _ABROAD.finditer(t, a, b) if 9 <= sum(map(str.isdigit, m.group(0))) <= 15]
     if any(x in t for x in ("token", "secret", "passw", "key")):
         hits += [(0, m.start(1), m.end(1)) for m in _SECRET.finditer(t)]
     taken: list[tuple[int, int, str]] = []

@@ -6,7 +6,7 @@ from tests.llm.util import awkward, frame
 CASES = [
     ("jo.81@mail7.example.com", "email"), ("j​ane (at) mail dot example [dot] com", "email"), ("anna at mail.example.com", "email"), ("аdmin@exаmple.com", "email"), ("jane[at]ex[.]com", "email"), ("bob AT mail DOT example DOT org", "email"),
     ("+1 (325) 555-8094", "phone"), ("five five five, one two three four five six seven", "phone"), ("+1 (nine eight zero) 555-six two six eight", "phone"), ("+1 ６50-555-1234", "phone"), ("double five five one two three four five six seven", "phone"),
-    ("4111 1111 1111 1111", "card"), ("0846248622952057", "card"), ("226.203.165.104", "ip"), ("２２６.203.165.104", "ip"), ("078-05-1120", "ssn"), ("b7852d4e73166f43a80132626729b5fa5141a7a6", "secret"),
+    ("4111 1111 1111 1111", "card"), ("0846248622952057", "card"), ("226.203.165.104", "ip"), ("DE89 3704 0044 0532 0130 00", "iban"), ("+33 6 12 34 56 78", "phone"), ("+49 (30) 1234567", "phone"), ("２２６.203.165.104", "ip"), ("078-05-1120", "ssn"), ("b7852d4e73166f43a80132626729b5fa5141a7a6", "secret"),
 ]
 
 
