@@ -66,7 +66,7 @@ def cards(spark: SparkSession, d: str) -> DataFrame:
 CARD = {
     "title": "trim(regexp_extract(text, '^[^.!?]*', 0))",
     "quote": "CASE WHEN doc_id % 9 = 0 THEN '' ELSE trim(regexp_extract(text, '^[^.!?]*[.!?]+[^.!?]*[.!?]+([^.!?]*)', 1)) END",
-    "why": "CASE WHEN doc_id % 7 = 0 THEN '' ELSE trim(regexp_extract(text, '([^.!?]*)[.!?]*$', 1)) END",
+    "why": "CASE WHEN doc_id % 7 = 0 THEN '' ELSE trim(regexp_extract(text, '(?:^|[.!?])([^.!?]*)[.!?]*$', 1)) END",
     "hook": "CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim(regexp_extract(text, '^[^.!?]*[.!?]+([^.!?]*[.!?]?)', 1)) END",
     "caption": "CASE WHEN doc_id % 4 = 0 THEN '' ELSE trim(text) END",
     "speaker": "CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END",
