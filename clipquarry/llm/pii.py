@@ -182,6 +182,19 @@ def _sound(iban: str) -> bool:
     return x.isascii() and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
 
 
+def _iban(t: str, at: int) -> tuple[int, int] | None:
+    """Span of the account number whose two letters are at ``at``: a sound one with at least four digits after the check digits. Words that follow it are left off."""
+    m = _IBAN.match(t, at)
+    x = m.group(0) if m else ""
+    while len(x.replace(" ", "")) >= 12 and sum(map(str.isdigit, x[4:])) >= 4:
+        if _sound(x):
+            return at, at + len(x)
+        x, _, last = x.rpartition(" ")
+        if not last.isalpha():
+            break
+    return None
+
+
 def find(text: str, spelled: bool = True) -> list[tuple[int, int, str]]:
     """(begin, end, kind) in characters of text of every identifier, in order; where two overlap, the kind first in KINDS stays. An empty text has none."""
     if not text:
@@ -195,12 +208,13 @@ def find(text: str, spelled: bool = True) -> list[tuple[int, int, str]]:
             hits.append((1, at - len(left.group(0)), right.end()))
     for area in _NUMBERS.finditer(t):
         a, b = area.span()
+        # the area may hold no more than the check digits, if letters follow
+        if a > 1 and t[a - 2 : a].isalpha() and (x := _iban(t, a - 2)):
+            hits.append((2, *x))
         if b - a < 7:
             continue
         while a and t[a - 1] in "+(" and area.start() - a < 2:
             a -= 1
-        if a > 1 and t[a - 2 : a].isalpha() and (m := _IBAN.match(t, a - 2)) and _sound(m.group(0)):
-            hits.append((2, m.start(), m.end()))
         hits += [(3, m.start(), m.end()) for m in _IP.finditer(t, a, b) if all(int(x) < 256 for x in m.group(0).split("."))]
         for rank, pattern in ((4, _SSN), (5, _CARD), (6, _PHONE)):
             hits += [(rank, m.start(), m.end()) for m in pattern.finditer(t, a, b)]

@@ -19,6 +19,15 @@ def test_each_kind_is_found_at_its_place():
             assert (text[begin:end], got, more) == (value, kind, []), (text[:80], value)
 
 
+def test_account_numbers_with_letters_after_the_check_digits():
+    for value in ["GB29 NWBK 6016 1331 9268 19", "GB29NWBK60161331926819", "NL91ABNA0417164300", "NL91 ABNA 0417 1643 00", "MT84MALT011000012345MTLCAST001S", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "IE29AIBK93115212345678", "BE68 5390 0754 7034"]:
+        for before, after in (("", ""), ("pay ", " soon, then 12 more"), ("é" * 300 + " (", ")")):
+            text = before + value + after
+            assert [(text[a:b], kind) for a, b, kind in pii.find(text)] == [(value, "iban")], text[-60:]
+    for text in ["GB30 NWBK 6016", "mp34 with some text", "at GB29 NWBK"]:
+        assert pii.find(text) == [], text
+
+
 def test_clean_text_is_left_alone():
     rng = random.Random(0)
     for text in ["meet at noon", "the dot on the i", "un deux trois soleil", "page 12 of 300", "in 2024, 15.5 %", "1.2.3", "a@b", "look at the dot com", "one two", "@home", "v 1.2.3.4.5", "999.999.999.999"]:
