@@ -43,6 +43,11 @@ def _triggers(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
+def _whole(total: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Name of a text as a whole; it is never that of an anchor."""
+    return _name(total, begin, begin + size) ^ np.uint64(0x5851F42D4C957F2D)
+
+
 def anchors(h: np.ndarray, row: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(name, first word, words, whether a phrase) of what any repeat of ``least`` words holds one of: whole phrases, and, as a repeat may lie in a stretch of about half its length without a trigger, every run of some words within such a stretch."""
     n = len(h)
@@ -83,7 +88,7 @@ def parse(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 long = np.flatnonzero(size >= least)
                 name, first, words, _ = anchors(h, row, least)
                 chars = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][off]
-                whole = _name(_sums(h), begin[long], begin[long] + size[long]) ^ np.uint64(0x5851F42D4C957F2D)
+                whole = _whole(_sums(h), begin[long], size[long])
                 keep = size[row[first]] >= least
                 name, first, words = name[keep], first[keep], words[keep]
                 r = row[first]
@@ -96,13 +101,13 @@ def parse(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def ordered(marked: DataFrame, least: int = LEAST) -> DataFrame:
-    """From (doc_id, text, spots): (a, b, doc_id, begin, end) of every run of ``least`` words all of whose anchors repeat: the names of its phrase suffix and of its parse suffix, and its characters."""
+    """From (doc_id, text, spots, copies): (a, b, doc_id, begin, end) of every run of ``least`` words all of whose anchors repeat: the names of its phrase suffix and of its parse suffix, and its characters. A text whose name as a whole is in copies is left out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            spots = batch.column(2)
+            spots, copies = batch.column(2), batch.column(3)
             for lo, end, raw, off in text_chunks(batch.column(1)):
                 h, row, sb, eb = tokens(raw, off)
                 n = len(h)
@@ -125,10 +130,12 @@ def ordered(marked: DataFrame, least: int = LEAST) -> DataFrame:
                     np.add.at(count, np.maximum(f[which] + w[which] - least, 0), 1)
                     np.add.at(count, f[which] + 1, -1)
                 bad, some = np.cumsum(bad)[: len(begin)], np.cumsum(some)[: len(begin)]
-                begin = begin[(bad == 0) & (some > 0) & (row[begin] == row[begin + least - 1])]
+                total = _sums(h)
+                names = _whole(total, base, size).view(np.int64).tolist()
+                lone = np.array([not x.is_valid or name not in x.as_py() for x, name in zip(copies.slice(lo, end - lo), names, strict=True)])
+                begin = begin[(bad == 0) & (some > 0) & (row[begin] == row[begin + least - 1]) & lone[row[begin]]]
                 if not len(begin):
                     continue
-                total = _sums(h)
                 at = np.r_[np.flatnonzero(_triggers(h, row)), n + least]
                 t = at[np.searchsorted(at, begin)]
                 stop = begin + least
@@ -149,10 +156,13 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     small_batches(docs.sparkSession)
     own = only(docs, "doc_id", "text").filter("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     by = Window.partitionBy("name")
-    seen = parse(own, least).select("*", F.count("*").over(by).alias("n"), F.min("doc_id").over(by).alias("lead")).filter("n > 1").drop("n", "name")
-    spots = stored(seen.groupBy("doc_id").agg(F.collect_list(F.when(F.col("first") >= 0, F.col("first"))).alias("spots"), F.min("first").alias("least"), F.min(F.when(F.col("first") < 0, F.col("lead"))).alias("lead")), "anchors")
+    seen = parse(own, least).select("*", F.count("*").over(by).alias("n"), F.min("doc_id").over(by).alias("lead")).filter("n > 1").drop("n")
+    spots = stored(seen.groupBy("doc_id").agg(F.collect_list(F.when(F.col("first") >= 0, F.col("first"))).alias("spots"), F.min("first").alias("least"), F.collect_set(F.when((F.col("first") < 0) & (F.col("lead") < F.col("doc_id")), F.col("name"))).alias("copies")), "anchors")
     whole = spots.filter("least < 0").select("doc_id", F.lit(0).alias("begin"), (-1 - F.col("least")).alias("end"))
-    marked = own.join(spots.filter("size(spots) > 0 and (lead is null or lead = doc_id)").select("doc_id", "spots"), "doc_id").select("doc_id", "text", "spots")
+    # a doc_id's only text is left out here if it is a copy; where there are more, each is looked at by itself, with the spots of all: too many are no harm
+    several = only(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1")
+    some = spots.filter("size(spots) > 0").join(several, "doc_id", "left").filter("size(copies) = 0 or texts is not null")
+    marked = own.join(some, "doc_id").select("doc_id", "text", "spots", "copies")
     order = Window.partitionBy("a").orderBy("b")
     neighbours = ordered(marked, least).select("doc_id", "begin", "end", ((F.col("b") == F.lag("b").over(order)) | F.lit(False)).alias("p"), ((F.col("b") == F.lead("b").over(order)) | F.lit(False)).alias("q"))
     found = neighbours.filter("coalesce(p, false) or coalesce(q, false)").select("doc_id", "begin", "end").unionByName(whole)

@@ -78,3 +78,15 @@ def test_no_rows_nulls_and_repeated_ids(spark):
     text = " ".join(f"t{k}" for k in range(60))
     rows = [(None, text, "x", 1, 1), (1, text, "x", 1, 1), (1, text, "x", 1, 1), (2, None, None, None, None)]
     assert {tuple(r) for r in repeats(spark.createDataFrame(rows, SCHEMA)).collect()} == {(1, 0, len(text))}
+
+
+def test_rows_that_differ_under_one_doc_id(spark):
+    rng = random.Random(7)
+    x, shared = words(rng, 90), words(rng, 60)
+    y, z = words(rng, 30) + shared + words(rng, 10), words(rng, 8) + shared + words(rng, 40)
+    part = x[20:80] + words(rng, 30)
+    docs = [(5, x), (7, x), (7, y), (9, z), (4, part), (11, x), (11, x), (12, z), (12, y), (13, [w.upper() for w in x]), (13, part)]
+    docs = [(d, " ".join(w)) for d, w in docs]
+    for rows in (docs[:4], docs):
+        df = spark.createDataFrame([(d, t, "clash", 1, 2) for d, t in rows], SCHEMA)
+        assert {tuple(r) for r in repeats(df).collect()} == brute(rows, 50)
