@@ -8,6 +8,7 @@ from __future__ import annotations
 import difflib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,16 +51,31 @@ def best_window(quote: str | None, said: list[str]) -> tuple[float, int, int]:
     needle = " ".join(q)
     if n >= len(said):
         return difflib.SequenceMatcher(None, needle, " ".join(said)).ratio(), 0, len(said)
-    best, at = 0.0, 0
     for k in range(len(said) - n + 1):
-        r = difflib.SequenceMatcher(None, needle, " ".join(said[k : k + n]))
-        if r.real_quick_ratio() > best and r.quick_ratio() > best and (x := r.ratio()) > best:
+        if said[k : k + n] == q:
+            return 1.0, k, k + n
+    best, at = 0.0, 0
+    bounds = _bounds(needle, said, n)
+    # by falling bound, the first on a tie; none beyond a bound that is under the best can be better
+    for k in sorted(range(len(bounds)), key=lambda i: (-bounds[i], i)):
+        if bounds[k] < best:
+            break
+        x = difflib.SequenceMatcher(None, needle, " ".join(said[k : k + n])).ratio()
+        if x > best or (x == best > 0 and k < at):
             best, at = x, k
-            if x == 1.0:
-                break
     return best, at, at + n
 
 
+def _bounds(needle: str, said: list[str], n: int) -> list[float]:
+    """Of every run of n words, the ratio that the counts of its characters allow: difflib's quick_ratio."""
+    letters = sorted(set(needle) - {" "})
+    per = np.array([[w.count(c) for c in letters] for w in said])
+    total = np.vstack([np.zeros((1, len(letters)), int), np.cumsum(per, axis=0)])
+    length = np.r_[0, np.cumsum([len(w) for w in said])]
+    both = np.minimum(total[n:] - total[:-n], [needle.count(c) for c in letters]).sum(axis=1) + n - 1
+    return (2.0 * both / (len(needle) + length[n:] - length[:-n] + n - 1)).tolist()
+
+
 _FOUND = T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 

@@ -101,8 +101,8 @@ def proofread_counts(spark, d):
 
 @register("quote_verify")
 def quote_verify(spark, d):
-    """Quotes of two sentences on, of which every other is said a little later than the moment."""
-    s = V.sentences(spark, d).filter("pos = 1").select("ep", F.concat_ws("-", "ep", "seg").alias("row"), (F.col("s_ms") - F.col("seg") % 2 * 3000).alias("s"), (F.col("s_ms") + 2000).alias("e"), F.substring("text", 1, 60).alias("quote"))
+    """Every sentence as a quote, whole; those of every other turn are said a little later than the moment."""
+    s = V.sentences(spark, d).select("ep", F.concat_ws("-", "ep", "seg", "pos").alias("row"), (F.col("s_ms") - F.col("seg") % 2 * 3000).alias("s"), (F.col("s_ms") + 2000).alias("e"), F.col("text").alias("quote"))
     return M.verified_quotes(s, V.words(spark, d), "ep", "row").select("row", "s", "e", "quote_match_ratio")
 
 

@@ -1,5 +1,8 @@
 """Kernels on hand-made rows."""
 
+import difflib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +99,27 @@ def test_best_window():
     assert matching.best_window("", said)[0] == 0 and matching.best_window("x", []) == (0.0, 0, 0)
 
 
+def test_best_window_is_that_of_every_window_tried():
+    rng = random.Random(3)
+    for _ in range(200):
+        words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 6))) for _ in range(12)]
+        said, n = [rng.choice(words) for _ in range(30)], rng.randrange(1, 12)
+        at = rng.randrange(30 - n)
+        quote = " ".join(w if rng.random() < 0.8 else "zz" for w in said[at : at + n])
+        tried = [(difflib.SequenceMatcher(None, quote, " ".join(said[k : k + n])).ratio(), -k) for k in range(31 - n)]
+        best, k = max(tried)
+        assert matching.best_window(quote, said) == ((best, -k, n - k) if best else (0.0, 0, n))
+
+
+def test_every_sentence_is_a_quote_and_whole(spark, tmp_path):
+    same = "a quote is cut nowhere, and this one runs on for far more than sixty characters before it says "
+    turns = [(1, 0, "user", f"Is it so? Yes, it is. {same}north. Then the end."), (1, 1, "assistant", f"First things first! {same}south."), (2, 0, "user", "Alone")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["row"]: r["quote_match_ratio"] for r in stages.quote_verify(spark, str(tmp_path)).collect()}
+    assert set(got) == {"1-0-0", "1-0-1", "1-0-2", "1-0-3", "1-1-0", "1-1-1", "2-0-0"}
+    assert set(got.values()) == {1.0}
+
+
 def test_term_fixes_keep_endings_and_capitals(spark):
     assert matching.with_term_fixes("Курократа и курократ", [("курократ", "курокрад")]) == ("Курокрада и курокрад", 2)
     assert one(spark, matching.spelling_variants(F.lit("Abde"), swaps={"d": "t", "b": "p", "a": "o"}))[0] == ["Abte", "Apde"]
