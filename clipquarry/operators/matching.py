@@ -141,6 +141,11 @@ def with_term_fixes(text: str, fixes: list[tuple[str, str]]) -> tuple[str, int]:
     return text, n
 
 
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.LongType())]))
+def term_fixed(text: pd.Series, fixes: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([with_term_fixes(t, [(x["wrong"], x["right"]) for x in (f if f is not None else [])]) for t, f in zip(text, fixes, strict=True)], columns=["text", "n"])
+
+
 def unique_names(names: DataFrame, key: str) -> DataFrame:
     """(key, id, name): of names that are equal but for case the first by pos stays; an episode with fewer than two keeps none."""
     n = names.withColumn("name", F.trim("name")).filter("name <> ''")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.semistructured import coerced, payload_items
+from ..operators import aggregates as A
 from ..operators import folds as O
 from ..operators import intervals as I
 from ..operators import matching as M
@@ -71,6 +72,21 @@ def article(edits: DataFrame, limits: dict[str, float] | None = None) -> DataFra
     return x.groupBy("ep", "chunk").agg(best.alias("b")).select("ep", "chunk", F.col("b.try").alias("try"), F.col("b.f.ok").alias("faithful"), F.col("b.f.novel").alias("novel"), F.col("b.edited").alias("edited"))
 
 
+def checked_terms(docs: DataFrame, key: str) -> DataFrame:
+    """(key, term_fixes, text) of every row: a suspect term that no other document has is set right to the spelling that most documents have, if at least five do. docs: (key, text)."""
+    suspects = A.suspect_terms(docs, key)
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lower))
+    terms = suspects.select("term", F.lit(0).cast("long").alias("occurrences")).distinct()
+    asked = terms.select(F.explode(F.concat(F.array("term"), M.spelling_variants("term"))).alias("t")).select(F.lower("t").alias("t")).distinct()
+    hits = docs.select(key, F.explode(words).alias("t")).join(asked, "t", "left_semi").distinct().groupBy("t").agg(F.count("*").alias("hits"))
+    look = asked.join(hits, "t", "left").select(F.col("t").alias("term"), F.coalesce("hits", F.lit(0)).alias("hits"))
+    # a term's own document is one of its hits
+    found = M.verified_terms(terms, look, unknown=2).select(F.col("wrong").alias("term"), "right")
+    fixes = suspects.join(found, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("term").alias("wrong"), "right"))).alias("fixes"))
+    x = docs.join(fixes, key, "left").withColumn("f", M.term_fixed("text", "fixes"))
+    return x.select(key, F.col("f.n").alias("term_fixes"), F.col("f.text").alias("text"))
+
+
 @register("full_analysis")
 def full_analysis(spark, d):
     return analyse(V.segments(spark, d), P.rule_based, {"reel": 4})
@@ -120,6 +136,11 @@ def verify_terms(spark, d):
     return M.verified_terms(s, look)
 
 
+@register("corpus_terms")
+def corpus_terms(spark, d):
+    return checked_terms(V.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
 @register("unique_names", using("segments") + ", n AS (SELECT ep, seg AS pos, 'id' || seg AS id, CASE WHEN seg % 3 = 0 THEN 'Ann' WHEN seg % 3 = 1 THEN 'bob' ELSE 'ANN ' END AS name FROM segments), r AS (SELECT *, row_number() OVER (PARTITION BY ep, lower(trim(name)) ORDER BY pos) AS r FROM n), c AS (SELECT *, count(*) OVER (PARTITION BY ep) AS c FROM r WHERE r = 1) SELECT ep, id, trim(name) AS name FROM c WHERE c >= 2")
 def unique_names(spark, d):
     n = V.segments(spark, d).select("ep", F.col("seg").alias("pos"), F.concat(F.lit("id"), F.col("seg").cast("string")).alias("id"), F.expr("CASE WHEN seg % 3 = 0 THEN 'Ann' WHEN seg % 3 = 1 THEN 'bob' ELSE 'ANN ' END AS name"))

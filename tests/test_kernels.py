@@ -216,3 +216,12 @@ def test_proofread_query_equals_difflib(spark):
             drift = abs(len(a.split()) - len(b.split())) <= max(2, int(len(a.split()) * 0.2))
             want = "applied" if a == b or (b and drift and difflib.SequenceMatcher(None, a, b).ratio() >= 0.8) else "rejected"
         assert got[k] == want
+
+
+def test_terms_are_checked_over_the_corpus(spark):
+    docs = [(k, f"Here we met Kurokrad again, number {k}.") for k in range(5)]
+    docs += [(10, "Then came Kurograd, and old Kurograd spoke to the Kurograds."), (11, "So said Zamenhof and Zamenhof."), (12, "So said Bedrosan to Bedrosan."), (13, "So said Bedrosan to Bedrosan."), (14, None)]
+    docs += [(20 + k, "a pedrosan") for k in range(6)]
+    got = stages.checked_terms(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id").collect()
+    want = [(k, 3, "Then came Kurokrad, and old Kurokrad spoke to the Kurokrads.") if k == 10 else (k, 0, t) for k, t in docs]
+    assert sorted(map(tuple, got)) == sorted(want)
