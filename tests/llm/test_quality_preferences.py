@@ -99,8 +99,22 @@ def test_formatting_equals_brute_force(spark):
 
 
 def test_pairs_of_conversations(spark):
-    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a b c d"), (1, 2, "user", "tail"), (2, 1, "assistant", "old"), (2, 1, "assistant", "old"), (2, 3, "assistant", "new"), (3, 0, "user", "alone"), (None, 0, "assistant", "x"), (4, None, "assistant", "x"), (5, 0, "assistant", None), (6, 0, None, "x"), (6, 1, "assistant", "one")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, last int")
-    got = {r["pair_id"]: ([tuple(x) for x in r["chosen"]], r["rejected"][-1]["text"]) for r in preferences.pairs(df).collect()}
-    assert got == {1: ([("user", "q"), ("assistant", "a b c d")], "a b"), 2: ([("assistant", "old"), ("assistant", "new")], "old"), 5: ([("assistant", "")], ""), 6: ([("", "x"), ("assistant", "one")], "")}
-    assert {r["pair_id"] for r in preferences.formatted(preferences.pairs(df)).collect()} == {1, 2, 6}
+    rows = [
+        (1, 0, "user", "q"), (1, 1, "assistant", "a b c d"), (1, 2, "user", "tail"), (2, 1, "assistant", "old one"), (2, 1, "assistant", "old one"), (2, 3, "assistant", "new"), (3, 1, "assistant", "old"), (3, 2, "user", None), (3, 3, "assistant", "new"), (4, 0, "user", "alone"),
+        (None, 0, "assistant", "x"), (7, None, "assistant", "x"), (5, 0, "assistant", None), (6, 0, None, "x"), (6, 1, "assistant", "one"), (8, 0, "user", "go"), (8, 1, "assistant", "long " * 50_000), (8, 2, "assistant", "end"),
+    ]
+    df = spark.createDataFrame([(*r, 1, "c") for r in rows], "conv_id long, turn long, role string, text string, last int, good string")
+    got = {r["pair_id"]: ([tuple(x) for x in r["chosen"]], [x["text"] for x in r["rejected"]]) for r in preferences.pairs(df).collect()}
+    half = " ".join(("long " * 50_000).split(" ")[:25_000])
+    assert got == {
+        1: ([("user", "q"), ("assistant", "a b c d")], ["q", "a b"]), 2: ([("assistant", "old one"), ("assistant", "new")], ["old", "new"]), 3: ([("assistant", "old"), ("user", ""), ("assistant", "new")], ["old", "", "old"]),
+        5: ([("assistant", "")], [""]), 6: ([("", "x"), ("assistant", "one")], ["x", ""]), 8: ([("user", "go"), ("assistant", "long " * 50_000), ("assistant", "end")], ["go", half, "end"]),
+    }
+    made = preferences.formatted(preferences.pairs(df)).collect()
+    assert {r["pair_id"]: (r["turns_in_prompt"], len(r["chosen_mask"])) for r in made} == {1: (1, 1), 2: (0, 2), 3: (2, 1), 6: (1, 1), 8: (1, 2)}
+    for r in made:
+        c = got[r["pair_id"]][0]
+        whole = r["prompt"] + r["chosen"]
+        assert "".join(f"<|{a}|>\n{b}<|end|>\n" for a, b in c) == whole
+        assert [whole[m["begin"] : m["end"]] for m in r["chosen_mask"]] == [b + "<|end|>" for a, b in c[r["turns_in_prompt"] :] if a == "assistant"]
+    assert preferences.pairs(df.limit(0)).collect() == []
