@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,10 +31,12 @@ def by_value(*modules: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local master gets one of its own, as in tests; on a cluster that is an error, as executors would not see the driver's disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
             import tempfile
 
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clipquarry-"))
@@ -55,7 +58,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, as texts may be long."""
+    """Bound the rows of an Arrow batch, as texts may be long. A setting of the session: it holds for what is run later, too."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -162,10 +165,8 @@ def per_chunk(fn: Callable[[np.ndarray, np.ndarray], list], column: pa.Array) ->
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) for every id of ``edges`` (u, v): root is the smallest id of its connected component.
 
-    Alternates large-star and small-star steps until no edge changes; every step is checkpointed in the shared folder. Null ends and loops are ignored; no edges give no rows."""
-    spark = edges.sparkSession
-    shared_dir(spark)
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct().checkpoint()
+    Alternates large-star and small-star steps until no edge changes, which takes a number of rounds of the order of the logarithm of the largest component; the bound on rounds is there to end a run that a fault keeps from settling, with an error. Every round is written once in the shared folder. An id of very many edges is no single task: minima are taken before the shuffle, and its join is one that Spark splits. Null ends and loops are ignored; no edges give no rows."""
+    e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges")
     seen = None
     for _ in range(rounds):
         both = e.union(e.select("v", "u")).groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
@@ -173,7 +174,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u > v").distinct()
-        e = small.checkpoint()
+        e = stored(small, "edges")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
@@ -191,6 +192,24 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def names_free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a whole row, nulls told apart; columns that hold maps or variants can't be hashed and are left out."""
+    odd = lambda t: any(x in t.simpleString() for x in ("map<", "variant"))
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not odd(f.dataType)]
+    return F.xxhash64(*[x for c in plain for x in (c.isNull(), c)])
+
+
 LONGS = T.ArrayType(T.LongType())
 
 by_value(__name__)
