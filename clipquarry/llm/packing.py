@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, only, read_table
+from .common import by_value, only, read_table, stored
 
 #: Characters in a bin, about 4,096 tokens; characters in a shard, which one task packs.
 CAPACITY, SHARD_CHARS = 16_384, 24_000_000
+#: Rows that are equal are dealt over shards in lots of this many.
+LOT = 256
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, slot) of each length, from 1 to capacity.
 
-    A bin is filled greedily with the longest item that fits. Then, while it helps, its shortest item goes back and the two unpacked items come in whose sum is largest within the gap thus made, if that is more than it was; of equal sums the pair with the longest item. Items of one length go in their order."""
+    A bin is filled greedily with the longest item that fits. Then, while it helps, its shortest item goes back and the two unpacked items come in whose sum is largest within the gap thus made, if that is more than it was; of equal sums the pair with the longest item. Items of one length go in their order. No lengths: no bins."""
     n = len(lengths)
     where, slot = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     order = np.argsort(-np.arange(n), kind="stable")
@@ -83,14 +83,32 @@ def _shards(docs: DataFrame) -> int:
     return max(1, -(-int(total or 0) // SHARD_CHARS))
 
 
+def _rows(docs: DataFrame, texts: bool) -> DataFrame:
+    """(doc_id, n, tie, lot, copies[, text]): the rows that have text. Rows that are equal, if there are more than LOT of them, are counted before they are shuffled and come in lots."""
+    own = only(docs, "doc_id", "text").filter("text is not null and text <> ''")
+    rows = own.select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("tie"), *(["text"] if texts else []))
+    many = stored(rows.groupBy("doc_id", "n", "tie").agg(F.count("*").alias("c")).filter(F.col("c") > LOT), "repeated")
+    once = lambda r: r.withColumn("lot", F.lit(0).cast("long")).withColumn("copies", F.lit(1).cast("long"))
+    if many.isEmpty():
+        return once(rows)
+    hot = F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("tie") == F.col("m_tie")) & (F.col("n") == F.col("m_n"))
+    m = many.select(F.col("doc_id").alias("m_doc"), F.col("tie").alias("m_tie"), F.col("n").alias("m_n"))
+    whole = rows.join(m, hot, "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("c"))
+    lots = whole.select(*rows.columns, "c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(c - 1) div {LOT}"))).alias("lot"))
+    return once(rows.join(m, hot, "left_anti")).unionByName(lots.withColumn("copies", F.least(F.lit(LOT).cast("long"), F.col("c") - F.col("lot") * LOT)).drop("c"))
+
+
 def _packed(docs: DataFrame, capacity: int, texts: bool, shards: int | None) -> DataFrame:
     shards = shards or _shards(docs)
-    rows = only(docs, "doc_id", "text").filter("text is not null and text <> ''").select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("tie"), F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(shards)).cast("long").alias("shard"), *(["text"] if texts else []))
+    rows = _rows(docs, texts).withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie", "lot"), F.lit(shards)).cast("long"))
     kinds = "bin_id long, slot int, doc_id long, piece int, begin int, length int" + ", text string" * texts
     names = [k.split()[0] for k in kinds.split(", ")]
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("tie", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("tie", "ascending"), ("lot", "ascending")])
+        copies = table["copies"].to_numpy()
+        if (copies > 1).any():
+            table = table.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
         n = table["n"].to_numpy().astype(np.int64)
         shard = table["shard"][0].as_py()
         pieces = -(-n // capacity)
@@ -111,7 +129,7 @@ def _packed(docs: DataFrame, capacity: int, texts: bool, shards: int | None) ->
 def pack(docs: DataFrame, capacity: int = CAPACITY, texts: bool = False, shards: int | None = None) -> DataFrame:
     """(bin_id, slot, doc_id, piece, begin, length[, text]): each stretch of each document and its place in a bin.
 
-    A document longer than capacity is cut into pieces of capacity characters and the rest; every character is in exactly one bin. Documents are dealt over shards by a hash, as many as the corpus has SHARD_CHARS characters; each shard is packed by itself, so work and memory of a task stay the same at any size, and at most one bin a shard is badly filled for want of documents. Null and empty texts have nothing to pack and no row. Rows that repeat, also in doc_id, are packed each; a null doc_id is kept as null. Other columns are ignored."""
+    A document longer than capacity is cut into pieces of capacity characters and the rest; every character is in exactly one bin. Documents are dealt over shards by a hash, as many as the corpus has SHARD_CHARS characters; each shard is packed by itself, so work and memory of a task stay the same at any size, and at most one bin a shard is badly filled for want of documents. Null and empty texts have nothing to pack and no row. Rows that repeat, also in doc_id, are packed each, and dealt over the shards if there are many; a null doc_id is kept as null. Of pieces that tie in length the one first by doc_id and text goes first. Other columns are ignored. No rows in: none out."""
     return _packed(docs, capacity, texts, shards)
 
 
