@@ -10,11 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, only, read_table, small_batches
+from .common import by_value, names_free, only, read_table, small_batches
 from .folding import INVISIBLE, LOOKALIKES, ODD
 
-#: Term -> weight. A term ending in * matches every word that begins with it.
-LEXICON: dict[str, float] = dict.fromkeys("idiot idiots moron morons scum scumbag loser losers trash pathetic worthless disgusting stupid clown clowns imbecile vermin scumbags bastard bastards bitch asshole".split(), 2.0)
+#: Terms by weight: 3 for slurs that are one in any sentence, 2 for plain insults. A term ending in * matches every word that begins with it.
+_TERMS = {
+    3.0: "scum scumbag scumbags vermin bastard bastards bitch asshole arschloch connard salaud cabrón hijo_de_puta",
+    2.0: "idiot idiots moron morons loser losers trash pathetic worthless disgusting stupid clown clowns imbecile idiota imbécil estúpido dummkopf vollidiot crétin imbécile",
+}
+LEXICON: dict[str, float] = {term.replace("_", " "): weight for weight, terms in _TERMS.items() for term in terms.split()}
 #: Phrases in which a term means no offence; what they cover counts for nothing.
 EXCEPTIONS: tuple[str, ...] = ("trash can", "trash cans", "trash bin", "trash bag", "trash bags", "trash collection", "take out the trash", "clown fish", "circus clown", "worthless check", "pathetic fallacy", "pond scum", "soap scum", "sore loser", "stupid of me")
 #: Toxic: at least this weight per 100 words, and at least this weight in all.
@@ -114,10 +118,11 @@ def learn_terms(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS
     return out
 
 
-def scored(docs: DataFrame, lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
-    """docs with __weight, __hits and __words added; whole texts, row by row in place. A null or empty text has 0 of each."""
+def scored(docs: DataFrame, lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS) -> tuple[DataFrame, tuple[str, str, str]]:
+    """docs with weight, hits and words of each text added, and the names of these columns, which are such as docs has not. Whole texts, row by row in place. A null or empty text has 0 of each."""
     small_batches(docs.sparkSession)
     kept: list[Matcher] = []
+    added = names_free(docs, "weight", "hits", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not kept:
@@ -130,30 +135,32 @@ def scored(docs: DataFrame, lexicon: dict[str, float], exceptions: tuple[str, ..
                 text = text.as_py() or ""
                 w, h = kept[0].weigh(text)
                 ws.append(w), hs.append(h), ns.append(len(text.split()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ws, pa.float64()), pa.array(hs, pa.int64()), pa.array(ns, pa.int64())], names=[*batch.schema.names, "__weight", "__hits", "__words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ws, pa.float64()), pa.array(hs, pa.int64()), pa.array(ns, pa.int64())], names=[*batch.schema.names, *added])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, __weight double, __hits long, __words long")
+    return docs.mapInArrow(run, f"{kinds}, `{added[0]}` double, `{added[1]}` long, `{added[2]}` long"), tuple(added)
 
 
-def _per_100() -> Column:
-    return F.when(F.col("__words") > 0, F.col("__weight") * 100 / F.col("__words")).otherwise(0.0)
+def _per_100(weight: str, words: str) -> Column:
+    return F.when(F.col(words) > 0, F.col(weight) * 100 / F.col(words)).otherwise(0.0)
 
 
-def _toxic(per_100: float, least: float) -> Column:
-    return (_per_100() >= per_100) & (F.col("__weight") >= least)
+def _toxic(weight: str, words: str, per_100: float, least: float) -> Column:
+    return (_per_100(weight, words) >= per_100) & (F.col(weight) >= least)
 
 
 def toxicity(docs: DataFrame, lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, per_100: float = PER_100_WORDS, least: float = LEAST_WEIGHT) -> DataFrame:
     """(doc_id, weight, hits, words, score, toxic) for every row of docs, repeated rows and null doc_ids included.
 
-    score is the weight per 100 words. Null, empty and wordless texts score 0 and are not toxic. Other columns are ignored."""
-    return scored(only(docs, "doc_id", "text"), lexicon, exceptions).select("doc_id", F.col("__weight").alias("weight"), F.col("__hits").alias("hits"), F.col("__words").alias("words"), _per_100().alias("score"), _toxic(per_100, least).alias("toxic"))
+    score is the weight per 100 words, of the whole text, however long. Null, empty and wordless texts score 0 and are not toxic. Where terms tie for a place the longest counts. Other columns, also of the names used here, are ignored. No rows in: none out; an empty lexicon finds nothing."""
+    rows, (weight, hits, words) = scored(only(docs, "doc_id", "text"), lexicon, exceptions)
+    return rows.select("doc_id", F.col(weight).alias("weight"), F.col(hits).alias("hits"), F.col(words).alias("words"), _per_100(weight, words).alias("score"), _toxic(weight, words, per_100, least).alias("toxic"))
 
 
 def without_toxic(docs: DataFrame, lexicon: dict[str, float], per_100: float = PER_100_WORDS, least: float = LEAST_WEIGHT) -> DataFrame:
-    """The rows of docs that are not toxic, all columns kept."""
-    return scored(docs, lexicon).filter(~_toxic(per_100, least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that are not toxic, all columns kept, whatever their names. Null, empty and wordless texts stay, as do null doc_ids and repeated rows. A very long text goes only if it has that much weight in every 100 words of it. No rows in: none out."""
+    rows, (weight, _, words) = scored(docs, lexicon)
+    return rows.filter(~_toxic(weight, words, per_100, least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def full_lexicon(docs: DataFrame, labels: DataFrame) -> dict[str, float]:

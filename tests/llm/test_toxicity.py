@@ -42,6 +42,16 @@ def test_query_rows(spark):
     assert toxicity(df, {}, ()).filter("toxic").count() == 0
 
 
+def test_clashing_columns_and_weights(spark):
+    rows = [(1, "you idiot", "a", 1, 2.0, 3), (2, "fine words", None, 4, None, 6), (2, "fine words", None, 4, None, 6), (None, None, "x", 7, 8.0, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hits string, __words int, weight double, _weight int")
+    kept = without_toxic(df, LEXICON)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows[1:], key=str)
+    got = toxicity(df, LEXICON).collect()
+    assert [r["weight"] for r in got if r["doc_id"] == 1] == [2.0] and len(got) == 4
+    assert Matcher(LEXICON, EXCEPTIONS).weigh("such vermin")[0] > Matcher(LEXICON, EXCEPTIONS).weigh("such losers")[0]
+
+
 def test_learns_planted_stems_only(spark):
     rng = random.Random(4)
     rows, labels = [], []
