@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, components, mix, only, small_batches, stored, text_chunks, tokens
+from .common import by_value, components, mix, names_free, only, small_batches, stored, text_chunks, tokens
 
 BINS, ROWS, WORDS, LEAST = 192, 4, 3, 0.45
 
@@ -98,10 +98,12 @@ def sketch(docs: DataFrame, bins: int = BINS, rows: int = ROWS, size: int = WORD
 
 
 def star_edges(sketches: DataFrame) -> DataFrame:
-    """(u, v): in each bucket the smallest id is the centre and every other id has one edge to it, n - 1 edges for n members."""
-    w = Window.partitionBy("key")
+    """(u, v): in each bucket the smallest id is the centre and every other id has one edge to it, n - 1 edges for n members.
+
+    Centres are an aggregate that starts before the shuffle, and members meet theirs in a join, whose hot buckets Spark splits over tasks; no bucket is held in one."""
     rows = sketches.select("doc_id", F.explode("bands").alias("key"))
-    return rows.select(F.min("doc_id").over(w).alias("u"), F.col("doc_id").alias("v")).filter("u < v").distinct()
+    centres = rows.groupBy("key").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).filter("u < last").select("key", "u")
+    return rows.join(centres, "key").select("u", F.col("doc_id").alias("v")).filter("u < v").distinct()
 
 
 def _grouped(docs: DataFrame, bins: int, rows: int, size: int, least: float) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +119,7 @@ def _grouped(docs: DataFrame, bins: int, rows: int, size: int, least: float) ->
 def near_duplicates(docs: DataFrame, bins: int = BINS, rows: int = ROWS, size: int = WORDS, least: float = LEAST) -> DataFrame:
     """(doc_id, rep_doc_id, similarity) for every document that is a near copy of another: rep_doc_id, the smallest doc_id of its group, stays.
 
-    similarity is the sketch estimate of the Jaccard similarity of word shingles between the document and its group's representative (where the two are linked through others, it may be below ``least``). A pair enters a group if they share a bucket and the estimate reaches ``least``. Null doc_id or text, empty texts and texts without words: in no group. Rows that repeat a doc_id count as one document. No rows in: none out. Other columns are ignored."""
+    similarity is the sketch estimate (two bins are held equal if the lower 16 of their 32 bits are, which adds at most 1 in 65,536) of the Jaccard similarity of word shingles between the document and its group's representative (where the two are linked through others, it may be below ``least``). A pair enters a group if they share a bucket and the estimate reaches ``least``. Null doc_id or text, empty texts and texts without words: in no group; very long texts are sketched as a whole. Rows that repeat a doc_id count as one document. No rows in: none out. Other columns are ignored."""
     groups, sig = _grouped(docs, bins, rows, size, least)
     return (
         groups.join(sig.select(F.col("doc_id").alias("id"), F.col("sig").alias("a")), "id")
@@ -138,18 +140,20 @@ def _same(bins: int):
 
 
 def dedup(docs: DataFrame, bins: int = BINS, rows: int = ROWS, size: int = WORDS, least: float = LEAST) -> DataFrame:
-    """The documents without near copies, all columns kept; one of each group stays.
+    """The documents without near copies, all columns kept, whatever their names; one of each group, that of the least doc_id, stays.
 
-    Rows that share a doc_id are versions of one document: the row first by text stays. Rows with a null doc_id stay as they are, as nothing can name them."""
+    Rows that share a doc_id are versions of one document: the row first by text stays, a null text last. Rows with a null doc_id stay as they are, as nothing can name them; so do null, empty and wordless texts of other doc_ids. Very long texts are sketched as a whole. No rows in: none out."""
     gone = _grouped(docs, bins, rows, size, least)[0].select(F.col("id").alias("doc_id"))
-    many = stored(only(docs, "doc_id").filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id"), "repeated")
+    count, rank = names_free(docs, "n", "rank")
+    many = stored(only(docs, "doc_id").filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(count)).filter(f"{count} > 1").select("doc_id"), "repeated")
     if many.isEmpty():  # texts are shuffled once, for the anti-join
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    out = docs.join(gone.union(many).distinct(), "doc_id", "left_anti")
+        return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.join(gone.union(many).distinct(), "doc_id", "left_anti").select(*names)
     first = docs.join(many, "doc_id", "left_semi").join(gone, "doc_id", "left_anti")
     w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    one = first.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1")
-    return out.select(*docs.columns).unionByName(one.select(*docs.columns))
+    one = first.withColumn(rank, F.row_number().over(w)).filter(f"{rank} = 1").select(*names)
+    return out.unionByName(one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
