@@ -7,7 +7,7 @@ spans are mapped back to the source text."""
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,6 @@ _DOT = re.compile(rf"(?<=\w){_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}(?=\w)")
 _BARE_AT = re.compile(r"(?<=\w)(?:\s+at\s+|\s*@\s*)(?!(?:the|a|an|this|that|our|my|your|his|her|its|any|all|one)\b)(?=[\w\-]{1,63}(?:\s*\.\s*|\s+dot\s+|\s{0,3}[\[({<]\s{0,2}(?:dot|\.)\s{0,2}[\])}>]\s{0,3})[a-z]{2,})")
 _BARE_DOT = re.compile(r"(?<=\w)\s+dot\s+(?=\w)")
 _ZERO = re.compile(f"[{INVISIBLE}]")
-_LOCAL = re.compile(r"[\w.%+\-]+$")
 _DOMAIN = re.compile(r"[a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z]{2,24}(?![a-z0-9])")
 _IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
 _PHONE = re.compile(r"(?:(?<![\d+])\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|(?<![\d.\-])\d{3}[ .\-])\d{3}[ .\-]?\d{4}(?!\d)|(?<![\d+])\+\d{9,14}(?!\d)|(?<!\d)1?\d{10}(?!\d)")
@@ -151,14 +150,30 @@ def normalised(text: str, spelled: bool = True) -> Tape:
     return tape
 
 
-_LEFT = re.compile(r"[\w.%+\-]+(?:(?:\s+dot\s+|\s{0,3}[\[({<]\s{0,2}(?:dot|punkt|point|punto|\.)\s{0,2}[\])}>]\s{0,3})[\w.%+\-]+)*$")
-_RIGHT = re.compile(r"@[\w\-.]+(?:(?:\s+dot\s+|\s{0,3}[\[({<]\s{0,2}(?:dot|punkt|point|punto|\.)\s{0,2}[\])}>]\s{0,3})[\w\-.]+)*")
+_JOIN = r"(?:\s+dot\s+|\s{0,3}[\[({<]\s{0,2}(?:dot|punkt|point|punto|\.)\s{0,2}[\])}>]\s{0,3})"
+_JOINED = re.compile(rf"(?<=[\w.%+\-]){_JOIN}$")
+_RIGHT = re.compile(rf"@[\w\-.]+(?:{_JOIN}[\w\-.]+)*")
+
+
+def _local(t: str, at: int) -> int:
+    """Where the run of characters of a local part that ends at ``at`` begins, however long it is. Runs before different @ never overlap, so a text is walked over once."""
+    while at and (t[at - 1].isalnum() or t[at - 1] in "_.%+-"):
+        at -= 1
+    return at
 
 
 def _around(t: str, at: int) -> tuple[int, int]:
-    left = _LEFT.search(t[max(0, at - 160) : at])
+    """Span of what may be an address with its @ at ``at``: local parts joined by a spelled dot, and the domain."""
+    left = at
+    while (run := _local(t, left)) < left:
+        left = run
+        # a joint is looked for in the 24 characters before the run
+        m = _JOINED.search(t[max(0, left - 24) : left])
+        if not m:
+            break
+        left -= len(m.group(0))
     right = _RIGHT.match(t, at)
-    return at - (len(left.group(0)) if left else 0), right.end() if right else at
+    return left, right.end() if right else at
 
 
 def _all(t: str, x: str) -> Iterator[int]:
@@ -176,6 +191,19 @@ def _apart(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
+def _each(pattern: re.Pattern, t: str, a: int, b: int) -> Iterator[re.Match]:
+    """The matches at every place of t[a:b], also those that overlap, as one of them may turn out to be no identifier."""
+    while m := pattern.search(t, a, b):
+        yield m
+        a = m.start() + 1
+
+
+def _card(number: str) -> bool:
+    """Whether a number's last digit is its check digit (every other digit doubled, from the last but one on)."""
+    d = [int(c) for c in reversed(number) if c.isdigit()]
+    return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
+
+
 def _sound(iban: str) -> bool:
     """Whether the check digits are right."""
     x = iban.replace(" ", "")
@@ -203,9 +231,9 @@ def find(text: str, spelled: bool = True) -> list[tuple[int, int, str]]:
     t = tape.text
     hits: list[tuple[int, int, int]] = []
     for at in _all(t, "@"):
-        left, right = _LOCAL.search(t[max(0, at - 128) : at]), _DOMAIN.match(t, at + 1)
-        if left and right:
-            hits.append((1, at - len(left.group(0)), right.end()))
+        left, right = _local(t, at), _DOMAIN.match(t, at + 1)
+        if left < at and right:
+            hits.append((1, left, right.end()))
     for area in _NUMBERS.finditer(t):
         a, b = area.span()
         # the area may hold no more than the check digits, if letters follow
@@ -215,18 +243,19 @@ def find(text: str, spelled: bool = True) -> list[tuple[int, int, str]]:
             continue
         while a and t[a - 1] in "+(" and area.start() - a < 2:
             a -= 1
-        hits += [(3, m.start(), m.end()) for m in _IP.finditer(t, a, b) if all(int(x) < 256 for x in m.group(0).split("."))]
+        hits += [(3, m.start(), m.end()) for m in _each(_IP, t, a, b) if all(int(x) < 256 for x in m.group(0).split("."))]
         for rank, pattern in ((4, _SSN), (5, _CARD), (6, _PHONE)):
-            hits += [(rank, m.start(), m.end()) for m in pattern.finditer(t, a, b)]
-        if t[a] == "+":
-            hits += [(6, m.start(), m.end()) for m in _ABROAD.finditer(t, a, b) if 9 <= sum(map(str.isdigit, m.group(0))) <= 15]
+            hits += [(rank, m.start(), m.end()) for m in _each(pattern, t, a, b) if rank != 5 or _card(m.group(0))]
+        if "+" in t[a : area.start()]:
+            hits += [(6, m.start(), m.end()) for m in _each(_ABROAD, t, a, b) if 9 <= sum(map(str.isdigit, m.group(0))) <= 15]
     if any(x in t for x in ("token", "secret", "passw", "key")):
         hits += [(0, m.start(1), m.end(1)) for m in _SECRET.finditer(t)]
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # apart and in order, so only the neighbours of a hit can overlap it
     for rank, a, b in sorted(hits):
-        if all(b <= x or a >= y for x, y, _ in taken):
-            taken.append((a, b, KINDS[rank]))
-    return [(*tape.source(a, b), kind) for a, b, kind in sorted(taken)]
+        k = bisect_left(taken, (a, b, ""))
+        if (not k or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+            taken.insert(k, (a, b, KINDS[rank]))
+    return [(*tape.source(a, b), kind) for a, b, kind in taken]
 
 
 def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -264,12 +293,12 @@ def _mapped(docs: DataFrame, spans: bool) -> DataFrame:
 def pii(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_spans, spans) for every row: text with each identifier replaced by its kind, spans the identifiers' places in characters of the source text.
 
-    A null text stays null and an empty one empty, without spans; a text without identifiers is returned as it is. Repeated rows and null doc_ids are rows like others. Other columns are ignored."""
+    A null text stays null and an empty one empty, without spans; a text without identifiers is returned as it is. Of hits that overlap the kind first in KINDS stays, then the one that begins first. Texts are read whole, in time that grows with their length. Repeated rows and null doc_ids are rows like others. Other columns are ignored. No rows in: none out."""
     return _mapped(only(docs, "doc_id", "text"), True).select("doc_id", "text", F.size("spans").alias("n_spans"), "spans")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with text redacted and, where it was there, n_chars counted again; all columns and rows kept."""
+    """docs with text redacted and, where it was there, n_chars counted again; all columns, whatever their names, and all rows kept. A null text stays null and an empty one empty, a null n_chars null; whole texts are read, however long. No rows in: none out."""
     out = _mapped(docs, False)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
