@@ -17,6 +17,10 @@ from .common import by_value, only, read_table, small_batches
 ZIGZAG = np.array([r * 8 + c for s in range(15) for r, c in ((i, s - i) if s % 2 else (s - i, i) for i in range(s + 1)) if r < 8 and c < 8])
 
 
+#: Bytes of images, and images, that are decoded in lockstep; one image may have more bytes. With fewer lanes than FEW a lane is read by itself.
+LOCKSTEP_BYTES, LOCKSTEP_IMAGES, FEW = 1 << 26, 256, 24
+
+
 class Bad(ValueError):
     """An image that can't be read; the text says why."""
 
@@ -160,6 +164,8 @@ def dc_planes(infos: list[dict]) -> list[np.ndarray | str]:
                 dcs[i, k], acs[i, k] = table(s[2]), table(s[3])
                 comps[i, k] = info["scan"].index(s)
                 lumas[i, k] = y * g["wide"] + x if s[4] else -1
+            if g["mcus"] * len(g["blocks"]) * 2 > len(info["data"]) * 8:  # a block takes two bits at least
+                raise Bad("truncated")
             parts = _lanes(info["data"])
             step = info["restart"] or g["mcus"]
             if len(parts) != -(-g["mcus"] // step):
@@ -175,10 +181,11 @@ def dc_planes(infos: list[dict]) -> list[np.ndarray | str]:
             owner.append(i), lane_mcu.append(k * step), lane_n.append(min(step, g["mcus"] - k * step)), lane_at.append(pos)
             chunks.append(p + b"\0" * 8)
             pos += len(p) + 8
-    plane, bad = np.zeros(planes, np.int64), np.zeros(len(infos), bool)
+    plane, bad = np.zeros(planes, np.int32), np.zeros(len(infos), bool)
     if owner:
-        data = np.frombuffer(b"".join(chunks), np.uint8).astype(np.int64)
-        lut = np.concatenate(luts).astype(np.int64)
+        joined = b"".join(chunks)
+        data = np.frombuffer(joined, np.uint8)
+        lut = np.concatenate(luts)
         across = np.array([g["across"] if g else 1 for g in spec])
         gh, gv, wide = (np.array([g[x] if g else 1 for g in spec]) for x in ("h", "v", "wide"))
         lane = np.arange(len(owner))
@@ -187,11 +194,12 @@ def dc_planes(infos: list[dict]) -> list[np.ndarray | str]:
         end = bit + np.array([len(c) - 8 for c in chunks], np.int64) * 8
         block, coef = np.zeros_like(lane), np.zeros_like(lane)
         pred = np.zeros((len(lane), 4), np.int64)
-        while len(lane):
+        while len(lane) > FEW:
             p = bit >> 3
-            word = (data[p] << 32 | data[p + 1] << 24 | data[p + 2] << 16 | data[p + 3] << 8 | data[p + 4]) >> (8 - (bit & 7)) & 0xFFFFFFFF
+            b0, b1, b2, b3, b4 = (data[p + k].astype(np.int64) for k in range(5))
+            word = (b0 << 32 | b1 << 24 | b2 << 16 | b3 << 8 | b4) >> (8 - (bit & 7)) & 0xFFFFFFFF
             is_dc = coef == 0
-            entry = lut[np.where(is_dc, dcs[own, block], acs[own, block]) << 16 | word >> 16]
+            entry = lut[np.where(is_dc, dcs[own, block], acs[own, block]) << 16 | word >> 16].astype(np.int64)
             length, sym = entry >> 8, entry & 255
             size = np.where(is_dc, sym, sym & 15)
             wrong = (length == 0) | (is_dc & (sym > 11))
@@ -220,6 +228,12 @@ def dc_planes(infos: list[dict]) -> list[np.ndarray | str]:
             go = (todo > 0) & ~wrong
             if not go.all():
                 lane, own, mcu, todo, bit, end, block, coef, pred = (x[go] for x in (lane, own, mcu, todo, bit, end, block, coef, pred))
+        for k in range(len(lane)):
+            i = int(own[k])
+            g, n = spec[i], int(sizes[i])
+            kinds = [(luts[dcs[i, j]], luts[acs[i, j]], int(comps[i, j]), int(lumas[i, j])) for j in range(n)]
+            state = (int(bit[k]), int(end[k]), int(block[k]), int(coef[k]), int(mcu[k]), int(todo[k]), pred[k].tolist())
+            bad[i] |= not _alone(joined, kinds, state, plane[base[i] : base[i] + g["wide"] * g["rows"]], g)
     for i, g in enumerate(spec):
         if g and bad[i]:
             out[i] = "corrupt"
@@ -229,6 +243,42 @@ def dc_planes(infos: list[dict]) -> list[np.ndarray | str]:
     return out
 
 
+def _alone(data: bytes, kinds: list[tuple], state: tuple, plane: np.ndarray, g: dict) -> bool:
+    """Read the rest of one lane, symbol by symbol; False if it is corrupt. For the last lanes, which are too few for numpy to gain by."""
+    bit, end, block, coef, mcu, todo, pred = state
+    tables = [(d.tolist(), a.tolist(), c, lu) for d, a, c, lu in kinds]
+    across, gv, gh, wide = g["across"], g["v"], g["h"], g["wide"]
+    while todo:
+        dc, ac, comp, luma = tables[block]
+        while coef < 64:
+            at = bit >> 3
+            word = int.from_bytes(data[at : at + 5], "big") >> (8 - (bit & 7)) & 0xFFFFFFFF
+            entry = (ac if coef else dc)[word >> 16]
+            length, sym = entry >> 8, entry & 255
+            if coef:
+                size = sym & 15
+                coef += (sym >> 4) + 1 if size else 16 if sym == 0xF0 else 64
+                if coef > 64 and (size or sym == 0xF0):
+                    return False
+            else:
+                size = sym
+                if size > 11:
+                    return False
+                if size:
+                    extra = word >> (32 - length - size) & ((1 << size) - 1)
+                    pred[comp] += extra - (1 << size) + 1 if extra < 1 << size >> 1 else extra
+                if luma >= 0:
+                    plane[mcu // across * gv * wide + mcu % across * gh + luma] = pred[comp]
+                coef = 1
+            bit += length + size
+            if not length or bit > end:
+                return False
+        block, coef = block + 1, 0
+        if block == len(tables):
+            block, mcu, todo = 0, mcu + 1, todo - 1
+    return True
+
+
 _RESIZE: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -258,7 +308,17 @@ FIELDS = "status string, width int, height int, thumb_width int, thumb_height in
 
 
 def decode(images: list[bytes | None]) -> list[tuple]:
-    """FIELDS of each image."""
+    """FIELDS of each image; as many at once as LOCKSTEP_BYTES and LOCKSTEP_IMAGES allow, so memory is bounded by them or by one image."""
+    out, begin, size = [], 0, 0
+    for k, data in enumerate(images):
+        size += len(data or b"")
+        if k > begin and (size > LOCKSTEP_BYTES or k - begin >= LOCKSTEP_IMAGES):
+            out += _decode(images[begin:k])
+            begin, size = k, len(data or b"")
+    return out + _decode(images[begin:])
+
+
+def _decode(images: list[bytes | None]) -> list[tuple]:
     infos, where, out = [], [], [(None,) * 8] * len(images)
     for i, data in enumerate(images):
         if data is None:
@@ -279,7 +339,7 @@ def decode(images: list[bytes | None]) -> list[tuple]:
 def media(df: DataFrame, key: str, image: str) -> DataFrame:
     """(key, FIELDS) of every row: dimensions, the DC-only luminance thumbnail (a pixel for each 8 x 8 block, row by row) and its hashes.
 
-    status is ok; not_jpeg, also for no bytes; unsupported (progressive, arithmetic, lossless, 12 bits); truncated or corrupt. Where it isn't ok, what could not be read is null. A null image has all null. Repeated rows and null keys are rows like others. Other columns are ignored."""
+    status is ok; not_jpeg, also for no bytes; unsupported (progressive, arithmetic, lossless, 12 bits); truncated or corrupt. An image whose header tells of more blocks than its scan has room for is truncated; no memory is taken for them. Where it isn't ok, what could not be read is null. A null image has all null. An image of any size is read whole. No rows in: none out. Repeated rows and null keys are rows like others. Other columns are ignored."""
     small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
