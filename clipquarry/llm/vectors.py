@@ -79,29 +79,39 @@ def crossing(x: np.ndarray, centres: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], sigma: float, recall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, whether its own): the cells a vector visits, likeliest first, until the chances of those left sum to at most 1 - recall."""
+    """(row, cell, whether its own): the cells a vector visits, likeliest first, until the chances of those not visited sum to at most 1 - recall.
+
+    The multi-sequence walk, of all rows in step: centres of each half are sorted by chance, and of centre i of the first half taken[i] cells have been visited. The next cell is the best of the corners (i, taken[i]), of which only those with taken[i] < taken[i - 1] can be, so a row looks at a staircase of the grid and never at the grid."""
     half = books[0].shape[1]
     k = len(books[1])
     probs = [crossing(part, b, sigma) for part, b in zip((x[:, :half], x[:, half:]), books, strict=True)]
     order = [np.argsort(-p, axis=1, kind="stable") for p in probs]
-    sortp = [np.take_along_axis(p, o, 1) for p, o in zip(probs, order, strict=True)]
-    spare = (1 - recall) / 4
-    most = []
-    for p, other in zip(sortp, sortp[::-1], strict=True):
-        tail = np.cumsum(p[:, ::-1], axis=1)[:, ::-1] * other.sum(1)[:, None]
-        most.append(int((tail > spare).sum(1).max()) or 1)
-    m1, m2 = most
-    grid = (sortp[0][:, :m1, None] * sortp[1][:, None, :m2]).reshape(len(x), -1)
-    turn = np.argsort(-grid, axis=1, kind="stable")
-    ordered = np.take_along_axis(grid, turn, 1)
-    left = np.cumsum(ordered[:, ::-1], axis=1)[:, ::-1]
-    go = left > 2 * spare
-    go[:, 0] = True
-    row, rank = np.nonzero(go)
-    where = turn[row, rank]
-    cell = order[0][row, where // m2] * k + order[1][row, where % m2]
-    own = order[0][row, 0] * k + order[1][row, 0] == cell
-    return row, cell, own
+    p, q = (np.take_along_axis(p, o, 1).astype(np.float64) for p, o in zip(probs, order, strict=True))
+    q = np.c_[q, np.zeros(len(x))]  # beyond the last centre there is nothing
+    left = p.sum(1) * q.sum(1)
+    live = np.arange(len(x))
+    taken = np.zeros((len(x), 1), np.int64)
+    corner = p[:, :1] * q[:, :1]
+    rows, first, second = [], [], []
+    while len(live):
+        i = corner.argmax(1)
+        at = np.arange(len(live))
+        j = taken[at, i]
+        rows.append(live), first.append(order[0][live, i]), second.append(order[1][live, j])
+        left[live] -= corner[at, i]
+        taken[at, i] += 1
+        if i.max() + 1 == taken.shape[1] and taken.shape[1] < p.shape[1]:
+            taken, corner = np.c_[taken, np.zeros(len(live), np.int64)], np.c_[corner, np.zeros(len(live))]
+        for c in (i, np.minimum(i + 1, taken.shape[1] - 1)):
+            t = taken[at, c]
+            open_ = (c == 0) | (t < taken[at, np.maximum(c - 1, 0)])
+            corner[at, c] = np.where(open_, p[live, c] * q[live, np.minimum(t, k)], 0.0)
+        go = (left[live] > 1 - recall) & (corner.max(1) > 0)
+        if not go.all():
+            live, taken, corner = live[go], taken[go], corner[go]
+    row, a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (rows, first, second))
+    own = (a == order[0][row, 0]) & (b == order[1][row, 0])
+    return row, a * k + b, own
 
 
 def _listed(rows: DataFrame, dim: int, books: tuple[np.ndarray, np.ndarray], sigma: float, recall: float) -> DataFrame:
@@ -122,55 +132,96 @@ def _listed(rows: DataFrame, dim: int, books: tuple[np.ndarray, np.ndarray], sig
     return rows.mapInArrow(run, "cell long, id long, own boolean, v binary")
 
 
+def linked(v: np.ndarray, homes: int, least: float) -> np.ndarray:
+    """For each vector of length 1 a label, equal for those that chains of pairs of at least that cosine connect; of a pair, one at least is among the first ``homes``.
+
+    Leaders are taken in order; what is near a leader has its label at once, so dense groups cost one pass. Only vectors of groups whose leaders are so near that the angles allow a link are compared one by one, in blocks."""
+    n = len(v)
+    label = np.full(n, -1)
+    if not homes:
+        return np.arange(n)
+    leaders: list[int] = []
+    for i in range(homes):
+        if label[i] < 0:
+            free = np.flatnonzero(label < 0)
+            near = free[v[free] @ v[i] >= least]
+            label[near], label[i] = len(leaders), len(leaders)
+            leaders.append(i)
+    free = np.flatnonzero(label < 0)  # visitors that no leader is near to
+    label[free] = len(leaders) + np.arange(len(free))
+    leaders += free.tolist()
+    parent = np.arange(len(leaders))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    lead = v[leaders]
+    angle = np.arccos(np.clip((v * lead[label]).sum(1), -1, 1))
+    radius = np.zeros(len(leaders))
+    np.maximum.at(radius, label, angle)
+    reach = np.arccos(np.clip(least, -1, 1))
+    members = np.split(np.argsort(label, kind="stable"), np.cumsum(np.bincount(label, minlength=len(leaders)))[:-1])
+    for a in range(len(leaders)):
+        apart = np.arccos(np.clip(lead[a + 1 :] @ lead[a], -1, 1))
+        for b in (np.flatnonzero(apart <= reach + radius[a] + radius[a + 1 :] + 1e-6) + a + 1).tolist():
+            if root(a) == root(b):
+                continue
+            x, y = members[a], members[b]
+            for lo in range(0, len(x), 1024):
+                some = v[x[lo : lo + 1024]] @ v[y].T >= least
+                some &= (x[lo : lo + 1024] < homes)[:, None] | (y < homes)[None]
+                if some.any():
+                    parent[root(b)] = root(a)
+                    break
+    return np.array([root(k) for k in range(len(leaders))])[label]
+
+
 def _edges(table: pa.Table, dim: int, least: float) -> pa.Table:
-    """Star edges of one cell: verified pairs, thinned to one edge from each vector to the smallest id it is linked with in the cell."""
+    """Star edges of one cell: of vectors that verified pairs link, one edge from each to the smallest id."""
     ids = table["id"].to_numpy()
     own = np.array(table["own"])
     v = np.frombuffer(b"".join(table["v"].to_pylist()), np.float32).reshape(len(ids), dim)
     order = np.argsort(~own, kind="stable")
-    ids, v, homes = ids[order], v[order], int(own.sum())
-    label = np.arange(len(ids))
-    if homes:
-        near = []
-        for lo in range(0, len(ids), 2048):
-            a, b = np.nonzero(v[lo : lo + 2048] @ v[:homes].T >= least)
-            near.append(np.c_[a + lo, b][a + lo > b])
-        pairs = np.concatenate(near)
-        rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-        back = np.argsort(rank)
-        label = rank.copy()
-        while len(pairs):
-            old = label.copy()
-            low = np.minimum(label[pairs[:, 0]], label[pairs[:, 1]])
-            np.minimum.at(label, pairs[:, 0], low)
-            np.minimum.at(label, pairs[:, 1], low)
-            label = label[back[label]]
-            if (label == old).all():
-                break
-        root = ids[back[label]]
-        keep = root != ids
-        return pa.table({"u": pa.array(root[keep]), "v": pa.array(ids[keep])})
-    return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    ids, label = ids[order], linked(v[order], int(own.sum()), least)
+    smallest = np.full(label.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(smallest, label, ids)
+    root = smallest[label]
+    keep = root != ids
+    return pa.table({"u": pa.array(root[keep]), "v": pa.array(ids[keep])})
 
 
 def near_duplicates(vectors: DataFrame, least: float = COSINE, recall: float = RECALL, cell: int = CELL, rounds: int = ROUNDS) -> DataFrame:
     """(vec_id, rep_vec_id) for every vector that has a near copy: rep_vec_id is the smallest vec_id of its group, linked by pairs of at least that cosine; the representative has no row.
 
-    Every vector is a query. The dimension is that of most vectors; vectors of another, null or zero ones, ones with null, infinite or NaN coordinates, and rows with a null vec_id have no row. Equal vectors and ties are near copies of each other; rows that repeat a vec_id count as one. The grid grows with the number of vectors, so a cell holds as many at any size. No rows in: none out. Other columns are ignored."""
+    Every vector is a query. The dimension is that of most vectors; vectors of another, null or zero ones, ones with null, infinite or NaN coordinates, and rows with a null vec_id have no row. Equal vectors, however many, are one before anything else is done with them, and each is linked with the smallest of their ids; rows that repeat a vec_id count as one, with all its vectors. The grid grows with the number of different vectors, and its centres are drawn from them, so a cell holds as many at any size and where vectors lie close cells do too. No rows in: none out. Other columns are ignored."""
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = only(vectors, "vec_id", "embedding").filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"))
-    sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    every = only(vectors, "vec_id", "embedding").filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"))
+    sizes = every.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None or sizes["d"] < 2:
         return spark.createDataFrame([], "vec_id long, rep_vec_id long")
-    dim, n = sizes["d"], sizes["count"]
+    dim = sizes["d"]
+    good = every.filter((F.size("vec") == dim) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0))
+    name = [F.xxhash64("vec").alias("a"), F.xxhash64(F.lit(1), F.col("vec")).alias("b")]  # 128 bits stand for a vector
+    ids = good.select("vec_id", *name)
+    first = stored(ids.groupBy("a", "b").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
+    copies = ids.join(first.filter("n > 1"), ["a", "b"]).filter("vec_id > rep").select(F.col("rep").alias("u"), F.col("vec_id").alias("v"))
+    n = first.count()
+    many = n < first.agg(F.sum("n")).first()[0]
+    rows = good
+    if many:  # one row for each different vector; what is left out is what first says
+        w = good.select("vec_id", "vec", *name).join(first.select("a", "b", F.col("rep").alias("vec_id")), ["a", "b", "vec_id"]).groupBy("a", "b", "vec_id").agg(F.first("vec").alias("vec"))
+        rows = stored(w.select("vec_id", "vec"), "vectors")
     k = max(1, math.ceil(math.sqrt(n / cell)))
-    books = codebooks(rows, dim, k, rounds)
+    books = codebooks(rows, dim, k, rounds) if n else (np.zeros((0, 1)),) * 2
     if not len(books[0]):
         return spark.createDataFrame([], "vec_id long, rep_vec_id long")
     sigma = math.sqrt(max(2 - 2 * least, 1e-9) / dim)
     lists = _listed(rows, dim, books, sigma, recall)
-    found = stored(lists.groupBy("cell").applyInArrow(lambda t: _edges(t, dim, least), "u long, v long"), "vectors")
+    found = stored(lists.groupBy("cell").applyInArrow(lambda t: _edges(t, dim, least), "u long, v long").unionByName(copies), "vectors")
     return components(found).filter("id <> root").select(F.col("id").alias("vec_id"), F.col("root").alias("rep_vec_id"))
 
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from clipquarry.llm.vectors import near_duplicates
+from clipquarry.llm.vectors import crossing, linked, near_duplicates, visits
 
 SCHEMA = "vec_id long, embedding array<float>, label int, cell int, id string"
 
@@ -43,3 +43,50 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(i, x, None, 3, None) for i, x in rows], SCHEMA)
     assert [tuple(r) for r in near_duplicates(df).collect()] == [(6, 5)]
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_visits_are_the_likeliest_cells():
+    rng = np.random.default_rng(3)
+    for k in (1, 2, 9):
+        books = (rng.normal(size=(k, 4)).astype(np.float32), rng.normal(size=(k, 4)).astype(np.float32))
+        x = rng.normal(size=(40, 8)).astype(np.float32)
+        for recall in (0.5, 0.98, 1.0):
+            row, cell, own = visits(x, books, 0.4, recall)
+            p, q = crossing(x[:, :4], books[0], 0.4), crossing(x[:, 4:], books[1], 0.4)
+            for r in range(len(x)):
+                grid = (p[r][:, None].astype(float) * q[r][None]).ravel()
+                got = cell[row == r]
+                assert len(set(got.tolist())) == len(got) and own[row == r][0] and own[row == r].sum() == 1
+                assert np.allclose(grid[got], np.sort(grid)[::-1][: len(got)])  # in order, and none is skipped
+                rest = grid.sum() - grid[got].sum()
+                assert rest <= 1 - recall + 1e-9 or len(got) == k * k
+                assert len(got) == 1 or rest + grid[got[-1]] > 1 - recall - 1e-9
+
+
+def test_linked_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n, homes = 60, int(rng.integers(0, 61))
+        x = rng.normal(size=(6, 5))[rng.integers(0, 6, n)] + rng.normal(size=(n, 5)) * 0.3
+        v = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        pairs = [(a, b) for a, b in np.argwhere(np.triu(v @ v.T >= 0.95, 1)).tolist() if a < homes]
+        true, got = roots(pairs, range(n)), linked(v, homes, 0.95)
+        assert all((got[a] == got[b]) == (true[a] == true[b]) for a in range(n) for b in range(n))
+
+
+def test_dense_cells_take_no_longer(spark):
+    import time
+
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=64)
+    took = []
+    for n in (2000, 16000):
+        x = c + rng.normal(size=(n, 64)) * 0.02
+        v = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        began = time.perf_counter()
+        assert len(set(linked(v, n, 0.95).tolist())) == 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 0.5
+    same = spark.createDataFrame([(i, [1.0, 2.0, 3.0], 0, 0, "") for i in range(20_000)] + [(20_000, [3.0, -1.0, 0.0], 0, 0, "")], SCHEMA)
+    got = near_duplicates(same).collect()
+    assert len(got) == 19_999 and {r["rep_vec_id"] for r in got} == {0}
