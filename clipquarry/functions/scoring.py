@@ -7,12 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What each factor weighs in the priority, in tenths.
-_TENTHS = dict(audio=7, base=10, completeness=10, duration=14, hook=18, mid_thought=10, quote=8, readability=12, speaker=6, speech_rate=4)
-DEFAULT_WEIGHTS = {factor: tenths / 10 for factor, tenths in _TENTHS.items()}
+#: What each factor weighs in the priority.
+DEFAULT_WEIGHTS = {"audio": 0.7, "base": 0.55, "completeness": 1.0, "duration": 1.4, "hook": 1.8, "mid_thought": 1.0, "quote": 0.8, "readability": 1.2, "speaker": 0.6, "speech_rate": 0.4}
 NEUTRAL = 0.5
-#: Words that open a hook well, in either language.
-HOOK_WORDS = r"(?iu)(?<![\p{L}\p{N}])(why|how|what|when|secret|mistake|truth|never|always|почему|как|что|когда|секрет|ошибка|правда|никогда|всегда)(?![\p{L}\p{N}])"
+_WORD_EDGE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+#: Words that open a hook well, in either language; a number that stands by itself.
+HOOK_WORDS = "why how what лучше почему как что".split()
+HOOK_WORD, NUMBER = (rf"(?iu){_WORD_EDGE[0]}(?:{x}){_WORD_EDGE[1]}" for x in ("|".join(HOOK_WORDS), r"\p{Nd}+(?:[.,]\p{Nd}+)?"))
+QUESTION, EXCLAMATION = "[?？]", "[!！]"
 
 
 def col(x: Column | str) -> Column:
@@ -83,13 +85,13 @@ def _points(*terms: tuple[Column, float]) -> Column:
 def hook_strength(hook: Column | str = "hook", title: Column | str = "title") -> Column:
     h = F.when(text(hook) != "", text(hook)).otherwise(text(title))
     first = F.substring(h, 1, 1)
-    score = bounded(word_count(h), 4, 14) * 0.45 + _points((h.contains("?"), 0.12), (h.contains("!"), 0.08), (h.rlike("[0-9]"), 0.08), (h.rlike(HOOK_WORDS), 0.08), (F.length(h) <= 80, 0.12), ((first == F.upper(first)) & (first != F.lower(first)), 0.07))
+    score = bounded(word_count(h), 4, 14) * 0.45 + _points((h.rlike(QUESTION), 0.12), (h.rlike(EXCLAMATION), 0.08), (h.rlike(NUMBER), 0.08), (h.rlike(HOOK_WORD), 0.08), (F.length(h) <= 80, 0.12), ((first == F.upper(first)) & (first != F.lower(first)), 0.07))
     return F.when(h == "", 0.0).otherwise(F.least(F.lit(1.0), score))
 
 
 def readability(caption: Column | str = "caption", quote: Column | str = "quote") -> Column:
     b = F.when(text(caption) != "", text(caption)).otherwise(text(quote))
-    score = bounded(word_count(b), 8, 28) * 0.55 + _points((F.length(b) <= 220, 0.15), (F.length(b) >= 30, 0.1), (b.rlike("[,:—]"), 0.1), (b.rlike("[?!]"), 0.05))
+    score = bounded(word_count(b), 8, 28) * 0.55 + _points((F.length(b) <= 220, 0.15), (F.length(b) >= 30, 0.1), (b.rlike("[,:—]"), 0.1), (b.rlike("[?？!！]"), 0.05))
     return F.when(b == "", 0.0).otherwise(F.least(F.lit(1.0), score))
 
 

@@ -138,10 +138,10 @@ def salvaged(s: pd.Series) -> pd.Series:
 
 
 def json_value(reply: Column | str) -> Column:
-    """Clean JSON stays in the JVM; only the rest goes through Python."""
+    """Clean JSON stays in the JVM; Python sees a null in its place, and only the rest as it is."""
     c = without_fences(reply)
     clean = F.try_parse_json(c)
-    return F.when(clean.isNotNull(), F.to_json(clean)).otherwise(salvaged(col(reply)))
+    return F.coalesce(F.to_json(clean), salvaged(F.when(clean.isNull(), col(reply))))
 
 
 def markdown_sections(text: str | None) -> list[tuple[str, list[str]]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ TOKEN = r"[\p{L}\p{N}]+"
 STOPS = ".!?" + "。！？"
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x worked out once, however often it is used, also in branches."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def tokens(x: Column | str) -> Column:
     """Letter-and-digit runs, lower case, ё as е; null has none."""
     return F.regexp_extract_all(F.replace(F.lower(F.coalesce(col(x), F.lit(""))), F.lit("ё"), F.lit("е")), F.lit(TOKEN), F.lit(0))
@@ -81,12 +88,34 @@ def faithfulness(source: Column | str, edited: Column | str, limits: dict[str, f
 
 
 def trimmed(x: Column | str, most: int) -> Column:
-    """At most ``most`` characters: cut at the last space if that keeps 70 %, without a trailing mark, with an ellipsis."""
-    t = clean(x)
-    cut = F.substring(t, 1, most - 1)
-    space = F.length(cut) - F.locate(" ", F.reverse(cut))
-    at = F.when((F.locate(" ", F.reverse(cut)) > 0) & (space >= most * 0.7), F.substring(cut, F.lit(1), space)).otherwise(cut)
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.regexp_replace(at, r"[ ,;:.\-]+$", ""), F.lit("…")))
+    """At most ``most`` characters: cut at the last space if that keeps 70 %, without trailing marks, with three dots."""
+    limit = most - 3
+
+    def cut(t: Column) -> Column:
+        def at(c: Column) -> Column:
+            space = F.length(c) - F.locate(" ", F.reverse(c))
+            whole = F.when((F.locate(" ", F.reverse(c)) > 0) & (space >= int(limit * 0.7)), F.substring(c, F.lit(1), space)).otherwise(c)
+            return F.concat(F.regexp_replace(whole, r"[ ,;:.\-]+$", ""), F.lit("..."))
+
+        return F.when(F.length(t) <= most, t).otherwise(let(F.rtrim(F.substring(t, 1, limit)), at) if most > 3 else F.substring(t, 1, most))
+
+    return let(clean(x), cut)
+
+
+def excerpt(x: Column, most: int) -> Column:
+    """At most ``most`` characters and an ellipsis; cut at the last space if that keeps over 60 %."""
+    cut = F.substring(x, 1, most)
+    space = most - F.locate(" ", F.reverse(cut))
+    at = F.when((F.locate(" ", F.reverse(cut)) > 0) & (space > most * 0.6), F.substring(cut, F.lit(1), space)).otherwise(cut)
+    return F.when(F.length(x) <= most, x).otherwise(F.concat(F.rtrim(at), F.lit("…")))
+
+
+def first_lines(x: Column, most: int, least: float = 0.8) -> Column:
+    """At most ``most`` characters, back to the last line end if that keeps over ``least`` of them."""
+    cut = F.substring(x, 1, most)
+    line = most - F.locate("\n", F.reverse(cut))
+    at = F.when((F.locate("\n", F.reverse(cut)) > 0) & (line > most * least), F.substring(cut, F.lit(1), line)).otherwise(cut)
+    return F.when(F.length(x) <= most, x).otherwise(at)
 
 
 def normalise_hashtag(x: Column | str) -> Column:
@@ -94,48 +123,82 @@ def normalise_hashtag(x: Column | str) -> Column:
     return F.when(t != "", F.concat(F.lit("#"), t))
 
 
-STOPWORDS = ["the", "and", "for", "are", "was", "with", "that", "this", "from", "not", "you", "all", "und", "der", "die", "das", "les", "des", "est", "que", "los", "las", "una", "как", "что", "это", "для", "или", "они", "все"]
-TYPE_TAGS = {"story": ["#story", "#shorts", "#podcast", "#clip", "#video"], "highlight": ["#highlight", "#shorts", "#podcast", "#clip", "#video"], "long_reel": ["#longreel", "#podcast", "#reels", "#clip", "#video"], "reel": ["#reels", "#podcast", "#shorts", "#clip", "#video"]}
+#: Words that are no keywords, shortest first.
+STOPWORDS = (
+    "a an as at be by do he if in is it me my no of on or so to up we and are but can did for had has her him his how its may not our out she the was who why you been does from have here "
+    "into just like more most over some than that them then they this very were what when will with your could doing their there these those under where which would having because through "
+    "а в и к о с у я бы да до ее же за из им их ли мы на не ни но об он от по со то без был вам вас вот все всю где для его еще или как кто мне над нее нет обо она они оно под при про раз сам сво так там тут уже чем что эта эти это "
+    "была были весь всех даже если лишь него одна тоже хотя этот какой когда может после такие такой через чтобы только"
+).split()
+TYPE_TAGS = {"story": "story podcast reels shorts viral".split(), "highlight": "highlight podcast reels shorts viral".split(), "long_reel": "longreel podcast reels shorts viral".split(), "reel": "podcast reels shorts interview viral".split()}
+KEYWORD = "[A-Za-zА-Яа-яЁё0-9]+"
+TAGS = 5
+
+
+def keywords(x: Column | str) -> Column:
+    """Latin and Cyrillic words but numbers, single letters and stop words, in order, repeats kept."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(col(x), F.lit(""))), F.lit(KEYWORD), F.lit(0))
+    return F.filter(words, lambda t: (F.length(t) >= 2) & ~t.rlike(r"^[0-9]+$") & ~t.isin(*STOPWORDS))
 
 
-def keywords(x: Column | str, least: int = 3) -> Column:
-    """Tokens but numbers, short ones and stop words, in order, repeats kept."""
-    return F.filter(tokens(x), lambda t: (F.length(t) >= least) & ~t.rlike(r"^[0-9]+$") & ~t.isin(*STOPWORDS))
+def given_tags(tags: Column) -> Column:
+    """The tags in an array of texts; a text may hold several."""
+    return F.flatten(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
 
 
-def hashtags(given: Column, sources: list[Column | str], bucket: Column, most: int = 5) -> Column:
-    """The first ``most`` distinct of the given tags, the keywords of the sources and the tags of the type."""
+def hashtags(given: Column, sources: list[Column | str], bucket: Column, most: int = TAGS) -> Column:
+    """The first ``most`` distinct of the given tags, the keywords of the sources in turn and the tags of the type. A source is looked at only where those before it do not give enough."""
     types = F.coalesce(*[F.when(bucket == k, F.array(*map(F.lit, v))) for k, v in TYPE_TAGS.items()], F.array(*map(F.lit, TYPE_TAGS["reel"])))
-    words = [F.transform(keywords(s, 4), normalise_hashtag) for s in sources]
-    return F.slice(F.array_distinct(F.array_compact(F.concat(F.transform(F.coalesce(given, F.array().cast("array<string>")), normalise_hashtag), *words, types))), 1, most)
+    tags = lambda raw: F.array_distinct(F.array_compact(F.transform(raw, normalise_hashtag)))
+    more = lambda acc, x: F.when(F.size(acc) >= most, acc).otherwise(F.array_distinct(F.concat(acc, tags(keywords(x)))))
+    found = F.aggregate(F.array(*[F.coalesce(col(x), F.lit("")) for x in sources]), tags(given_tags(given)), more)
+    return F.slice(let(found, lambda t: F.when(F.size(t) >= most, t).otherwise(F.array_distinct(F.concat(t, tags(types))))), 1, most)
 
 
-VAGUE = r"(?iu)^(this clip|this moment|in this video|этот момент|в этом видео)"
+_UP, _ANY = "[A-ZА-ЯЁ]", "A-Za-zА-Яа-яЁё"
+#: What a text is about, likeliest first: initials and a number, a word with a digit in it, a name and a number, capitals.
+TOPICS = (
+    rf"{_UP}(?:&{_UP})+\s+[0-9]+[{_ANY}]*",
+    rf"{_UP}[{_ANY}0-9&/-]*[0-9](?:[{_ANY}0-9&/-]*[{_ANY}0-9])?",
+    rf"{_UP}[{_ANY}]{{2,}}\s+[0-9]+[{_ANY}]*",
+    rf"{_UP}{{2,}}(?:[&/-][A-ZА-ЯЁ0-9]+)*",
+)
 
 
 def subject(*fields: Column | str) -> Column:
-    """What a text is about: what follows 'about', else the first words of the first field that has any."""
-    about = [F.nullif(F.regexp_extract(clean(f), r"(?iu)(?:about|sur|über|sobre|про|о том,)\s+([\p{L}\p{N} ]{3,40})", 1), F.lit("")) for f in fields]
-    first = [F.nullif(F.regexp_extract(clean(f), r"^(\S+(?: \S+){0,3})", 1), F.lit("")) for f in fields]
-    return F.coalesce(*about, *first, F.lit(""))
+    """What a text is about: the first of the topic patterns in the first field that has any; '' if none has."""
+    edge = r"(?<![\p{L}\p{N}_])(?:%s)(?![\p{L}\p{N}_])"
+    topic = lambda f: F.coalesce(*[F.nullif(F.regexp_extract(f, edge % p, 0), F.lit("")) for p in TOPICS], F.lit(""))
+    found = F.aggregate(F.array(*[F.coalesce(col(f), F.lit("")) for f in fields]), F.lit(""), lambda acc, f: F.when(acc != "", acc).otherwise(let(without_hashtags(f), topic)))
+    return F.regexp_replace(found, r"\s+", " ")
+
+
+#: Nouns that say nothing by themselves after "this": stem and the endings that may follow it, and those of one form.
+_VAGUE = {"систем": "ауеы", "игр": "ауеы", "подкаст": "ауеы", "книг": "ауеы", "фильм": "ауеы", "сериал": "ауеы", "проект": "ауеы", "момент": "ауеы", "штук": "ауеы", "сцен": "ауеы", "правил": "ауеы", "редакц": "июеы", "ситуац": "июеы", "кампани": "юеи", "истори": "юеи", "иде": "юеи", "вещ": "ьауеы"}
+_VAGUE_FORMS = "видео тему теме механику механике редакции ситуации идее истории"
+_THIS = "эт(?:а|и|о|у|их|ой|ом|от)"
+VAGUE = rf"{_THIS}\s+(?:" + "|".join([f"{stem}[{ends}]?" for stem, ends in _VAGUE.items()] + _VAGUE_FORMS.split()) + ")"
 
 
 def rewrite_vague(x: Column, by: Column) -> Column:
-    """The vague opening replaced by the subject, taken as it stands."""
-    m = F.regexp_extract(x, VAGUE, 1)
-    return F.when((m != "") & (by != ""), F.concat(by, F.substring(x, F.length(m) + 1, F.length(x)))).otherwise(x)
+    """Phrases like "this game" replaced by the subject, taken as it stands."""
+    return F.when(by != "", F.regexp_replace(x, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{VAGUE})(?![\p{{L}}\p{{N}}_])"), by)).otherwise(x)
 
 
 def without_hashtags(x: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(col(x), F.lit("")), r"#[\p{L}\p{N}_]+", ""), r"\s+([,.!?;:])", "$1"), r"\s+", " "))
+    t = F.regexp_replace(clean(x), r"(?<![\p{L}\p{N}_])#[\p{L}\p{N}_]+", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+([,.!?;:])", "$1"), r"\s+", " "))
+
+
+NOTHING_SAID = {True: "Сильный момент из подкаста.", False: "Strong podcast moment."}
 
 
 def description(caption="caption", hook="hook", title="title", quote="quote", why="why", most: int = 1000) -> Column:
-    """The caption, its vague opening made specific; without one, the other parts that differ, in a row."""
-    c = without_hashtags(caption)
-    parts = F.array_distinct(F.filter(F.array(*[without_hashtags(x) for x in (hook, title, quote, why)]), lambda p: p != ""))
-    built = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"[.!?…]$"), p).otherwise(F.concat(p, F.lit(".")))), " ")
-    return trimmed(F.when(c != "", rewrite_vague(c, subject(title, hook, quote, why))).when(built != "", built).otherwise("Podcast moment."), most)
+    """The caption, its vague phrases made specific; without one, hook, title, quote and why in a row."""
+    parts = F.array_join(F.filter(F.transform(F.array(*[F.coalesce(col(x), F.lit("")) for x in (hook, title, quote, why)]), without_hashtags), lambda p: p != ""), " ")
+    base = let(without_hashtags(caption), lambda c: F.when(c != "", c).otherwise(parts))
+    nothing = F.when(cyrillic(F.concat_ws(" ", title, hook, quote, why, caption)), NOTHING_SAID[True]).otherwise(NOTHING_SAID[False])
+    return trimmed(let(base, lambda b: F.when(b == "", nothing).otherwise(let(subject(title, hook, quote, why), lambda by: rewrite_vague(b, by)))), most)
 
 
 def cyrillic(x: Column | str) -> Column:
@@ -157,8 +220,9 @@ def font_name(path: Column | str) -> Column:
 
 
 def model_folder(x: Column | str) -> Column:
-    t = F.lower(F.trim(F.coalesce(col(x), F.lit(""))))
-    return F.when(t == "", "unknown").otherwise(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9.]+", "_"), r"^_+|_+$", ""))
+    """A folder name for a model: letters, digits, _ and - stay, what parts a name's pieces becomes _, all else goes."""
+    t = F.regexp_replace(F.lower(F.trim(F.coalesce(col(x), F.lit("")))), "[:./ ]", "_")
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}_\-]+", ""), r"^_+|_+$", ""), F.lit("")), F.lit("model"))
 
 
 def escape_filter(x: Column | str) -> Column:

@@ -48,7 +48,8 @@ def stability(m: DataFrame, width: int) -> DataFrame:
     return pairs.join(both, ["ep", "a", "b"], "left").select("ep", "a", "b", (F.floor(c / (F.col("na") + F.col("nb") - c) * 10000 + 0.5) / 10000).alias("jaccard"))
 
 
-CAPITAL = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}{2,}"
+#: A capitalised word of four letters or more that opens no sentence and no line.
+CAPITAL = r"(?m)(?<![.!?…\n]\s)(?<!^)(?<![\p{L}\p{N}_])[А-ЯЁA-Z][а-яёa-z]{3,}(?![\p{L}\p{N}_])"
 
 
 def suspect_terms(docs: DataFrame, key: str, least: int = 2, stem: int = 6, length: int = 6) -> DataFrame:

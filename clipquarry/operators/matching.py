@@ -1,7 +1,7 @@
 """Fuzzy matching and checked edits: quotes against what was said, corrections against their source, spellings against a lookup.
 
-Sequence ratios are those of difflib with its defaults; they are the only part in Python, in Arrow batches, and only for
-rows that plain comparison does not decide."""
+Sequence ratios are those of difflib with its defaults; they are the only part in Python, in Arrow batches, and rows that plain
+comparison decides come to it as nulls, which it passes over."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ MATCH = 0.75
 
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def safe_correction(original: Column | str, corrected: Column | str, least: float = 0.8) -> Column:
@@ -30,7 +30,9 @@ def safe_correction(original: Column | str, corrected: Column | str, least: floa
     a, b = normalised(original), normalised(corrected)
     na, nb = F.size(tokens(original)), F.size(tokens(corrected))
     drift = F.greatest(F.lit(2), F.floor(na * 0.2).cast("int"))
-    return F.when(b == "", a == "").when(a == b, True).when(F.abs(na - nb) > drift, False).otherwise(ratio(a, b) >= least)
+    decided = F.when(b == "", a == "").when(a == b, True).when(F.abs(na - nb) > drift, False)
+    # a branch does not keep Python from seeing a row; a null does
+    return F.coalesce(decided, ratio(F.when(decided.isNull(), a), F.when(decided.isNull(), b)) >= least)
 
 
 def applied(segments: DataFrame, fixes: DataFrame, key: list[str]) -> DataFrame:

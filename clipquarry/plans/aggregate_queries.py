@@ -69,14 +69,16 @@ def latest_per_key(spark, d):
     return A.latest_by(o, "cust", F.struct("o_orderdate", "o_orderkey"), "o_orderkey", "o_orderstatus", "cents")
 
 
-_CAPS = r"""w AS (SELECT doc_id, lang, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(text, '\s', ' ', 'g'), '([\p{Ll},;] )(\p{Lu}\p{Ll}{2,})', '\1' || chr(1) || '\2', 'g'), '([\p{Ll},;] )(\p{Lu}\p{Ll}{2,})', '\1' || chr(1) || '\2', 'g'), chr(1))) AS piece, generate_subscripts(string_split(regexp_replace(regexp_replace(regexp_replace(text, '\s', ' ', 'g'), '([\p{Ll},;] )(\p{Lu}\p{Ll}{2,})', '\1' || chr(1) || '\2', 'g'), '([\p{Ll},;] )(\p{Lu}\p{Ll}{2,})', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) AS pos FROM documents),
-c AS (SELECT doc_id, pos, regexp_extract(piece, '^(\p{Lu}\p{Ll}{2,})', 1) AS word FROM w WHERE pos > 1)"""
+#: Openers of sentences and lines are marked, then the capitalised words that are not marked are taken out.
+_CAPS = r"""w AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([.!?…\n]\s)([А-ЯЁA-Z])', '\1' || chr(1) || '\2', 'g'), '(?m)^([А-ЯЁA-Z])', chr(1) || '\1', 'g') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '(?:^|[^\p{L}\p{N}_\x01])[А-ЯЁA-Z][а-яёa-z]{3,}[\p{L}\p{N}_]*') AS ws FROM w),
+x AS (SELECT doc_id, unnest(ws) AS raw, generate_subscripts(ws, 1) AS pos FROM m),
+c AS (SELECT doc_id, pos, regexp_extract(raw, '[\p{L}\p{N}_]+') AS word FROM x WHERE regexp_full_match(regexp_extract(raw, '[\p{L}\p{N}_]+'), '[А-ЯЁA-Z][а-яёa-z]{3,}'))"""
 
 
 @register("suspect_terms", f"WITH {_CAPS}, g AS (SELECT doc_id, left(lower(word), 6) AS stem, count(*) AS occurrences, min(length(word)) AS least, arg_min(word, length(word) * 1000000 + pos) AS term FROM c GROUP BY ALL) SELECT doc_id, stem, occurrences, term FROM g WHERE occurrences >= 2 AND least >= 6")
 def suspect_terms(spark, d):
-    docs = V.table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\s", " ").alias("text"))
-    return A.suspect_terms(docs, "doc_id")
+    return A.suspect_terms(V.table(spark, d, "documents"), "doc_id")
 
 
 @register("collocates", r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]') AS w FROM documents), p AS (SELECT doc_id, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM t),

@@ -54,7 +54,18 @@ def time_chunks(spark, d):
     return O.per_key(V.sentences(spark, d), "ep", ["seg", "pos"], lambda r: O.time_chunks(r, 60_000), "seg long, pos long, chunk long")
 
 
-@register("overlap_chunks")
+#: For each unit as the first of a chunk, the unit after its last and the one that begins the next chunk; then the chain of these from the first unit.
+_CHUNKS = f""", u AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY s_ms, e_ms, seg, pos) AS i, count(*) OVER (PARTITION BY ep) AS n, '[' || (s_ms // 1000) || '-' || (e_ms // 1000) || '] ' || CASE WHEN speaker <> '' THEN '(' || speaker || ') ' ELSE '' END || text AS line FROM sentences),
+c AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY ep ORDER BY i) AS chars FROM u),
+j AS (SELECT a.ep, a.i, a.n, a.s_ms, coalesce(min(b.i) FILTER (b.i > a.i AND (b.e_ms - a.s_ms > 90000 OR b.chars - a.chars + length(a.line) > 2500)), a.n + 1) AS j FROM c a JOIN c b ON b.ep = a.ep AND b.i >= a.i GROUP BY a.ep, a.i, a.n, a.s_ms),
+k AS (SELECT j.ep, j.i, j.j, j.n, max(b.e_ms) AS e_ms FROM j JOIN c b ON b.ep = j.ep AND b.i BETWEEN j.i AND j.j - 1 GROUP BY j.ep, j.i, j.j, j.n),
+x AS (SELECT k.*, CASE WHEN k.j > k.n THEN k.j ELSE coalesce((SELECT min(b.i) FROM c b, c a WHERE a.ep = k.ep AND a.i = k.i AND b.ep = k.ep AND b.i > k.i AND b.s_ms >= greatest(a.s_ms, k.e_ms - 30000)), k.j) END AS nxt FROM k),
+f AS (SELECT ep, i, 1 AS no FROM x WHERE i = 1 UNION ALL SELECT x.ep, x.nxt, f.no + 1 FROM f JOIN x ON x.ep = f.ep AND x.i = f.i WHERE x.nxt <= x.n)
+SELECT f.ep, 'chunk_' || CASE WHEN f.no < 1000 THEN lpad(CAST(f.no AS VARCHAR), 3, '0') ELSE CAST(f.no AS VARCHAR) END AS chunk_id, min(c.s_ms) AS s_ms, x.e_ms, string_agg(c.line, chr(10) ORDER BY c.i) AS text, list_sort(list_distinct(list(c.speaker))) AS speakers, count(*) AS units, f.i > 1 AS overlap_left, x.j <= x.n AS overlap_right, list_sort(list_distinct(list(c.seg))) AS segments
+FROM f JOIN x ON x.ep = f.ep AND x.i = f.i JOIN c ON c.ep = f.ep AND c.i BETWEEN f.i AND x.j - 1 GROUP BY f.ep, f.no, f.i, x.e_ms, x.j, x.n"""
+
+
+@register("overlap_chunks", using("sentences", recursive=True) + _CHUNKS)
 def overlap_chunks(spark, d):
     return O.per_key(V.sentences(spark, d), "ep", ["s_ms", "e_ms", "seg", "pos"], lambda r: O.overlapping_chunks(r, 90_000, 2500, 30_000), "chunk_id string, s_ms long, e_ms long, text string, speakers array<string>, units long, overlap_left boolean, overlap_right boolean, segments array<long>")
 
@@ -74,9 +85,22 @@ def digest(spark, d):
     return O.per_key(V.sentences(spark, d), "ep", ["seg", "pos"], lambda r: O.digest(r, 30_000, 12), "seg long, pos long, s_ms long, text string")
 
 
-@register("sampled_rows")
+_LINE = "'[' || (s_ms // 1000) || '-' || (e_ms // 1000) || '] ' || text"
+
+
+@register("sampled_rows", using("sentences") + f""", x AS (SELECT *, {_LINE} AS line, row_number() OVER (PARTITION BY ep ORDER BY seg, pos) - 1 AS i, count(*) OVER (PARTITION BY ep) AS n FROM sentences),
+y AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY ep) AS every, greatest(1, n // 4) AS q FROM x),
+r AS (SELECT *, CASE WHEN every <= 2400 OR i < q THEN 0 WHEN i >= greatest(0, n // 2 - q // 2) AND i < n // 2 + q // 2 THEN 1 WHEN i >= n - q THEN 2 END AS part FROM y),
+z AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY ep ORDER BY CASE WHEN every <= 2400 THEN 0 ELSE part END, i) AS upto FROM r WHERE part IS NOT NULL)
+SELECT ep, string_agg(line, chr(10) ORDER BY part, i) AS transcript, list_sort(list_distinct(list(s_ms // 1000))) AS starts, list_sort(list_distinct(list(e_ms // 1000))) AS ends FROM z WHERE upto <= 2400 GROUP BY ep""")
 def sampled_rows(spark, d):
-    return O.per_key(V.sentences(spark, d), "ep", ["seg", "pos"], lambda r: O.sampled(r, 900), "seg long, pos long, text string")
+    """The part of a transcript that fits a prompt, and the times that an answer may begin and end at."""
+    sec = lambda c: F.floor(F.col(c) / 1000)
+    line = F.concat(F.lit("["), sec("s_ms").cast("string"), F.lit("-"), sec("e_ms").cast("string"), F.lit("] "), F.col("text"))
+    x = O.sampled(V.sentences(spark, d).withColumn("line", line), "ep", ["seg", "pos"], F.length("line") + 1, 2400)
+    # the parts are in order of time, but for an episode of one or two rows, which is all in the first
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "pos", "line"))), lambda y: y["line"]), "\n")
+    return x.groupBy("ep").agg(shown.alias("transcript"), F.array_sort(F.collect_set(sec("s_ms"))).alias("starts"), F.array_sort(F.collect_set(sec("e_ms"))).alias("ends"))
 
 
 _CUES = using("sentences", recursive=True) + ", x AS (SELECT ep, seg, pos, s_ms, e_ms + (seg * 7 + pos * 13) % 9 * 400 AS e_ms, row_number() OVER (PARTITION BY ep ORDER BY seg, pos) AS k FROM sentences)"
@@ -95,7 +119,7 @@ def overlap_push(spark, d):
 @register("subtitle_timing", _CUES + """, t AS (SELECT *, s_ms + least(7000, greatest(1500, e_ms - s_ms)) AS e, lead(s_ms) OVER (PARTITION BY ep ORDER BY k) AS nx FROM x)
 SELECT ep, seg, pos, s_ms, CASE WHEN nx - e < 150 AND nx - 150 - s_ms >= 1500 THEN least(e, nx - 150) ELSE e END AS e_ms FROM t""")
 def timing(spark, d):
-    return O.per_key(_cues(spark, d), "ep", ["seg", "pos"], O.timed_cues, "seg long, pos long, s_ms long, e_ms long")
+    return O.cue_times(_cues(spark, d), "ep", ["seg", "pos"]).select("ep", "seg", "pos", "s_ms", "e_ms")
 
 
 @register("subtitle_cues")
@@ -113,13 +137,9 @@ def srt_cues(spark, d):
 f AS (SELECT doc_id, k, 1 AS line, length(word) AS n FROM w WHERE k = 1 UNION ALL SELECT w.doc_id, w.k, CASE WHEN f.n + 1 + length(word) <= 42 THEN f.line ELSE f.line + 1 END, CASE WHEN f.n + 1 + length(word) <= 42 THEN f.n + 1 + length(word) ELSE length(word) END FROM f JOIN w ON w.doc_id = f.doc_id AND w.k = f.k + 1)
 SELECT doc_id, max(line)::BIGINT AS lines, max(n)::BIGINT AS longest FROM f GROUP BY doc_id""")
 def wrapped_lines(spark, d):
-    def kernel(rows):
-        for r in rows:
-            lines = O.wrapped(r["text"])
-            if lines:
-                yield {"lines": len(lines), "longest": max(map(len, lines))}
-
-    return O.per_key(V.table(spark, d, "documents").select("doc_id", "text"), "doc_id", ["doc_id"], kernel, "lines long, longest long")
+    """Every text wrapped where it lies; nothing is shuffled."""
+    lines = V.table(spark, d, "documents").select("doc_id", O.wrapped_text("text").alias("lines")).filter("size(lines) > 0")
+    return lines.select("doc_id", F.size("lines").cast("long").alias("lines"), F.array_max(F.transform("lines", lambda x: F.length(x).cast("long"))).alias("longest"))
 
 
 @register("speaker_islands", using("segments") + ", c AS (SELECT *, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY ep ORDER BY seg) THEN 0 ELSE 1 END AS n FROM (SELECT ep, seg, CASE WHEN seg % 4 < 2 THEN 'a' ELSE 'b' END AS speaker, s_ms, e_ms, text FROM segments)), i AS (SELECT *, sum(n) OVER (PARTITION BY ep ORDER BY seg) AS island FROM c) SELECT ep, CAST(island AS BIGINT) AS island, any_value(speaker) AS speaker, min(s_ms) AS s_ms, max(e_ms) AS e_ms, string_agg(text, ' ' ORDER BY seg) AS text FROM i GROUP BY ep, island")
@@ -149,21 +169,37 @@ def karaoke(spark, d):
     return x.select("ep", "seg", "pos", "s_ms", F.col("end").alias("e_ms"), F.concat(F.lit("{\\kf"), F.floor((F.col("end") - F.col("s_ms")) / 10).cast("string"), F.lit("}"), F.col("word")).alias("tag"))
 
 
-@register("speaker_turns")
+#: A speaker for 17 of every 19 seconds, in turn of three; the last span ends with the episode.
+_SPANS = "ends AS (SELECT ep, max(e_ms) AS m FROM segments GROUP BY ep), spans AS (SELECT ep, k AS pos, k * 19000 AS s, least(m, k * 19000 + 17000) AS e, 'S' || (k % 3) AS speaker FROM (SELECT ep, m, unnest(range(0, (m - 1) // 19000 + 1)) AS k FROM ends))"
+#: Of every fifth segment the word times are not known.
+_TIMED = "(ep + seg) % 5 <> 0"
+
+
+@register("speaker_turns", using("words", recursive=True) + f""", {_SPANS}, tw AS (SELECT ep, seg, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS t, s_ms, e_ms FROM segments),
+p AS (SELECT ep, seg, pos, s_ms, e_ms FROM words WHERE {_TIMED} UNION ALL SELECT ep, seg, 0, s_ms, e_ms FROM tw WHERE NOT {_TIMED} AND len(t) > 0),
+c AS (SELECT p.*, x.speaker, row_number() OVER (PARTITION BY p.ep, p.seg, p.pos ORDER BY CASE WHEN 2 * x.s <= p.s_ms + p.e_ms AND p.s_ms + p.e_ms <= 2 * x.e THEN 0 ELSE 1 END, greatest(2 * x.s - p.s_ms - p.e_ms, p.s_ms + p.e_ms - 2 * x.e, 0), x.s, x.pos) AS r FROM p JOIN spans x ON x.ep = p.ep),
+l AS (SELECT *, CASE WHEN speaker = lag(speaker) OVER w THEN 0 ELSE 1 END AS new FROM c WHERE r = 1 WINDOW w AS (PARTITION BY ep, seg ORDER BY pos)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY ep, seg ORDER BY pos) AS run FROM l),
+runs0 AS (SELECT ep, seg, run, min(pos) AS first, max(pos) + 1 AS stop, any_value(speaker) AS who FROM i GROUP BY ep, seg, run), runs AS (SELECT *, lead(who) OVER (PARTITION BY ep, seg ORDER BY run) AS after FROM runs0),
+f AS (SELECT ep, seg, run, 1 AS g, who, false AS skip FROM runs WHERE run = 1
+ UNION ALL SELECT x.ep, x.seg, x.run, CASE WHEN f.skip OR f.who = x.who OR (x.after IS NOT NULL AND x.stop - x.first < 2 AND f.who = x.after) THEN f.g ELSE f.g + 1 END, CASE WHEN f.skip OR f.who = x.who OR (x.after IS NOT NULL AND x.stop - x.first < 2 AND f.who = x.after) THEN f.who ELSE x.who END, NOT f.skip AND x.after IS NOT NULL AND x.stop - x.first < 2 AND f.who = x.after FROM f JOIN runs x ON x.ep = f.ep AND x.seg = f.seg AND x.run = f.run + 1),
+m AS (SELECT x.ep, x.seg, f.g, any_value(f.who) AS who, min(x.first) AS first, max(x.stop) AS stop FROM f JOIN runs x ON x.ep = f.ep AND x.seg = f.seg AND x.run = f.run GROUP BY x.ep, x.seg, f.g),
+n AS (SELECT m.*, tw.t, len(tw.t) AS tn, count(w.pos) AS wn, CAST(round_even(m.first::DOUBLE * len(tw.t) / greatest(count(w.pos), 1), 0) AS INT) AS cut0, any_value(tw.s_ms) AS s0, any_value(tw.e_ms) AS e0 FROM m JOIN tw ON tw.ep = m.ep AND tw.seg = m.seg LEFT JOIN words w ON w.ep = m.ep AND w.seg = m.seg AND (m.ep + m.seg) % 5 <> 0 GROUP BY m.ep, m.seg, m.g, m.who, m.first, m.stop, tw.t),
+k AS (SELECT *, CASE WHEN cut0 <= 0 OR cut0 >= tn THEN cut0 ELSE coalesce(list_filter([cut0, cut0 - 1, cut0 + 1, cut0 - 2, cut0 + 2, cut0 - 3, cut0 + 3, cut0 - 4, cut0 + 4], lambda j: j BETWEEN 1 AND tn AND regexp_matches(t[j], '[.!?…]["»”’)\\]]*$'))[1], cut0) END AS a FROM n),
+z AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY ep, seg ORDER BY g), tn) AS b FROM k),
+o AS (SELECT z.ep, z.seg, z.g, z.who, CASE WHEN z.wn > 0 THEN w1.s_ms ELSE z.s0 END AS s_ms, CASE WHEN z.wn > 0 THEN w2.e_ms ELSE z.e0 END AS e_ms, array_to_string(z.t[a + 1:b], ' ') AS text FROM z LEFT JOIN words w1 ON w1.ep = z.ep AND w1.seg = z.seg AND w1.pos = z.first LEFT JOIN words w2 ON w2.ep = z.ep AND w2.seg = z.seg AND w2.pos = z.stop - 1 WHERE b > a),
+q AS (SELECT *, CASE WHEN who = lag(who) OVER (PARTITION BY ep ORDER BY seg, g) THEN 0 ELSE 1 END AS new FROM o), u AS (SELECT *, sum(new) OVER (PARTITION BY ep ORDER BY seg, g) AS turn FROM q)
+SELECT ep, CAST(turn AS BIGINT) AS turn, any_value(who) AS speaker, arg_min(s_ms, seg * 100000 + g) AS s_ms, arg_max(e_ms, seg * 100000 + g) AS e_ms, string_agg(text, ' ' ORDER BY seg, g) AS text FROM u GROUP BY ep, turn""")
 def speaker_turns(spark, d):
     """Turns from segments with word times and speaker spans cut into the same timeline."""
-    w = V.words(spark, d).groupBy("ep", "seg").agg(F.array_sort(F.collect_list(F.struct("s_ms", "e_ms"))).alias("words"))
-    seg = V.segments(spark, d).join(w, ["ep", "seg"], "left")
-
-    def kernel(rows):
-        end = max(r["e_ms"] for r in rows)
-        spans = [{"s": s, "e": min(end, s + 17_000), "speaker": f"S{k % 3}"} for k, s in enumerate(range(0, end, 19_000))]
-        return O.speaker_turns(rows, spans)
+    w = V.words(spark, d).filter(_TIMED).groupBy("ep", "seg").agg(F.array_sort(F.collect_list(F.struct("pos", "s_ms", "e_ms"))).alias("words"))
+    seg = V.segments(spark, d).join(w, ["ep", "seg"], "left").withColumn("words", F.transform("words", lambda x: F.struct(x["s_ms"].alias("s_ms"), x["e_ms"].alias("e_ms"))))
+    ends = V.segments(spark, d).groupBy("ep").agg(F.max("e_ms").alias("m")).select("ep", "m", F.explode(F.expr("sequence(0L, (m - 1) div 19000)")).alias("pos"))
+    spans = ends.select("ep", "pos", (F.col("pos") * 19_000).alias("s"), F.least("m", F.col("pos") * 19_000 + 17_000).alias("e"), F.concat(F.lit("S"), F.col("pos") % 3).alias("speaker"))
+    return O.speaker_turns(seg, spans, "ep")
 
-    return O.per_key(seg, "ep", ["seg"], kernel, "speaker string, s_ms long, e_ms long, text string")
 
-
-_NMS = """, o AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY score DESC, s, e, id) AS k FROM moments),
+_NMS = """, o AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY score DESC, s, e, title, id) AS k FROM moments),
 f AS (SELECT ep, 1 AS k, [{'id': id, 's': s, 'e': e}] AS kept FROM o WHERE k = 1 UNION ALL SELECT o.ep, o.k, CASE WHEN len(list_filter(f.kept, lambda z: least(z.e, o.e) > greatest(z.s, o.s) AND 100 * (least(z.e, o.e) - greatest(z.s, o.s)) >= 35 * greatest(z.e - z.s, o.e - o.s))) > 0 THEN f.kept ELSE list_append(f.kept, {'id': o.id, 's': o.s, 'e': o.e}) END FROM f JOIN o ON o.ep = f.ep AND o.k = f.k + 1),
 l AS (SELECT ep, arg_max(kept, k) AS kept FROM f GROUP BY ep) SELECT ep, unnest(kept).id AS id FROM l"""
 
@@ -173,9 +209,22 @@ def nms_dedupe(spark, d):
     return O.nms(V.moments(spark, d).withColumn("value", F.col("score")), "ep")
 
 
-@register("rank_greedy")
+#: Of the rows that suppression leaves, three passes: varied topics under the quotas, then the rest under them, then any up to the total.
+_RANK = """, k0 AS (SELECT m.*, unnest_id.id AS keep FROM moments m JOIN (SELECT unnest(kept).id AS id FROM l) unnest_id ON unnest_id.id = m.id),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY score DESC, s, e, id) AS i, count(*) OVER (PARTITION BY ep) AS n, list_distinct(list_filter(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'), lambda t: length(t) >= 3)) AS tok, CASE clip_type WHEN 'story' THEN 2 WHEN 'reel' THEN 3 WHEN 'long_reel' THEN 1 ELSE 5 END AS quota FROM k0),
+n1 AS (SELECT ep, id, s, e, tok, clip_type, quota, i + n * pass AS step, pass FROM n0, (VALUES (0), (1), (2)) p(pass)),
+g AS (SELECT ep, 0::BIGINT AS step, []::STRUCT(id BIGINT, s BIGINT, e BIGINT, tok VARCHAR[], kind VARCHAR)[] AS got FROM n1 GROUP BY ep
+ UNION ALL SELECT x.ep, x.step, CASE WHEN len(list_filter(g.got, lambda z: z.id = x.id OR (z.s < x.e AND x.s < z.e))) > 0
+  OR (x.pass < 2 AND len(list_filter(g.got, lambda z: z.kind = x.clip_type)) >= x.quota)
+  OR (x.pass = 0 AND len(list_filter(g.got, lambda z: len(z.tok) > 0 AND len(x.tok) > 0 AND 2 * len(list_intersect(z.tok, x.tok)) >= len(list_distinct(list_concat(z.tok, x.tok))))) > 0)
+  OR (x.pass = 2 AND len(g.got) >= 14) THEN g.got ELSE list_append(g.got, {'id': x.id, 's': x.s, 'e': x.e, 'tok': x.tok, 'kind': x.clip_type}) END FROM g JOIN n1 x ON x.ep = g.ep AND x.step = g.step + 1),
+w AS (SELECT ep, arg_max(got, step) AS got FROM g GROUP BY ep), v AS (SELECT ep, unnest(got) AS t, generate_subscripts(got, 1) AS rank FROM w)
+SELECT ep, t.id AS id, rank, t.kind AS bucket, t.s AS s, t.e AS e FROM v"""
+
+
+@register("rank_greedy", using("moments", recursive=True) + _NMS[: _NMS.rindex(" SELECT ep, unnest")] + _RANK)
 def rank_greedy(spark, d):
-    rows = V.moments(spark, d).withColumn("value", F.col("score").cast("double"))
+    rows = V.moments(spark, d).withColumn("value", F.col("score").cast("double")).select("ep", "id", "s", "e", "value", "title", "clip_type")
     return O.per_key(rows, "ep", ["id"], lambda r: O.ranked(r, dict(story=2, reel=3, long_reel=1, highlight=5), total=14), "id long, rank long, bucket string, s long, e long")
 
 

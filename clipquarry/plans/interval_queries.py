@@ -77,11 +77,10 @@ def guard_fallback(spark, d):
     return I.guarded_semi(o, i, "ep", "id", DAY, 150_000).select("ep", "id", "s", "e")
 
 
-@register("assign_speaker_max_overlap", using("predicted", "diarization") + """, c AS (SELECT p.id, d.speaker, row_number() OVER (PARTITION BY p.id ORDER BY least(p.e, d.e) - greatest(p.s, d.s) DESC, d.pos) AS r FROM predicted p JOIN diarization d ON p.ep = d.ep AND p.s < d.e AND d.s < p.e WHERE p.event_type = 'error')
-SELECT p.ep, p.id, c.speaker FROM predicted p LEFT JOIN c ON c.id = p.id AND r = 1 WHERE p.event_type = 'error'""")
+@register("assign_speaker_max_overlap", using("predicted", "diarization") + """, c AS (SELECT p.id, d.speaker, row_number() OVER (PARTITION BY p.id ORDER BY least(p.e, d.e) - greatest(p.s, d.s) DESC, d.pos) AS r FROM predicted p JOIN diarization d ON p.ep = d.ep AND p.s < d.e AND d.s < p.e)
+SELECT p.ep, p.id, c.speaker FROM predicted p LEFT JOIN c ON c.id = p.id AND r = 1""")
 def assign_speaker(spark, d):
-    p = V.predicted(spark, d).filter("event_type = 'error'")
-    return I.largest_overlap(p, V.diarization(spark, d), "ep", "id", "speaker", DAY).select("ep", "id", "speaker")
+    return I.largest_overlap(V.predicted(spark, d), V.diarization(spark, d), "ep", "id", "speaker", DAY).select("ep", "id", "speaker")
 
 
 _POINTS = ", q AS (SELECT ep, id, s AS t FROM moments WHERE event_type IN ('error', 'signup', 'purchase'))"
@@ -179,10 +178,10 @@ def asof_anchor(spark, d):
     return I.asof(_points(spark, d), V.moments(spark, d).filter("event_type = 'click'").select("ep", F.col("s").alias("a")), "ep", "id")
 
 
-@register("normalize_duration", using("moments") + ", q AS (SELECT ep, id, s, e FROM moments WHERE event_type = 'error') SELECT id, s, CASE WHEN e - s BETWEEN 3600 AND 36000 THEN e ELSE coalesce((SELECT min(m.e) FROM moments m WHERE m.ep = q.ep AND m.event_type = 'view' AND m.e BETWEEN q.s + 3600 AND q.s + 36000), e) END AS e FROM q")
+@register("normalize_duration", using("moments") + ", q AS (SELECT ep, id, s, e FROM moments) SELECT id, s, CASE WHEN e - s BETWEEN 3600 AND 36000 THEN e ELSE coalesce((SELECT min(m.e) FROM moments m WHERE m.ep = q.ep AND m.event_type = 'view' AND m.e BETWEEN q.s + 3600 AND q.s + 36000), e) END AS e FROM q")
 def normalize_duration(spark, d):
     """Where a length is out of bounds, the first allowed end that makes it fit."""
-    q = V.moments(spark, d).filter("event_type = 'error'").select("ep", "id", "s", "e")
+    q = V.moments(spark, d).select("ep", "id", "s", "e")
     ends = V.moments(spark, d).filter("event_type = 'view'").select("ep", F.col("e").alias("a"))
     f = I.asof(q.withColumn("t", F.col("s") + 3600), ends, "ep", "id", forward=True)
     fits = (F.col("e") - F.col("s")).between(3600, 36000)

@@ -20,7 +20,8 @@ def _p(cond, x):
     return f"(CASE WHEN {cond} THEN {x}::DOUBLE ELSE 0 END)"
 
 
-_HW = "(^|[^\\p{L}\\p{N}])(why|how|what|when|secret|mistake|truth|never|always|почему|как|что|когда|секрет|ошибка|правда|никогда|всегда)($|[^\\p{L}\\p{N}])"
+_HW = "(^|[^\\p{L}\\p{N}_])(why|how|what|лучше|почему|как|что)($|[^\\p{L}\\p{N}_])"
+_NUM = "(^|[^\\p{L}\\p{N}_])\\p{Nd}+([.,]\\p{Nd}+)?($|[^\\p{L}\\p{N}_])"
 _DUR = "(e - s)"
 _LO = "(CASE WHEN lower(clip_type) LIKE '%story%' THEN 5 WHEN lower(clip_type) LIKE '%highlight%' OR lower(clip_type) LIKE '%hot%' THEN 10 WHEN lower(clip_type) LIKE '%long%' THEN 60 ELSE 30 END)::DOUBLE"
 _HI = "(CASE WHEN lower(clip_type) LIKE '%story%' THEN 15 WHEN lower(clip_type) LIKE '%highlight%' OR lower(clip_type) LIKE '%hot%' THEN 30 WHEN lower(clip_type) LIKE '%long%' THEN 180 ELSE 60 END)::DOUBLE"
@@ -31,8 +32,8 @@ def _fixed(x, n=4):
 
 
 ORACLE = {
-    "hook_score": f"CASE WHEN {_HOOK} = '' THEN 0.0 ELSE least(1.0, {_bounded(_WC.format(_HOOK), 4, 14)} * 0.45::DOUBLE + {_p(f'contains({_HOOK}, chr(63))', 0.12)} + {_p(f'contains({_HOOK}, chr(33))', 0.08)} + {_p(f'regexp_matches({_HOOK}, $$[0-9]$$)', 0.08)} + {_p(f'regexp_matches(lower({_HOOK}), $${_HW}$$)', 0.08)} + {_p(f'length({_HOOK}) <= 80', 0.12)} + {_p(f'left({_HOOK}, 1) = upper(left({_HOOK}, 1)) AND left({_HOOK}, 1) <> lower(left({_HOOK}, 1))', 0.07)}) END",
-    "readability_score": f"CASE WHEN {_BASE} = '' THEN 0.0 ELSE least(1.0, {_bounded(_WC.format(_BASE), 8, 28)} * 0.55::DOUBLE + {_p(f'length({_BASE}) <= 220', 0.15)} + {_p(f'length({_BASE}) >= 30', 0.1)} + {_p(f'regexp_matches({_BASE}, $$[,:—]$$)', 0.1)} + {_p(f'regexp_matches({_BASE}, $$[?!]$$)', 0.05)}) END",
+    "hook_score": f"CASE WHEN {_HOOK} = '' THEN 0.0 ELSE least(1.0, {_bounded(_WC.format(_HOOK), 4, 14)} * 0.45::DOUBLE + {_p(f'regexp_matches({_HOOK}, $$[?？]$$)', 0.12)} + {_p(f'regexp_matches({_HOOK}, $$[!！]$$)', 0.08)} + {_p(f'regexp_matches({_HOOK}, $${_NUM}$$)', 0.08)} + {_p(f'regexp_matches(lower({_HOOK}), $${_HW}$$)', 0.08)} + {_p(f'length({_HOOK}) <= 80', 0.12)} + {_p(f'left({_HOOK}, 1) = upper(left({_HOOK}, 1)) AND left({_HOOK}, 1) <> lower(left({_HOOK}, 1))', 0.07)}) END",
+    "readability_score": f"CASE WHEN {_BASE} = '' THEN 0.0 ELSE least(1.0, {_bounded(_WC.format(_BASE), 8, 28)} * 0.55::DOUBLE + {_p(f'length({_BASE}) <= 220', 0.15)} + {_p(f'length({_BASE}) >= 30', 0.1)} + {_p(f'regexp_matches({_BASE}, $$[,:—]$$)', 0.1)} + {_p(f'regexp_matches({_BASE}, $$[?？!！]$$)', 0.05)}) END",
     "completeness_score": f"least(1.0, {_p('title <> chr(0) AND length(title) > 0', 0.25)} + {_p('length(why) > 0', 0.25)} + {_p('length(quote) > 0', 0.2)} + {_bounded(f'greatest(0.01, {_DUR})', 12, 180)} * 0.3::DOUBLE)",
     "speaker_focus_score": f"least(1.0, {_p('length(speaker) > 0', 0.7)} + greatest(0.0, least(0.3, coalesce(speaker_confidence, 0) * 0.3)))",
     "duration_score": f"CASE WHEN {_DUR} <= 0 THEN 0.0 WHEN {_DUR} < {_LO} THEN {_DUR} / greatest({_LO}, 1) * 0.6::DOUBLE WHEN {_DUR} > {_HI} THEN {_HI} / greatest({_DUR}, 1) * 0.6::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - abs({_DUR} - ({_LO} + {_HI}) / 2) / greatest(({_LO} + {_HI}) / 2, 1)) END",
@@ -48,7 +49,7 @@ for _name in ORACLE:
     queries[f"score_{_name}"] = lambda spark, d, n=_name: cards(spark, d).select("id", (F.floor(S.breakdown()[n] * 10000 + 0.5) / 10000).alias(n))
     oracles[f"score_{_name}"] = using("cards") + f"SELECT id, {_fixed(f'({ORACLE[_name]})::DOUBLE')} AS {_name} FROM cards"
 queries["score_priority"] = lambda spark, d: cards(spark, d).select("id", (F.floor(S.priority() * 1000 + 0.5) / 1000).alias("priority"))
-oracles["score_priority"] = using("cards") + ", b AS (SELECT id, score, " + ", ".join(f"({x})::DOUBLE AS {n}" for n, x in ORACLE.items()) + " FROM cards) SELECT id, " + _fixed(_fixed("greatest(0.0, score + " + " + ".join(f"{n} * {w}::DOUBLE" for n, w in _WEIGHTED.items()) + " - mid_thought_penalty)"), 3) + " AS priority FROM b"
+oracles["score_priority"] = using("cards") + ", b AS (SELECT id, score, " + ", ".join(f"({x})::DOUBLE AS {n}" for n, x in ORACLE.items()) + " FROM cards) SELECT id, " + _fixed(_fixed("greatest(0.0, score * 0.55::DOUBLE + " + " + ".join(f"{n} * {w}::DOUBLE" for n, w in _WEIGHTED.items()) + " - mid_thought_penalty)"), 3) + " AS priority FROM b"
 
 
 def _bounds(spark, d):

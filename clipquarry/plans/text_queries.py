@@ -88,8 +88,14 @@ def faithfulness(spark, d):
     return doc_pairs(spark, d).select("doc_id", T.faithfulness("source", "edited").alias("f")).select("doc_id", "f.*")
 
 
-@register("trim_text", f"""WITH c AS (SELECT doc_id, {clean('text')} AS t FROM documents), k AS (SELECT *, left(t, 159) AS cut, length(left(t, 159)) - instr(reverse(left(t, 159)), ' ') AS sp FROM c)
-SELECT doc_id, CASE WHEN length(t) <= 160 THEN t ELSE regexp_replace(CASE WHEN contains(cut, ' ') AND sp >= 112 THEN left(cut, sp) ELSE cut END, '[ ,;:.\\-]+$', '') || '…' END AS short FROM k""")
+def _short(t, most):
+    """SQL of a text already clean, cut like T.trimmed."""
+    cut = f"rtrim(left({t}, {most - 3}))"
+    space = f"length({cut}) - instr(reverse({cut}), ' ')"
+    return f"CASE WHEN length({t}) <= {most} THEN {t} ELSE regexp_replace(CASE WHEN contains({cut}, ' ') AND {space} >= {int((most - 3) * 0.7)} THEN left({cut}, {space}) ELSE {cut} END, '[ ,;:.\\-]+$', '') || '...' END"
+
+
+@register("trim_text", f"WITH c AS (SELECT doc_id, {clean('text')} AS t FROM documents) SELECT doc_id, {_short('t', 160)} AS short FROM c")
 def trim_text(spark, d):
     return V.table(spark, d, "documents").select("doc_id", T.trimmed("text", 160).alias("short"))
 
@@ -97,59 +103,62 @@ def trim_text(spark, d):
 _STOP = "(" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + ")"
 
 
-def _kw(x, n):
-    return f"list_filter({tok(x)}, lambda t: length(t) >= {n} AND NOT regexp_full_match(t, '[0-9]+') AND t NOT IN {_STOP})"
+def _kw(x):
+    return f"list_filter(regexp_extract_all(lower({x}), '{T.KEYWORD}'), lambda t: length(t) >= 2 AND NOT regexp_full_match(t, '[0-9]+') AND t NOT IN {_STOP})"
 
 
-@register("keywords", using("cards") + f"SELECT id, {_kw('quote', 3)} AS words FROM cards")
+@register("keywords", f"SELECT doc_id, {_kw('text')} AS words FROM documents")
 def keywords(spark, d):
-    return V.cards(spark, d).select("id", T.keywords("quote").alias("words"))
+    return V.table(spark, d, "documents").select("doc_id", T.keywords("text").alias("words"))
 
 
-_BUCKET = "CASE WHEN lower(clip_type) LIKE '%story%' THEN 'story' WHEN lower(clip_type) LIKE '%highlight%' OR lower(clip_type) LIKE '%hot%' THEN 'highlight' WHEN lower(clip_type) LIKE '%long%' THEN 'long_reel' ELSE 'reel' END"
-_TAGS = f"CASE {_BUCKET} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in T.TYPE_TAGS.items()) + " END"
+_FIELDS = tuple("title hook quote why".split())
+_EDGE = r"[^\p{L}\p{N}_]"
 
 
-@register("hashtags", using("cards") + f""", l AS (SELECT id, unnest(list_concat(list_concat(['#' || id, '##Mixed Tag!', ''], {_kw('title', 4)}, {_kw('hook', 4)}, {_kw('quote', 4)}), {_TAGS})) AS raw, generate_subscripts(list_concat(list_concat(['#' || id, '##Mixed Tag!', ''], {_kw('title', 4)}, {_kw('hook', 4)}, {_kw('quote', 4)}), {_TAGS}), 1) AS k FROM cards),
-n AS (SELECT id, k, '#' || lower(regexp_replace(raw, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) AS tag FROM l), f AS (SELECT id, tag, min(k) AS k FROM n WHERE tag <> '#' GROUP BY id, tag)
-SELECT id, list(tag ORDER BY k)[1:5] AS tags FROM f GROUP BY id""")
-def hashtags(spark, d):
-    given = F.array(F.concat(F.lit("#"), F.col("id").cast("string")), F.lit("##Mixed Tag!"), F.lit(""))
-    return V.cards(spark, d).select("id", T.hashtags(given, ["title", "hook", "quote"], bucket()).alias("tags"))
+def _nohash(x):
+    return clean(rf"regexp_replace(regexp_replace({clean(x)}, '(^|{_EDGE})#[\p{{L}}\p{{N}}_]+', '\1', 'g'), '\s+([,.!?;:])', '\1', 'g')")
 
 
-def _nohash(x):
-    return f"trim(regexp_replace(regexp_replace(regexp_replace({x}, '#[\\p{{L}}\\p{{N}}_]+', '', 'g'), '\\s+([,.!?;:])', '\\1', 'g'), '\\s+', ' ', 'g'))"
+_SUBJECT = r"regexp_replace(coalesce(" + ", ".join(f"nullif(regexp_extract({f}_, '(?:^|{_EDGE})({p})(?:{_EDGE}|$)', 1), '')" for f in _FIELDS for p in T.TOPICS) + r", ''), '\s+', ' ', 'g')"
+_PLAIN = "n AS (SELECT *, " + ", ".join(f"{_nohash(f)} AS {f}_" for f in (*_FIELDS, "caption")) + " FROM cards)"
 
 
-def _about(x):
-    return f"nullif(regexp_extract({clean(x)}, '(?i)(?:about|sur|über|sobre|про|о том,)\\s+([\\p{{L}}\\p{{N}} ]{{3,40}})', 1), '')"
+@register("subject_phrase", using("cards") + f", {_PLAIN} SELECT id, {_SUBJECT} AS subject FROM n")
+def subject_phrase(spark, d):
+    return V.cards(spark, d).select("id", T.subject(*_FIELDS).alias("subject"))
 
 
-def _lead(x):
-    return f"nullif(regexp_extract({clean(x)}, '^(\\S+(?: \\S+){{0,3}})', 1), '')"
+#: Some captions have tags and vague phrases, some only these.
+_CAPTION = "CASE id % 6 WHEN 1 THEN 'Смотрите этот фильм #tag , эту вещь: ' || caption WHEN 2 THEN '#only #tags' WHEN 3 THEN 'про эту игру и Эта Сцена, не этаж' ELSE caption END"
+_VAGUE_CARDS = f"cards2 AS (SELECT * REPLACE ({_CAPTION} AS caption) FROM cards)"
+_DESCRIBED = f"""n AS (SELECT *, {", ".join(f"{_nohash(f)} AS {f}_" for f in (*_FIELDS, "caption"))} FROM cards2),
+s AS (SELECT *, {_SUBJECT} AS about, CASE WHEN caption_ <> '' THEN caption_ ELSE array_to_string(list_filter([hook_, title_, quote_, why_], lambda p: p <> ''), ' ') END AS base FROM n),
+r AS (SELECT *, {clean(rf"CASE WHEN base = '' THEN 'Strong podcast moment.' WHEN about = '' THEN base ELSE regexp_replace(base, '(?i)(^|{_EDGE})(?:{T.VAGUE})($|{_EDGE})', '\1' || about || '\2', 'g') END")} AS t FROM s)"""
 
 
-_FIELDS = tuple("title hook quote why".split())
-_SUBJECT = "coalesce(" + ", ".join([*map(_about, _FIELDS), *map(_lead, _FIELDS), "''"]) + ")"
+def _described(spark, d):
+    return V.cards(spark, d).withColumn("caption", F.expr(_CAPTION))
 
 
-@register("subject_phrase", using("cards") + f"SELECT id, {_SUBJECT} AS subject FROM cards")
-def subject_phrase(spark, d):
-    return V.cards(spark, d).select("id", T.subject(*_FIELDS).alias("subject"))
+@register("description", using("cards") + f", {_VAGUE_CARDS}, {_DESCRIBED} SELECT id, {_short('t', 1000)} AS description FROM r")
+def description(spark, d):
+    return _described(spark, d).select("id", T.description().alias("description"))
 
 
-_CAP = "CASE WHEN id % 4 = 1 THEN 'This clip #tag , is ' || caption ELSE caption END"
+_BUCKET = "CASE WHEN lower(clip_type) LIKE '%story%' THEN 'story' WHEN lower(clip_type) LIKE '%highlight%' OR lower(clip_type) LIKE '%hot%' THEN 'highlight' WHEN lower(clip_type) LIKE '%long%' THEN 'long_reel' ELSE 'reel' END"
+_TAGS = f"CASE {_BUCKET} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in T.TYPE_TAGS.items()) + " END"
+_TAGGED = f"""g AS (SELECT *, CASE id % 3 WHEN 0 THEN [] WHEN 1 THEN ['Mixed', 'Tag'] ELSE [CAST(id AS VARCHAR)] END AS given, {_short('t', 1000)} AS shown FROM r),
+l AS (SELECT id, list_concat(given, list_concat(list_concat(list_concat({_kw('shown')}, {_kw('caption_')}), list_concat({_kw('hook')}, {_kw('title')})), list_concat(list_concat({_kw('quote')}, {_kw('why')}), {_TAGS}))) AS raw FROM g),
+u AS (SELECT id, unnest(raw) AS raw, generate_subscripts(raw, 1) AS k FROM l),
+f AS (SELECT id, '#' || lower(regexp_replace(raw, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) AS tag, min(k) AS k FROM u GROUP BY ALL)"""
 
 
-@register("description", using("cards") + f""", x AS (SELECT id, {_nohash(_CAP)} AS c, {_SUBJECT} AS s, [{_nohash('hook')}, {_nohash('title')}, {_nohash('quote')}, {_nohash('why')}] AS p FROM cards),
-e AS (SELECT id, unnest(p) AS q, generate_subscripts(p, 1) AS k FROM x), g AS (SELECT id, q, min(k) AS k FROM e WHERE q <> '' GROUP BY id, q), b AS (SELECT id, string_agg(CASE WHEN regexp_matches(q, '[.!?…]$') THEN q ELSE q || '.' END, ' ' ORDER BY k) AS built FROM g GROUP BY id),
-r AS (SELECT x.id, {clean("CASE WHEN c <> '' THEN CASE WHEN regexp_matches(c, '(?i)^(this clip|this moment|in this video|этот момент|в этом видео)') AND s <> '' THEN s || substr(c, length(regexp_extract(c, '(?i)^(this clip|this moment|in this video|этот момент|в этом видео)', 1)) + 1) ELSE c END WHEN built IS NOT NULL THEN built ELSE 'Podcast moment.' END")} AS t FROM x LEFT JOIN b USING (id)),
-k AS (SELECT *, left(t, 199) AS cut, length(left(t, 199)) - instr(reverse(left(t, 199)), ' ') AS sp FROM r)
-SELECT id, CASE WHEN length(t) <= 200 THEN t ELSE regexp_replace(CASE WHEN contains(cut, ' ') AND sp >= 140 THEN left(cut, sp) ELSE cut END, '[ ,;:.\\-]+$', '') || '…' END AS description FROM k""")
-def description(spark, d):
-    c = V.cards(spark, d).withColumn("caption", F.expr("CASE WHEN id % 4 = 1 THEN concat('This clip #tag , is ', caption) ELSE caption END"))
-    return c.select("id", T.description(most=200).alias("description"))
+@register("hashtags", using("cards") + f", {_VAGUE_CARDS}, {_DESCRIBED}, {_TAGGED} SELECT id, list(tag ORDER BY k)[1:5] AS tags FROM f GROUP BY id")
+def hashtags(spark, d):
+    given = F.expr("CASE id % 3 WHEN 0 THEN array() WHEN 1 THEN array('##Mixed Tag!', '') ELSE array(concat('#', id)) END")
+    c = _described(spark, d).withColumn("shown", T.description())
+    return c.select("id", T.hashtags(given, ["shown", T.without_hashtags("caption"), "hook", "title", "quote", "why"], bucket()).alias("tags"))
 
 
 @register("time_codes", using("segments") + """, m AS (SELECT ep, seg, s_ms * 7 - 999 AS raw, greatest(s_ms * 7 - 999, 0) AS m FROM segments)
@@ -160,7 +169,7 @@ def time_codes(spark, d):
 
 
 @register("names_and_escapes", r"""WITH x AS (SELECT doc_id, source, 'out/reel_' || lpad(CAST(doc_id % 12 AS VARCHAR), 2, '0') || CASE WHEN doc_id % 3 = 0 THEN '_2' ELSE '' END || '.mp4' AS path, 'it''s 5% of a:b\' || doc_id AS t, 'My Model-' || (doc_id % 5) || ' (Q4)' AS model FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 12 > 0 THEN CAST(doc_id % 12 AS INT) END AS reel, replace(replace(replace(replace(t, '\', '\\'), '''', '\'''), ':', '\:'), '%', '\%') AS escaped, trim(regexp_replace(lower(model), '[^a-z0-9.]+', '_', 'g'), '_') AS folder, lower(regexp_replace(source, '[^\p{L}\p{N}]', '', 'g')) AS bare, CASE WHEN doc_id % 3 = 0 THEN 'en' WHEN doc_id % 3 = 1 THEN 'ru' ELSE 'ru' END AS prompt_lang, '&H' || upper(printf('%02x', CAST(floor((1 - (doc_id % 5)::DOUBLE / 4) * 255 + 0.5) AS BIGINT))) || '330A' || 'FF' AS color FROM x""")
+SELECT doc_id, CASE WHEN doc_id % 12 > 0 THEN CAST(doc_id % 12 AS INT) END AS reel, replace(replace(replace(replace(t, '\', '\\'), '''', '\'''), ':', '\:'), '%', '\%') AS escaped, trim(regexp_replace(regexp_replace(lower(model), '[:./ ]', '_', 'g'), '[^\p{L}\p{N}_\-]+', '', 'g'), '_') AS folder, lower(regexp_replace(source, '[^\p{L}\p{N}]', '', 'g')) AS bare, CASE WHEN doc_id % 3 = 0 THEN 'en' WHEN doc_id % 3 = 1 THEN 'ru' ELSE 'ru' END AS prompt_lang, '&H' || upper(printf('%02x', CAST(floor((1 - (doc_id % 5)::DOUBLE / 4) * 255 + 0.5) AS BIGINT))) || '330A' || 'FF' AS color FROM x""")
 def names_and_escapes(spark, d):
     x = V.table(spark, d, "documents").selectExpr("doc_id", "source", "concat('out/reel_', lpad(cast(doc_id % 12 as string), 2, '0'), CASE WHEN doc_id % 3 = 0 THEN '_2' ELSE '' END, '.mp4') AS path", r"concat('it\'s 5% of a:b\\', doc_id) AS t", "concat('My Model-', doc_id % 5, ' (Q4)') AS model")
     lang = F.expr("CASE doc_id % 3 WHEN 0 THEN 'en-US' WHEN 1 THEN 'ru' ELSE 'de' END")

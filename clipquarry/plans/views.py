@@ -58,14 +58,14 @@ def diarization(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cards(spark: SparkSession, d: str) -> DataFrame:
-    """Moments with prose and measured factors, out of documents: the title is the first sentence, the caption the whole text."""
+    """Moments with prose and measured factors, out of documents: the title is the first sentence, the hook the second, the quote all that follows, why the last, and the caption the whole text."""
     x = table(spark, d, "documents")
     return x.select(F.col("doc_id").alias("id"), "lang", *[F.expr(f"{sql} AS {name}") for name, sql in CARD.items()])
 
 
 CARD = {
     "title": "trim(regexp_extract(text, '^[^.!?]*', 0))",
-    "quote": "CASE WHEN doc_id % 9 = 0 THEN '' ELSE trim(regexp_extract(text, '^[^.!?]*[.!?]+[^.!?]*[.!?]+([^.!?]*)', 1)) END",
+    "quote": "CASE WHEN doc_id % 9 = 0 THEN '' ELSE trim(regexp_extract(text, '(?s)^[^.!?]*[.!?]+[^.!?]*[.!?]+(.*)$', 1)) END",
     "why": "CASE WHEN doc_id % 7 = 0 THEN '' ELSE trim(regexp_extract(text, '(?:^|[.!?])([^.!?]*)[.!?]*$', 1)) END",
     "hook": "CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim(regexp_extract(text, '^[^.!?]*[.!?]+([^.!?]*[.!?]?)', 1)) END",
     "caption": "CASE WHEN doc_id % 4 = 0 THEN '' ELSE trim(text) END",

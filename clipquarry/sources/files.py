@@ -37,8 +37,48 @@ def audio_files(files: DataFrame) -> DataFrame:
 
 def transcript_of(files: DataFrame, stem: str) -> DataFrame:
     """The transcript to use: <stem>.proofread.json, <stem>.json, audio.proofread.json, audio.json, any proofread, any other; never a diarization."""
-    rank = F.expr(f"CASE name WHEN '{stem}.proofread.json' THEN 0 WHEN '{stem}.json' THEN 1 WHEN 'audio.proofread.json' THEN 2 WHEN 'audio.json' THEN 3 ELSE CASE WHEN name LIKE '%.proofread.json' THEN 4 ELSE 5 END END")
-    return files.filter("ext = 'json' AND name <> 'diarization.json'").withColumn("rank", rank).orderBy("rank", "name").limit(1)
+    return files.filter("ext = 'json' AND name <> 'diarization.json'").withColumn("rank", transcript_rank(F.lit(stem))).orderBy("rank", "name").limit(1)
+
+
+def transcript_rank(stem: Column, name: Column | None = None) -> Column:
+    """Which of the transcripts of a folder to prefer, 0 first."""
+    name = F.col("name") if name is None else name
+    named = [F.concat(stem, F.lit(".proofread.json")), F.concat(stem, F.lit(".json")), F.lit("audio.proofread.json"), F.lit("audio.json")]
+    rank = F.when(name == named[0], 0)
+    for k, n in enumerate(named[1:], 1):
+        rank = rank.when(name == n, k)
+    return rank.when(name.endswith(".proofread.json"), 4).otherwise(5)
+
+
+def transcripts_of(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """(folder, stem, name): of every folder (folder, stem) the transcript to use, one aggregate over its files (folder, name)."""
+    x = folders.join(files.filter("name LIKE '%.json' AND name <> 'diarization.json'"), "folder")
+    return x.groupBy("folder", "stem").agg(F.min_by("name", F.struct(transcript_rank(F.col("stem")), "name")).alias("name"))
+
+
+def model_folders(files: DataFrame, root: str) -> DataFrame:
+    """(folder): the folders right below root that hold files, in order of name."""
+    rest = F.when(F.col("path").startswith(root.rstrip("/") + "/"), F.substring("path", len(root.rstrip("/")) + 2, 1_000_000))
+    return files.select(F.split(rest, "/").alias("p")).filter("size(p) > 1").select(F.get("p", F.lit(0)).alias("folder")).distinct().orderBy("folder")
+
+
+def source_audio(transcripts: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """(key, path): the first of source_audio and audio of a transcript that is there, null if neither is."""
+    asked = transcripts.select(key, F.posexplode(F.array("source_audio", "audio")).alias("pos", "path"))
+    there = asked.join(files.select("path").distinct(), "path", "left_semi")
+    return transcripts.select(key).distinct().join(there.groupBy(key).agg(F.min_by("path", "pos").alias("path")), key, "left")
+
+
+def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """(name, free): each wanted name, with _1, _2 ... before its ending if it is taken: the first that is not. Taken numbers of a name are aggregated, so there is no loop."""
+    stem, ext = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
+    used = taken.select("name").distinct()
+    numbered = used.select(F.regexp_extract("name", r"^(.*)_([1-9][0-9]{0,8})(\.[^.]*)?$", 1).alias("stem"), F.regexp_extract("name", r"^(.*)_([1-9][0-9]{0,8})(\.[^.]*)?$", 2).try_cast("long").alias("n"), F.regexp_extract("name", r"(\.[^.]*)$", 1).alias("ext")).filter("n is not null")
+    w = Window.partitionBy("stem", "ext").orderBy("n")
+    # the first number that is not its own place in the order is after a gap
+    gap = numbered.withColumn("k", F.row_number().over(w)).groupBy("stem", "ext").agg(F.count_if(F.col("n") == F.col("k")).alias("run"))
+    x = wanted.select("name").distinct().withColumns({"stem": stem, "ext": ext}).join(used.select("name", F.lit(True).alias("there")), "name", "left").join(gap, ["stem", "ext"], "left")
+    return x.select("name", F.when(F.col("there"), F.concat("stem", F.lit("_"), (F.coalesce("run", F.lit(0)) + 1).cast("string"), "ext")).otherwise(F.col("name")).alias("free"))
 
 
 def golden_path(stem: Column | str) -> Column:

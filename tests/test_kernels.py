@@ -52,13 +52,57 @@ def test_chunks_overlap():
     assert list(folds.overlapping_chunks([], 1, 1, 1)) == []
 
 
-def test_speaker_runs_and_turns():
-    assert folds.speaker_runs(list("AABAACC")) == [["A", 0, 5], ["C", 5, 7]]
-    words = [{"s_ms": i * 500, "e_ms": i * 500 + 400} for i in range(8)]
-    seg = [{"text": "One two three four. Five six seven eight", "s_ms": 0, "e_ms": 4000, "words": words}]
-    spans = [{"s": 0, "e": 2300, "speaker": "A"}, {"s": 2300, "e": 4000, "speaker": "B"}]
-    assert [(t["speaker"], t["text"]) for t in folds.speaker_turns(seg, spans)] == [("A", "One two three four."), ("B", "Five six seven eight")]
-    assert folds.speaker_turns(seg, []) == []
+def test_speaker_runs_and_turns(spark):
+    labels = spark.createDataFrame([(k, i, w) for k, x in enumerate(["AABAACC", "ABABA", "B", "AABBA", "ABBA"]) for i, w in enumerate(x)], "k int, pos int, who string")
+    got = {r["k"]: [(x["who"], x["first"], x["end"]) for x in r["runs"]] for r in folds.word_runs(labels, ["k"]).collect()}
+    assert got == {0: [("A", 0, 5), ("C", 5, 7)], 1: [("A", 0, 5)], 2: [("B", 0, 1)], 3: [("A", 0, 2), ("B", 2, 4), ("A", 4, 5)], 4: [("A", 0, 1), ("B", 1, 3), ("A", 3, 4)]}
+    words = [(i * 500, i * 500 + 400) for i in range(8)]
+    rows = [(1, 0, "One two three four. Five six seven eight", 0, 4000, words), (1, 1, "nine", 4000, 4500, None), (1, 2, None, 4500, 5000, None), (2, 0, "alone", 0, 1000, [])]
+    seg = spark.createDataFrame(rows, "ep int, seg int, text string, s_ms long, e_ms long, words array<struct<s_ms:long,e_ms:long>>")
+    spans = spark.createDataFrame([(1, 0, 0, 2300, "A"), (1, 1, 2300, 4000, "B")], "ep int, pos long, s long, e long, speaker string")
+    got = [(t["speaker"], t["s_ms"], t["e_ms"], t["text"]) for t in folds.speaker_turns(seg, spans, "ep").orderBy("turn").collect()]
+    assert got == [("A", 0, 2400, "One two three four."), ("B", 2500, 4500, "Five six seven eight nine")]
+
+
+def test_ranking_by_trying_all_pairs():
+    rng = random.Random(7)
+
+    def shared(a, b):
+        return min(a["e"], b["e"]) - max(a["s"], b["s"])
+
+    for _ in range(60):
+        rows = [{"id": i, "s": (s := rng.randrange(300)), "e": s + rng.randrange(1, 60), "value": float(rng.randrange(5)), "clip_type": rng.choice(["story", "hot", "reel", "long reel"]), "title": rng.choice(["alpha beta", "alpha", "beta gamma", "", None])} for i in range(40)]
+        kept = []
+        for r in sorted(rows, key=lambda r: (-r["value"], r["s"], r["e"], r["title"] or "", r["id"])):
+            if all(shared(r, k) < 0.35 * max(r["e"] - r["s"], k["e"] - k["s"]) for k in kept):
+                kept.append(r)
+        assert [r["id"] for r in folds.deduped(rows)] == [r["id"] for r in kept]
+        quota = {"story": 1, "reel": 2, "highlight": 1, "long_reel": 0}
+        got = folds.ranked(rows, quota, total=9)
+        assert len(got) <= 9 and all(shared(a, b) <= 0 for a in got for b in got if a["id"] != b["id"])
+        strict = folds.ranked(rows, quota)
+        assert [r["id"] for r in strict] == [r["id"] for r in got][: len(strict)]
+        for kind, n in quota.items():
+            assert sum(r["bucket"] == kind for r in strict) <= n
+        left = [r for r in kept if r["id"] not in {g["id"] for g in got} and all(shared(r, g) <= 0 for g in got)]
+        assert len(got) == 9 or not left
+
+
+def test_top_up_takes_the_best_that_overlap_nothing():
+    rows = [{"id": 1, "s": 0, "e": 10, "value": 1, "kept": True}, {"id": 2, "s": 5, "e": 20, "value": 9, "kept": False}, {"id": 3, "s": 10, "e": 20, "value": 3, "kept": False}, {"id": 4, "s": 30, "e": 40, "value": 5, "kept": False}]
+    assert [r["id"] for r in folds.topped_up(rows, 3)] == [1, 4, 3] and [r["id"] for r in folds.topped_up(rows, 1)] == [1]
+
+
+def test_names_that_are_free(spark, tmp_path):
+    taken = spark.createDataFrame([("a.mp4",), ("a_1.mp4",), ("a_3.mp4",), ("b",), ("it's.mp4",)], "name string")
+    got = dict(map(tuple, files.free_names(spark.createDataFrame([("a.mp4",), ("b",), ("c.mp4",), ("it's.mp4",), ("a_1.mp4",)], "name string"), taken).collect()))
+    assert got == {"a.mp4": "a_2.mp4", "b": "b_1", "c.mp4": "c.mp4", "it's.mp4": "it's_1.mp4", "a_1.mp4": "a_1_1.mp4"}
+    for name in ("it's.json", "other.json", "diarization.json"):
+        (tmp_path / name).write_text("{}")
+    assert files.transcript_of(files.listing(spark, str(tmp_path)), "it's").first()["name"] == "it's.json"
+    audio = spark.createDataFrame([(1, "x.wav", "y.wav"), (2, None, "y.wav"), (3, "z", None)], "k int, source_audio string, audio string")
+    there = spark.createDataFrame([("y.wav",), ("y.wav",)], "path string")
+    assert dict(map(tuple, files.source_audio(audio, there, "k").collect())) == {1: "y.wav", 2: "y.wav", 3: None}
 
 
 def test_subtitles_do_not_overlap_and_keep_the_words():
@@ -149,7 +193,15 @@ def test_coerced_and_items(spark):
 def test_time_codes_and_text(spark):
     assert one(spark, text.srt_time(F.lit(3_661_007)), text.ass_time(F.lit(3_661_007)), text.hms(F.lit(61_999)), text.srt_time(F.lit(-5))) == ["01:01:01,007", "1:01:01.00", "01:01", "00:00:00,000"]
     assert one(spark, text.normalised(F.lit("Привет, МИР! Ещё…")), text.normalised(F.lit(None).cast("string"))) == ["привет мир еще", ""]
-    assert one(spark, text.trimmed(F.lit("aaa bbb ccc, ddd"), 13), text.file_size(F.lit(2048)), text.font_name(F.lit("f/my_font-bold.ttf"))) == ["aaa bbb ccc…", "2.0 KB", "My Font Bold"]
+    assert one(spark, text.trimmed(F.lit("aaa bbb ccc, ddd"), 13), text.file_size(F.lit(2048)), text.font_name(F.lit("f/my_font-bold.ttf"))) == ["aaa bbb...", "2.0 KB", "My Font Bold"]
+    assert one(spark, text.excerpt(F.lit("one two three"), 9), text.excerpt(F.lit("one two three"), 5), text.first_lines(F.lit("ab\ncdefg"), 4), text.first_lines(F.lit("abcdefg\nh\nij"), 9)) == ["one two…", "one t…", "ab\nc", "abcdefg\nh"]
+
+
+def test_descriptions_and_tags(spark):
+    row = spark.createDataFrame([(1, "Играем в D&D 5e сегодня", "Про эту игру и это видео #tag , да", "", "", "", "story"), (2, "", "", "", "", None, "reel"), (3, "One", "", "Два #x", "", "why not", "hot take")], "id int, title string, caption string, hook string, quote string, why string, clip_type string")
+    got = {r["id"]: (r["d"], r["s"], r["t"]) for r in row.select("id", text.description().alias("d"), text.subject("title", "hook", "quote", "why").alias("s"), text.hashtags(F.array(F.lit("#Two words"), F.lit(None)), [text.description(), "caption", "hook", "title", "quote", "why"], scoring.bucket()).alias("t")).collect()}
+    assert got[1] == ("Про D&D 5e и D&D 5e, да", "D&D 5e", ["#two", "#words", "#5e", "#игру", "#видео"]) and got[2] == ("Strong podcast moment.", "", ["#two", "#words", "#strong", "#podcast", "#moment"])
+    assert got[3][:2] == ("Два One why not", "") and got[3][2] == ["#two", "#words", "#два", "#one", "#highlight"]
 
 
 def test_scoring_of_missing_values(spark):
