@@ -110,6 +110,8 @@ def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], sigma: float, re
         if not go.all():
             live, taken, corner = live[go], taken[go], corner[go]
     row, a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (rows, first, second))
+    turn = np.argsort(row, kind="stable")  # a vector's visits in a row, which shuffles small
+    row, a, b = row[turn], a[turn], b[turn]
     own = (a == order[0][row, 0]) & (b == order[1][row, 0])
     return row, a * k + b, own
 
