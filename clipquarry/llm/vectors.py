@@ -134,14 +134,29 @@ def _listed(rows: DataFrame, dim: int, books: tuple[np.ndarray, np.ndarray], sig
     return rows.mapInArrow(run, "cell long, id long, own boolean, v binary")
 
 
-def linked(v: np.ndarray, homes: int, least: float) -> np.ndarray:
+#: Up to so many pairs in a cell are all compared; beyond, leaders come first.
+PAIRS = 1 << 22
+
+
+def linked(v: np.ndarray, homes: int, least: float, pairs: int = PAIRS) -> np.ndarray:
     """For each vector of length 1 a label, equal for those that chains of pairs of at least that cosine connect; of a pair, one at least is among the first ``homes``.
 
-    Leaders are taken in order; what is near a leader has its label at once, so dense groups cost one pass. Only vectors of groups whose leaders are so near that the angles allow a link are compared one by one, in blocks."""
+    A cell of ordinary size is one product of matrices. In a larger one leaders are taken in order; what is near a leader has its label at once, so dense groups cost one pass. Only vectors of groups whose leaders are so near that the angles allow a link are compared one by one, in blocks."""
     n = len(v)
-    label = np.full(n, -1)
     if not homes:
         return np.arange(n)
+    if n * homes <= pairs:
+        a, b = np.nonzero(v @ v[:homes].T >= least)
+        label = np.arange(n)
+        while True:
+            low = np.minimum(label[a], label[b])
+            old = label.copy()
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+            label = label[label]
+            if (label == old).all():
+                return label
+    label = np.full(n, -1)
     leaders: list[int] = []
     for i in range(homes):
         if label[i] < 0:

@@ -70,8 +70,10 @@ def test_linked_equals_brute_force():
         x = rng.normal(size=(6, 5))[rng.integers(0, 6, n)] + rng.normal(size=(n, 5)) * 0.3
         v = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
         pairs = [(a, b) for a, b in np.argwhere(np.triu(v @ v.T >= 0.95, 1)).tolist() if a < homes]
-        true, got = roots(pairs, range(n)), linked(v, homes, 0.95)
-        assert all((got[a] == got[b]) == (true[a] == true[b]) for a in range(n) for b in range(n))
+        true = roots(pairs, range(n))
+        for most in (0, 10**9):
+            got = linked(v, homes, 0.95, most)
+            assert all((got[a] == got[b]) == (true[a] == true[b]) for a in range(n) for b in range(n))
 
 
 def test_dense_cells_take_no_longer(spark):
