@@ -17,8 +17,8 @@ from .common import by_value, only, read_table, small_batches
 ZIGZAG = np.array([r * 8 + c for s in range(15) for r, c in ((i, s - i) if s % 2 else (s - i, i) for i in range(s + 1)) if r < 8 and c < 8])
 
 
-#: Bytes of images, and images, that are decoded in lockstep; one image may have more bytes. With fewer lanes than FEW a lane is read by itself.
-LOCKSTEP_BYTES, LOCKSTEP_IMAGES, FEW = 1 << 26, 256, 24
+#: Bytes of images, and different Huffman tables (128 KB each), that are decoded in lockstep; one image may have more. With fewer lanes than FEW a lane is read by itself.
+LOCKSTEP_BYTES, LOCKSTEP_TABLES, FEW = 1 << 26, 1024, 24
 
 
 class Bad(ValueError):
@@ -246,7 +246,7 @@ def dc_planes(infos: list[dict]) -> list[np.ndarray | str]:
 def _alone(data: bytes, kinds: list[tuple], state: tuple, plane: np.ndarray, g: dict) -> bool:
     """Read the rest of one lane, symbol by symbol; False if it is corrupt. For the last lanes, which are too few for numpy to gain by."""
     bit, end, block, coef, mcu, todo, pred = state
-    tables = [(d.tolist(), a.tolist(), c, lu) for d, a, c, lu in kinds]
+    tables = [(memoryview(d), memoryview(a), c, lu) for d, a, c, lu in kinds]
     across, gv, gh, wide = g["across"], g["v"], g["h"], g["wide"]
     while todo:
         dc, ac, comp, luma = tables[block]
@@ -308,17 +308,7 @@ FIELDS = "status string, width int, height int, thumb_width int, thumb_height in
 
 
 def decode(images: list[bytes | None]) -> list[tuple]:
-    """FIELDS of each image; as many at once as LOCKSTEP_BYTES and LOCKSTEP_IMAGES allow, so memory is bounded by them or by one image."""
-    out, begin, size = [], 0, 0
-    for k, data in enumerate(images):
-        size += len(data or b"")
-        if k > begin and (size > LOCKSTEP_BYTES or k - begin >= LOCKSTEP_IMAGES):
-            out += _decode(images[begin:k])
-            begin, size = k, len(data or b"")
-    return out + _decode(images[begin:])
-
-
-def _decode(images: list[bytes | None]) -> list[tuple]:
+    """FIELDS of each image; as many at once as LOCKSTEP_BYTES and LOCKSTEP_TABLES allow, so memory is bounded by them or by one image."""
     infos, where, out = [], [], [(None,) * 8] * len(images)
     for i, data in enumerate(images):
         if data is None:
@@ -328,7 +318,16 @@ def _decode(images: list[bytes | None]) -> list[tuple]:
             where.append(i)
         except Bad as e:
             out[i] = (str(e), *(None,) * 7)
-    for i, info, t in zip(where, infos, dc_planes(infos), strict=True):
+    planes, begin, size, tables = [], 0, 0, set()
+    for k, info in enumerate(infos):
+        own = {t for s in info["scan"] for t in s[2:4]}
+        if k > begin and (size + len(info["data"]) > LOCKSTEP_BYTES or len(tables | own) > LOCKSTEP_TABLES):
+            planes += dc_planes(infos[begin:k])
+            begin, size, tables = k, 0, set()
+        size += len(info["data"])
+        tables |= own
+    planes += dc_planes(infos[begin:])
+    for i, info, t in zip(where, infos, planes, strict=True):
         if isinstance(t, str):
             out[i] = (t, info["width"], info["height"], *(None,) * 5)
         else:
