@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregate_queries, fold_queries, interval_queries, scores, stages, text_queries
+from .plans import aggregate_queries, fold_queries, interval_queries, record_queries, scores, stages, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_MODULES = (aggregate_queries, fold_queries, interval_queries, scores, stages, text_queries)
+_MODULES = (aggregate_queries, fold_queries, interval_queries, record_queries, scores, stages, text_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,11 @@ from pyspark.sql import types as T
 
 from .scoring import col
 
-KNOWN = tuple("start end title quote why score clip_type hook caption speaker hashtags source_chunk_ids selection_stage".split())
+#: Fields of a moment beside start, end, score and hashtags: texts, numbers that may be missing, lists.
+TEXTS = tuple("title quote why clip_type hook caption selection_stage speaker".split())
+NUMBERS = tuple("priority judge_score hook_score completeness_score speaker_focus subtitle_readability_score crop_confidence quote_match_ratio speech_rate_wps audio_energy_db audio_silence_ratio speaker_confidence".split())
+LISTS = ("hashtags", "source_chunk_ids")
+KNOWN = ("start", "end", "score", *TEXTS, *NUMBERS, *LISTS)
 LIST_KEYS = tuple("moments candidates results items clips".split())
 
 
@@ -22,18 +27,30 @@ def fields(payload: Column | str) -> Column:
 
 
 def coerced(payload: Column | str) -> Column:
-    """A moment out of a JSON object, null if it is not valid: start and end must be numbers, end after start, and one of title, quote and why there. Texts are trimmed, a bad score is 0, hashtags other than a list are none, keys not known go to extra."""
+    """A moment out of a JSON object, null if it is not valid: start and end (0 where they are not named) must be numbers, end after start, and one of title, quote and why there. Texts are trimmed, a bad score is 0, other bad numbers null, lists other than lists none, a missing type reel; keys not known go to extra."""
     m = fields(payload)
     get = lambda k: F.trim(F.coalesce(m[k], F.lit("")))
     num = lambda k: F.when(~F.isnan(x := m[k].try_cast("double")), x)
-    tags = lambda k: F.coalesce(F.filter(F.from_json(m[k], "array<string>"), lambda t: F.trim(t) != ""), F.array().cast("array<string>"))
-    s, e = num("start"), num("end")
-    record = F.struct(
-        s.alias("start"), e.alias("end"), get("title").alias("title"), get("quote").alias("quote"), get("why").alias("why"), F.coalesce(num("score"), F.lit(0.0)).alias("score"),
-        F.coalesce(F.nullif(get("clip_type"), F.lit("")), F.lit("reel")).alias("clip_type"), tags("hashtags").alias("hashtags"), F.map_filter(m, lambda k, v: ~k.isin(*KNOWN)).alias("extra"),
-    )
-    ok = s.isNotNull() & e.isNotNull() & (e > s) & ((get("title") != "") | (get("quote") != "") | (get("why") != ""))
-    return F.when(ok, record)
+    listed = lambda k: F.coalesce(F.filter(F.transform(F.from_json(m[k], "array<string>"), lambda t: F.trim(t)), lambda t: t != ""), F.array().cast("array<string>"))
+    time = lambda k: F.when(F.map_contains_key(m, k), num(k)).otherwise(0.0)
+    said = lambda k: ~F.coalesce(m[k], F.lit("")).isin("", "false", "0", "0.0", "[]", "{}")
+    s, e = time("start"), time("end")
+    texts = [F.coalesce(F.nullif(get(k), F.lit("")), F.lit("reel")).alias(k) if k == "clip_type" else get(k).alias(k) for k in TEXTS]
+    record = F.struct(s.alias("start"), e.alias("end"), F.coalesce(num("score"), F.lit(0.0)).alias("score"), *texts, *[num(k).alias(k) for k in NUMBERS], *[listed(k).alias(k) for k in LISTS], F.map_filter(m, lambda k, v: ~k.isin(*KNOWN)).alias("extra"))
+    return F.when(s.isNotNull() & e.isNotNull() & (e > s) & (said("title") | said("quote") | said("why")), record)
+
+
+def stamped(reply: Column | str, stage: str) -> Column:
+    """The valid moments of a reply in any of its shapes, marked with the stage they come from."""
+    good = F.filter(F.transform(payload_items(reply), coerced), lambda m: m.isNotNull())
+    return F.transform(good, lambda m: m.withField("selection_stage", F.lit(stage)))
+
+
+def moment_json(m: Callable[[str], Column]) -> Column:
+    """A moment as JSON: times to 3 decimals, and of the fields that may be missing those that are there; what is extra is added and overrides nothing. m: a function from a field's name to its column."""
+    some = {k: F.nullif(m(k), F.lit("")) for k in ("selection_stage", "speaker")} | {k: m(k) for k in NUMBERS} | {"source_chunk_ids": F.when(F.size(m("source_chunk_ids")) > 0, m("source_chunk_ids"))}
+    always = {"start": F.round(m("start"), 3), "end": F.round(m("end"), 3)} | {k: m(k) for k in ("title", "quote", "why", "score", "clip_type", "hook", "caption", "hashtags")}
+    return F.to_json(F.struct(*[c.alias(k) for k, c in (always | some).items()]), {"ignoreNullFields": "true"})
 
 
 def payload_items(reply: Column | str) -> Column:

@@ -70,6 +70,13 @@ def collocates(docs: DataFrame, key: str, stem: int = 6) -> DataFrame:
     return n.withColumn("r", F.row_number().over(r)).filter("r = 1").drop("r")
 
 
+def suspect_queries(docs: DataFrame, key: str) -> DataFrame:
+    """(key, term, occurrences, query): suspects with what is asked about them, their usual neighbour, if they have one, and the term."""
+    near = collocates(docs, key)
+    x = suspect_terms(docs, key).join(near, [key, "stem"], "left")
+    return x.select(key, "term", "occurrences", F.trim(F.concat_ws(" ", "neighbour", "term")).alias("query"))
+
+
 def silence_ratio(log: Column | str, span: Column) -> Column:
     """Silent share of a span from a probe's log: the sum of the lengths told, and an open silence to the end; at most 1. No marks: 0 if the volume was measured, else null."""
     x = F.col(log) if isinstance(log, str) else log

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.semistructured import salvage
 
 Provider = Callable[[str], str]
+NO_JSON = "no JSON in the answer"
 
 
 def generate(prompts: DataFrame, make: Callable[[], Provider], tries: int = 2, note: str = "\nAnswer with JSON only.") -> DataFrame:
@@ -28,7 +29,7 @@ def generate(prompts: DataFrame, make: Callable[[], Provider], tries: int = 2, n
                     value = salvage(ask(prompt + (note if k else "")))
                     if value is not None:
                         return value, None
-                    error = "no JSON in the answer"
+                    error = NO_JSON
                 except Exception as e:  # noqa: BLE001  whatever a provider raises is the row's error
                     error = f"{type(e).__name__}: {e}"
             return None, error
@@ -59,3 +60,31 @@ def rule_based() -> Provider:
         return "Here you are:\n```json\n" + json.dumps({"moments": [item]}, ensure_ascii=False)[:-1]  # cut short, as answers are
 
     return ask
+
+
+def echoing(raise_score: float = 0.0) -> Callable[[], Provider]:
+    """A stand-in for models that refine lists: it answers with the candidates it is shown, rated a little higher."""
+
+    def make() -> Provider:
+        import json
+
+        def ask(prompt: str) -> str:
+            at = prompt.find("CANDIDATES\n")
+            if at < 0:
+                return "[]"
+            items = json.JSONDecoder().raw_decode(prompt[at + 11 :])[0]
+            return json.dumps({"moments": [{**x, "score": x.get("score", 0) + raise_score} for x in items]}, ensure_ascii=False)
+
+        return ask
+
+    return make
+
+
+def summarising() -> Provider:
+    """A stand-in for a model that sums an episode up: the first words of its digest."""
+    import json
+
+    def ask(prompt: str) -> str:
+        return json.dumps({"summary": " ".join(prompt.split()[1:9]), "topics": ["talk"], "tone": "calm"}, ensure_ascii=False)
+
+    return ask

@@ -125,16 +125,18 @@ def quality_filter(spark, d):
     return V.moments(spark, d).select("ep", "id", reasons.alias("reasons")).withColumn("is_rejected", F.size("reasons") > 0)
 
 
-_RAW = """CASE event_id % 6 WHEN 0 THEN concat('{"start":', event_id, ',"end":"', event_id + 30, '.5","title":" T ","k":"v', event_id % 3, '","hashtags":["a",""," b"]}') WHEN 1 THEN concat('{"start":"x","end":5,"title":"t"}') WHEN 2 THEN concat('{"start":9,"end":', event_id % 20, ',"quote":"q"}') WHEN 3 THEN '{"start":1,"end":2}' WHEN 4 THEN concat('{"start":1,"end":4,"why":"w","score":"', event_id % 9, '","clip_type":"story","hashtags":"no"}') ELSE 'not json' END"""
+_RAW = """CASE event_id % 7 WHEN 0 THEN concat('{"start":', event_id, ',"end":"', event_id + 30, '.5","title":" T ","k":"v', event_id % 3, '","hook":" h","speaker":"A ","judge_score":"7","priority":"x","source_chunk_ids":["c', event_id % 4, '"," "],"hashtags":["a",""," b"]}') WHEN 1 THEN concat('{"start":"x","end":5,"title":"t"}') WHEN 2 THEN concat('{"start":9,"end":', event_id % 20, ',"quote":"q"}') WHEN 3 THEN '{"start":1,"end":2}' WHEN 4 THEN concat('{"start":1,"end":4,"why":"w","score":"', event_id % 9, '","clip_type":"story","hashtags":"no"}') WHEN 5 THEN concat('{"end":', event_id % 3, ',"why":"only","speaker_confidence":0.', event_id % 9, '}') ELSE 'not json' END"""
 
 
 @register("coerce_moments", f"""WITH r AS (SELECT event_id AS id, {_RAW} AS raw FROM events), j AS (SELECT id, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM r),
-m AS (SELECT id, j, TRY_CAST(j->>'$.start' AS DOUBLE) AS s, TRY_CAST(j->>'$.end' AS DOUBLE) AS e, trim(coalesce(j->>'$.title', '')) AS title, trim(coalesce(j->>'$.quote', '')) AS quote, trim(coalesce(j->>'$.why', '')) AS why FROM j)
-SELECT id, s AS start, e AS "end", title, quote, why, coalesce(TRY_CAST(j->>'$.score' AS DOUBLE), 0) AS score, coalesce(nullif(trim(j->>'$.clip_type'), ''), 'reel') AS clip_type, coalesce(len(list_filter(TRY_CAST(j->'$.hashtags' AS VARCHAR[]), lambda t: trim(t) <> '')), 0)::BIGINT AS tags, j->>'$.k' AS k FROM m WHERE s IS NOT NULL AND e > s AND (title <> '' OR quote <> '' OR why <> '')""")
+m AS (SELECT id, j, CASE WHEN (j->'$.start') IS NULL THEN 0 ELSE TRY_CAST(j->>'$.start' AS DOUBLE) END AS s, TRY_CAST(j->>'$.end' AS DOUBLE) AS e, trim(coalesce(j->>'$.title', '')) AS title, trim(coalesce(j->>'$.quote', '')) AS quote, trim(coalesce(j->>'$.why', '')) AS why FROM j)
+SELECT id, s AS start, e AS "end", title, quote, why, coalesce(TRY_CAST(j->>'$.score' AS DOUBLE), 0) AS score, coalesce(nullif(trim(j->>'$.clip_type'), ''), 'reel') AS clip_type, coalesce(len(list_filter(TRY_CAST(j->'$.hashtags' AS VARCHAR[]), lambda t: trim(t) <> '')), 0)::BIGINT AS tags, j->>'$.k' AS k,
+ trim(coalesce(j->>'$.hook', '')) AS hook, trim(coalesce(j->>'$.speaker', '')) AS speaker, TRY_CAST(j->>'$.judge_score' AS DOUBLE) AS judge_score, TRY_CAST(j->>'$.priority' AS DOUBLE) AS priority, TRY_CAST(j->>'$.speaker_confidence' AS DOUBLE) AS speaker_confidence, coalesce(list_filter(list_transform(TRY_CAST(j->'$.source_chunk_ids' AS VARCHAR[]), lambda t: trim(t)), lambda t: length(t) > 0), []) AS source_chunk_ids, 'scout' AS selection_stage
+FROM m WHERE s IS NOT NULL AND e > s AND (title <> '' OR quote <> '' OR why <> '')""")
 def coerce_moments(spark, d):
     r = V.table(spark, d, "events").select(F.col("event_id").alias("id"), F.expr(_RAW).alias("raw"))
-    m = r.select("id", J.coerced("raw").alias("m")).filter("m is not null")
-    return m.select("id", "m.start", "m.end", "m.title", "m.quote", "m.why", "m.score", "m.clip_type", F.size("m.hashtags").cast("long").alias("tags"), F.col("m.extra")["k"].alias("k"))
+    m = r.select("id", F.explode(J.stamped(F.concat(F.lit("["), "raw", F.lit("]")), "scout")).alias("m"))
+    return m.select("id", "m.start", "m.end", "m.title", "m.quote", "m.why", "m.score", "m.clip_type", F.size("m.hashtags").cast("long").alias("tags"), F.col("m.extra")["k"].alias("k"), "m.hook", "m.speaker", "m.judge_score", "m.priority", "m.speaker_confidence", "m.source_chunk_ids", "m.selection_stage")
 
 
 _REPLY = """CASE event_id % 5 WHEN 0 THEN concat('[', props, ',', props, ']') WHEN 1 THEN concat('{"moments":[', props, ']}') WHEN 2 THEN concat('{"moment":', props, '}') WHEN 3 THEN concat('{"x":1,"clips":[', props, ',', props, ',', props, ']}') ELSE '{"none":true}' END"""

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.semistructured import coerced, payload_items
 from ..operators import aggregates as A
 from ..operators import folds as O
-from ..operators import intervals as I
 from ..operators import matching as M
 from ..operators import providers as P
 from ..sources import files as S
 from ..sources import sinks as K
+from . import analysis as N
 from . import views as V
 from .views import using
 
@@ -48,17 +45,6 @@ def ready(spark, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
-def analyse(segments: DataFrame, make: Callable[[], P.Provider], quotas: dict[str, int], total: int | None = None) -> DataFrame:
-    """Moments of every episode: overlapping chunks, a model's candidates for each, clamped to the chunk, greedy selection under the quotas."""
-    chunks = O.per_key(segments, "ep", ["s_ms", "seg"], lambda r: O.overlapping_chunks(r, 90_000, 2500, 30_000), "chunk_id string, s_ms long, e_ms long, text string")
-    asked = P.generate(chunks.withColumn("prompt", F.col("text")), make)
-    found = asked.select("ep", "chunk_id", "s_ms", "e_ms", F.explode(payload_items("reply")).alias("j")).withColumn("m", coerced("j")).filter("m IS NOT NULL")
-    sec = lambda c: F.floor(F.col(c) / 1000).cast("long")
-    c = found.select("ep", "chunk_id", F.floor("m.start").cast("long").alias("s"), F.ceil("m.end").cast("long").alias("e"), F.col("m.score").alias("value"), F.col("m.title").alias("title"), F.col("m.clip_type").alias("clip_type"), sec("s_ms").alias("lo"), (sec("e_ms") + 1).alias("hi"))
-    c = I.clamped(c, F.col("lo"), F.col("hi"), 3).withColumn("id", F.substring("chunk_id", 7, 9).cast("long"))
-    return O.per_key(c, "ep", ["id"], lambda r: O.ranked(r, quotas, total=total), "id long, rank long, bucket string, s long, e long, value double, title string")
-
-
 def proofread(segments: DataFrame, fixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(segments with safe corrections, counts of each verdict by episode)."""
     out = M.applied(segments, fixes, ["ep", "seg"])
@@ -87,9 +73,14 @@ def checked_terms(docs: DataFrame, key: str) -> DataFrame:
     return x.select(key, F.col("f.n").alias("term_fixes"), F.col("f.text").alias("text"))
 
 
+MODELS = {"context": P.summarising, "scout": P.rule_based, "cleanup_refine": P.echoing(), "judge_metadata": P.echoing(0.5)}
+
+
 @register("full_analysis")
 def full_analysis(spark, d):
-    return analyse(V.segments(spark, d), P.rule_based, {"reel": 4})
+    """Every stage of the analysis, with models that follow rules."""
+    settings = N.Settings(quotas={"story": 2, "reel": 4, "highlight": 2}, clips_per_hour=60, chunk=90_000, chunk_chars=2500)
+    return N.staged(V.segments(spark, d), V.words(spark, d), V.sentences(spark, d), MODELS, settings)
 
 
 @register("scout_replies")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ass_time, srt_time
@@ -92,5 +95,36 @@ def write_texts(df: DataFrame, path: str, text: str, key: str) -> None:
     df.select(F.col(key).cast("string").alias(key), F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
+def reel_assets(cues: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, srt, ass): the cues of a clip merged, split and timed, as both kinds of subtitles; a clip without cues has none."""
+    from ..operators import folds as O
+    from ..operators import records as R
+
+    ready = O.per_key(cues.select(key, *order, "s_ms", "e_ms", "text"), key, order, O.subtitles, "s_ms long, e_ms long, text string")
+    ready = ready.withColumn("seg", F.row_number().over(Window.partitionBy(key).orderBy("s_ms", "e_ms")).cast("long"))
+    words = R.subtitle_words(ready.withColumn("words", F.lit(None).cast(R.WORDS)), key)
+    lists = words.groupBy(key, "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s_ms", "e_ms", "word"))), lambda x: F.struct(x["s_ms"].alias("s_ms"), x["e_ms"].alias("e_ms"), x["word"].alias("word"))).alias("words"))
+    timed = ready.join(lists, [key, "seg"])
+    return srt(ready, key, ["seg"]).join(ass(timed, key, ["seg"]), key)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, as UTF-8: written beside its place and moved there, so that a reader sees the old file or the new one. For many, write a table."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex[:8]}")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(part, target):
+        fs.delete(target, False)  # where a file system does not replace
+        fs.rename(part, target)
+
+
+def write_json(spark: SparkSession, path: str, value: object) -> None:
+    write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2) + "\n")
+
+
 def write_if_absent(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").json(path)

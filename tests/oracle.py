@@ -43,4 +43,5 @@ def compare(spark, query, sql):
     order = sorted(want.column_names)
     assert {c: kind(got.schema.field(c).type) for c in order} == {c: kind(want.schema.field(c).type) for c in order}
     rows = lambda t: sorted(repr([value(r[c]) for c in order]) for r in t.to_pylist())
-    assert rows(got) == rows(want)
+    a, b = rows(got), rows(want)
+    assert a == b, next(((x, y) for x, y in zip(a, b, strict=False) if x != y), (len(a), len(b)))
