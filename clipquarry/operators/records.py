@@ -158,7 +158,7 @@ def model_results(runs: DataFrame) -> DataFrame:
     """(model, seconds, moments, avg_score, valid): from (model, seconds, score) with a row for each moment, its score on any scale, and one with a null score for a model without moments."""
     from .aggregates import scaled_score
 
-    g = runs.groupBy("model").agg(F.max("seconds").alias("seconds"), F.count("score").alias("moments"), F.avg(F.least(F.lit(10.0), scaled_score(F.col("score")))).alias("a"))
+    g = runs.groupBy("model").agg(F.max("seconds").alias("seconds"), F.count("score").alias("moments"), F.avg(scaled_score(F.col("score"))).alias("a"))
     return g.select("model", "seconds", "moments", F.coalesce("a", F.lit(0.0)).alias("avg_score"), (F.col("moments") >= 3).alias("valid"))
 
 

@@ -43,8 +43,8 @@ def _heard(spark, d):
 
 @register("word_timed_units", using("words") + _HEARD + r""", p AS (SELECT *, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ps2 FROM h),
 u AS (SELECT ep, seg, speaker, s_ms, e_ms, ws, we, len(ps2) AS n, unnest(ps2) AS text, unnest(range(0, len(ps2))) AS pos FROM p),
-c AS (SELECT *, sum(len(string_split(text, ' '))) OVER w AS upto, sum(len(string_split(text, ' '))) OVER (PARTITION BY ep, seg) AS every, sum(length(text)) OVER w AS chars, sum(length(text)) OVER (PARTITION BY ep, seg) AS total FROM u WINDOW w AS (PARTITION BY ep, seg ORDER BY pos)),
-t AS (SELECT *, ws[upto - len(string_split(text, ' ')) + 1] AS a, we[upto] AS b FROM c), f AS (SELECT *, len(ws) = every AND bool_and(coalesce(b > a, false)) OVER (PARTITION BY ep, seg) AS fits FROM t)
+c AS (SELECT *, sum(len(string_split(text, ' '))) OVER w AS upto0, sum(len(string_split(text, ' '))) OVER (PARTITION BY ep, seg) AS every, sum(length(text)) OVER w AS chars, sum(length(text)) OVER (PARTITION BY ep, seg) AS total FROM u WINDOW w AS (PARTITION BY ep, seg ORDER BY pos)),
+t AS (SELECT *, ws[CAST(upto0 AS INT) - len(string_split(text, ' ')) + 1] AS a, we[CAST(upto0 AS INT)] AS b FROM c), f AS (SELECT *, len(ws) = every AND bool_and(coalesce(b > a, false)) OVER (PARTITION BY ep, seg) AS fits FROM t)
 SELECT ep, seg, pos, CASE WHEN n = 1 THEN s_ms WHEN fits THEN a ELSE CAST(floor(s_ms + (e_ms - s_ms)::DOUBLE * (chars - length(text)) / total + 0.5) AS BIGINT) END AS s_ms, CASE WHEN n = 1 THEN e_ms WHEN fits THEN b WHEN pos = n - 1 THEN e_ms ELSE CAST(floor(s_ms + (e_ms - s_ms)::DOUBLE * chars / total + 0.5) AS BIGINT) END AS e_ms, text, speaker FROM f""")
 def word_timed_units(spark, d):
     return R.units(_heard(spark, d), "ep")
@@ -111,7 +111,7 @@ def segment_lines(spark, d):
 _ROW = "'[' || (s_ms // 1000) || '-' || (e_ms // 1000) || '] (' || speaker || ') ' || trim(text)"
 
 
-@register("compact_text", using("segments") + f", t AS (SELECT ep, string_agg({_ROW}, chr(10) ORDER BY seg) AS t FROM segments GROUP BY ep), k AS (SELECT *, left(t, 1500) AS cut, 1500 - instr(reverse(left(t, 1500)), chr(10)) AS at FROM t) SELECT ep, CASE WHEN length(t) <= 1500 THEN t WHEN contains(cut, chr(10)) AND at > 1200 THEN left(cut, at) ELSE cut END AS text FROM k")
+@register("compact_text", using("segments") + f", t AS (SELECT ep, string_agg({_ROW}, chr(10) ORDER BY seg) AS t FROM segments GROUP BY ep), k AS (SELECT *, left(t, 1500) AS cut, 1500 - instr(reverse(left(t, 1500)), chr(10)) AS line FROM t) SELECT ep, CASE WHEN length(t) <= 1500 THEN t WHEN contains(cut, chr(10)) AND line > 1200 THEN left(cut, line) ELSE cut END AS text FROM k")
 def compact_text(spark, d):
     sec = lambda c: F.floor(F.col(c) / 1000).cast("string")
     line = F.concat(F.lit("["), sec("s_ms"), F.lit("-"), sec("e_ms"), F.lit("] ("), "speaker", F.lit(") "), F.trim("text"))
@@ -136,7 +136,7 @@ def rendered_turns(spark, d):
 # -- text between, judge
 
 
-@register("text_between", using("words", "sentences") + ", q AS (SELECT ep, id, s * 10 % 90000 AS s, s * 10 % 90000 + e % 20000 AS e FROM moments), w AS (SELECT q.id, string_agg(w.word, ' ' ORDER BY w.s_ms, w.seg, w.pos) AS t FROM q JOIN words w ON w.ep = q.ep AND w.e_ms > q.s AND w.s_ms < q.e WHERE w.seg % 4 <> 3 GROUP BY q.id), t AS (SELECT q.id, string_agg(t.text, ' ' ORDER BY t.s_ms, t.seg, t.pos) AS t FROM q JOIN sentences t ON t.ep = q.ep AND t.e_ms > q.s AND t.s_ms < q.e GROUP BY q.id), x AS (SELECT q.id, trim(coalesce(w.t, t.t, '')) AS t FROM q LEFT JOIN w USING (id) LEFT JOIN t USING (id)), k AS (SELECT *, left(t, 120) AS cut, 120 - instr(reverse(left(t, 120)), ' ') AS at FROM x) SELECT id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(CASE WHEN contains(cut, ' ') AND at > 72 THEN left(cut, at) ELSE cut END) || '…' END AS text FROM k".replace("q AS (", V.SQL["moments"] + ", q AS (", 1))
+@register("text_between", using("words", "sentences") + ", q AS (SELECT ep, id, s * 10 % 90000 AS s, s * 10 % 90000 + e % 20000 AS e FROM moments), w AS (SELECT q.id, string_agg(w.word, ' ' ORDER BY w.s_ms, w.seg, w.pos) AS t FROM q JOIN words w ON w.ep = q.ep AND w.e_ms > q.s AND w.s_ms < q.e WHERE w.seg % 4 <> 3 GROUP BY q.id), t AS (SELECT q.id, string_agg(t.text, ' ' ORDER BY t.s_ms, t.seg, t.pos) AS t FROM q JOIN sentences t ON t.ep = q.ep AND t.e_ms > q.s AND t.s_ms < q.e GROUP BY q.id), x AS (SELECT q.id, trim(coalesce(w.t, t.t, '')) AS t FROM q LEFT JOIN w USING (id) LEFT JOIN t USING (id)), k AS (SELECT *, left(t, 120) AS cut, 120 - instr(reverse(left(t, 120)), ' ') AS space FROM x) SELECT id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(CASE WHEN contains(cut, ' ') AND space > 72 THEN left(cut, space) ELSE cut END) || '…' END AS text FROM k".replace("q AS (", V.SQL["moments"] + ", q AS (", 1))
 def text_between(spark, d):
     """Words are known of three turns in four; elsewhere sentences tell what is said."""
     q = V.moments(spark, d).select("ep", "id", (F.col("s") * 10 % 90_000).alias("s"), (F.col("s") * 10 % 90_000 + F.col("e") % 20_000).alias("e"))
