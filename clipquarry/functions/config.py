@@ -64,3 +64,13 @@ def completion_payload(prompt: Column, temperature: Column, n_predict: int, sche
     if schema is None:
         return body
     return F.when(schema.isNull(), body).otherwise(F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(',"json_schema":'), schema, F.lit("}")))
+
+
+def requested_quotas(processing: Column | str) -> Column:
+    """Clips wanted of each kind, out of a processing section as JSON, as a map: 0 where a kind is not told; reels that are none, or not told, are reels_count, 4 by default."""
+    c = col(processing)
+    count = lambda path: F.coalesce(F.get_json_object(c, path).try_cast("double").try_cast("long"), F.lit(0).cast("long"))
+    fallback = F.coalesce(F.get_json_object(c, "$.reels_count").try_cast("double").try_cast("long"), F.lit(4).cast("long"))
+    reels = count("$.clips.reels.count")
+    wanted = {"story": count("$.clips.stories.count"), "reel": F.when(reels > 0, reels).otherwise(fallback), "long_reel": count("$.clips.long_reels.count"), "highlight": count("$.clips.highlights.moments_count")}
+    return F.create_map(*[x for k, v in wanted.items() for x in (F.lit(k), v)])

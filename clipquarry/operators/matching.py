@@ -149,8 +149,7 @@ def term_fixed(text: pd.Series, fixes: pd.Series) -> pd.DataFrame:
 
 
 def unique_names(names: DataFrame, key: str) -> DataFrame:
-    """(key, id, name): of names that are equal but for case the first by pos stays; an episode with fewer than two keeps none."""
-    n = names.withColumn("name", F.trim("name")).filter("name <> ''")
+    """(key, id, name) from (key, pos, id, name): blanks in names are one space; of names that are equal but for case the first by pos stays; blank ones go."""
+    n = names.withColumn("name", F.trim(F.regexp_replace("name", r"\s+", " "))).filter("name <> ''")
     w = Window.partitionBy(key, F.lower("name")).orderBy("pos")
-    one = n.withColumn("__r", F.row_number().over(w)).filter("__r = 1")
-    return one.withColumn("__n", F.count("*").over(Window.partitionBy(key))).filter("__n >= 2").select(key, "id", "name")
+    return n.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select(key, "id", "name")

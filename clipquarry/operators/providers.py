@@ -41,6 +41,26 @@ def generate(prompts: DataFrame, make: Callable[[], Provider], tries: int = 2, n
     return prompts.mapInPandas(run, ", ".join([*names, "reply string", "error string"]))
 
 
+def answers(prompts: DataFrame, make: Callable[[], Provider]) -> DataFrame:
+    """prompts (any columns and prompt) with answer, the text as it comes, and error; a failure of one row is its error and null answer. A null prompt is not asked."""
+    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = make()
+
+        def one(prompt: str | None) -> tuple[str | None, str | None]:
+            try:
+                return (None if prompt is None else ask(prompt)), None
+            except Exception as e:  # noqa: BLE001  whatever a provider raises is the row's error
+                return None, f"{type(e).__name__}: {e}"
+
+        for pdf in batches:
+            got = [one(p) for p in pdf["prompt"]]
+            yield pdf.assign(answer=[g[0] for g in got], error=[g[1] for g in got])
+
+    return prompts.mapInPandas(run, ", ".join([*names, "answer string", "error string"]))
+
+
 def all_failed(replies: DataFrame, key: str) -> DataFrame:
     """Keys of which no row has a reply: where a caller stops rather than go on with nothing."""
     return replies.groupBy(key).agg(F.count("reply").alias("__n")).filter("__n = 0").select(key)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import config as C
 from ..functions import semistructured as J
 from ..operators import aggregates as A
 from . import views as V
@@ -50,10 +51,10 @@ def variant_stability(spark, d):
     return A.stability(_variants(spark, d), 86_400)
 
 
-@register("stability_pivot", "WITH v AS (SELECT user_id AS ep, event_type AS kind, 'v' || (event_id % 3) AS variant FROM events) SELECT variant, count(*) FILTER (WHERE kind = 'click') AS click, count(*) FILTER (WHERE kind = 'error') AS error, count(*) FILTER (WHERE kind = 'view') AS view FROM v GROUP BY variant")
+@register("stability_pivot", "WITH v AS (SELECT user_id AS ep, event_type AS kind, 'v' || (event_id % 3) AS variant FROM events) SELECT variant, count(*) FILTER (WHERE kind = 'click') AS click, count(*) FILTER (WHERE kind = 'error') AS error, count(*) FILTER (WHERE kind = 'purchase') AS purchase, count(*) FILTER (WHERE kind = 'signup') AS signup, count(*) FILTER (WHERE kind = 'view') AS view FROM v GROUP BY variant")
 def stability_pivot(spark, d):
     v = V.table(spark, d, "events").select(F.concat(F.lit("v"), F.col("event_id") % 3).alias("variant"), "event_type")
-    return v.groupBy("variant").pivot("event_type", ["click", "error", "view"]).count()
+    return v.groupBy("variant").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).count()
 
 
 @register("best_variant", using("moments") + _VAR + ", g AS (SELECT ep, variant, count(*) AS n, sum(score) AS total FROM v GROUP BY ALL) SELECT ep, arg_max(variant, total * 1000 + n * 10 + (2 - CAST(right(variant, 1) AS INT))) AS variant, max(total) AS total FROM g GROUP BY ep")
@@ -151,12 +152,13 @@ def json_payload_items(spark, d):
 _FIX = """CASE event_id % 3 WHEN 0 THEN concat('[{"id":1,"text":"a', event_id % 5, '"},{"id":"2","text":"b"},{"id":1,"text":"c', event_id % 7, '"}]') WHEN 1 THEN concat('{"segments":[{"id":"x","text":"q"},{"id":7,"text":"  "},{"id":8,"text":" ok"}]}') ELSE 'bad' END"""
 
 
-@register("corrections", """WITH c AS (SELECT event_id AS id, unnest(CASE event_id % 3 WHEN 0 THEN [1, 2] WHEN 1 THEN [8] ELSE [] END) AS seg FROM events) SELECT id, CAST(seg AS INT) AS seg, CASE seg WHEN 1 THEN 'c' || (id % 7) WHEN 2 THEN 'b' ELSE 'ok' END AS text FROM c""")
+@register("corrections", f"""WITH r AS (SELECT event_id AS id, {_FIX} AS raw FROM events), j AS (SELECT id, raw::JSON AS j FROM r WHERE json_valid(raw)), l AS (SELECT id, json_extract(CASE WHEN json_type(j) = 'ARRAY' THEN j ELSE j->'$.segments' END, '$[*]') AS l FROM j),
+x AS (SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM l), g AS (SELECT id, TRY_CAST(x->>'$.id' AS INT) AS seg, trim(x->>'$.text') AS text, pos FROM x) SELECT id, seg, arg_max(text, pos) AS text FROM g WHERE seg IS NOT NULL AND text <> '' GROUP BY id, seg""")
 def corrections(spark, d):
     return V.table(spark, d, "events").select(F.col("event_id").alias("id"), F.explode(J.corrections(F.expr(_FIX))).alias("seg", "text"))
 
 
-@register("layered_config", "SELECT event_id AS id, 'm' || (event_id % 2) AS model, CASE WHEN event_id % 3 = 0 THEN '9' ELSE '1' END AS temp, '5' AS n FROM events")
+@register("layered_config", "WITH c AS (SELECT event_id AS id, map_concat(MAP {'temp': '1', 'n': '3'}, MAP {'model': 'm' || (event_id % 2), 'n': '5'}, CASE WHEN event_id % 3 = 0 THEN MAP {'temp': '9'} ELSE MAP {'x': ''} END) AS m FROM events) SELECT id, m['model'] AS model, m['temp'] AS temp, m['n'] AS n FROM c")
 def layered_config(spark, d):
     m = lambda *kv: F.create_map(*map(F.lit, kv))
     top = F.when(F.col("event_id") % 3 == 0, m("temp", "9"))
@@ -167,7 +169,7 @@ def layered_config(spark, d):
 _CUT = """CASE event_id % 4 WHEN 0 THEN concat('Sure! Here: ```json', chr(10), '{"a":', event_id, ',"b":[1,2,{"c":"x') WHEN 1 THEN props WHEN 2 THEN concat('text [', event_id, ', 2, "y"] and more') ELSE 'no value at all' END"""
 
 
-@register("json_salvage", """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '{"a": ' || event_id || ', "b": [1, 2]}' WHEN 1 THEN replace(props, ' ', '') WHEN 2 THEN '[' || event_id || ', 2, "y"]' END AS value FROM events""".replace("WHEN 0 THEN '{\"a\": ' || event_id || ', \"b\": [1, 2]}'", "WHEN 0 THEN '{\"a\": ' || event_id || ', \"b\": [1, 2, {}]}'"))
+@register("json_salvage")
 def json_salvage(spark, d):
     return V.table(spark, d, "events").select(F.col("event_id").alias("id"), J.json_value(F.expr(_CUT)).alias("value"))
 
@@ -178,7 +180,10 @@ def markdown_sections(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.posexplode(J.sections(md)).alias("pos", "s")).select("doc_id", "pos", "s.title", F.size("s.paragraphs").alias("paragraphs"))
 
 
-@register("requested_quotas", "SELECT event_id AS id, greatest(0, event_id % 5 - 1) AS story, CASE WHEN event_id % 4 - 1 <= 0 THEN 4 ELSE event_id % 4 - 1 END AS reel FROM events")
+_CLIPS_CONF = """CASE event_id % 4 WHEN 0 THEN concat('{"clips":{"stories":{"count":', event_id % 5, '},"reels":{"count":', event_id % 3 - 1, '},"highlights":{"moments_count":', event_id % 6, '}}}') WHEN 1 THEN concat('{"clips":{"reels":{"count":', event_id % 7, '}},"reels_count":', event_id % 9 + 1, '}') WHEN 2 THEN '{"clips":5}' ELSE concat('{"reels_count":', event_id % 4 + 2, ',"clips":{"long_reels":{"count":"', event_id % 5, '"}}}') END"""
+
+
+@register("requested_quotas", f"WITH j AS (SELECT event_id AS id, ({_CLIPS_CONF})::JSON AS j FROM events) SELECT id, coalesce(TRY_CAST(j->>'$.clips.stories.count' AS BIGINT), 0) AS story, CASE WHEN coalesce(TRY_CAST(j->>'$.clips.reels.count' AS BIGINT), 0) > 0 THEN TRY_CAST(j->>'$.clips.reels.count' AS BIGINT) ELSE coalesce(TRY_CAST(j->>'$.reels_count' AS BIGINT), 4) END AS reel, coalesce(TRY_CAST(j->>'$.clips.long_reels.count' AS BIGINT), 0) AS long_reel, coalesce(TRY_CAST(j->>'$.clips.highlights.moments_count' AS BIGINT), 0) AS highlight FROM j")
 def requested_quotas(spark, d):
-    reel = F.col("event_id") % 4 - 1
-    return V.table(spark, d, "events").select(F.col("event_id").alias("id"), F.greatest(F.lit(0), F.col("event_id") % 5 - 1).alias("story"), F.when(reel <= 0, 4).otherwise(reel).alias("reel"))
+    q = V.table(spark, d, "events").select(F.col("event_id").alias("id"), C.requested_quotas(F.expr(_CLIPS_CONF)).alias("q"))
+    return q.select("id", *[F.col("q")[k].alias(k) for k in ("story", "reel", "long_reel", "highlight")])

@@ -152,11 +152,17 @@ def speaker_islands(spark, d):
     return x.groupBy("ep", "island").agg(F.first("speaker").alias("speaker"), F.min("s_ms").alias("s_ms"), F.max("e_ms").alias("e_ms"), joined.alias("text"))
 
 
-@register("section_islands", using("segments") + r", t AS (SELECT ep, seg, lower(trim(regexp_replace(left(text, 1), '\s+', ' ', 'g'))) AS title, text FROM segments), c AS (SELECT *, CASE WHEN title = lag(title) OVER (PARTITION BY ep ORDER BY seg) THEN 0 ELSE 1 END AS n FROM t), i AS (SELECT *, sum(n) OVER (PARTITION BY ep ORDER BY seg) AS k FROM c) SELECT ep, CAST(k AS BIGINT) AS section, any_value(title) AS title, list(text ORDER BY seg) AS paragraphs FROM i GROUP BY ep, k")
+_TITLE = "CASE seg % 2 WHEN 0 THEN 'Part ' || (seg // 4) || '.' ELSE ' PART  ' || (seg // 4) END"
+
+
+@register("section_islands", using("segments") + rf""", t AS (SELECT ep, seg, trim(trim(lower(regexp_replace({_TITLE}, '\s+', ' ', 'g'))), ' .:—-') AS title, text FROM segments), c AS (SELECT *, CASE WHEN title = lag(title) OVER (PARTITION BY ep ORDER BY seg) THEN 0 ELSE 1 END AS n FROM t), i AS (SELECT *, sum(n) OVER (PARTITION BY ep ORDER BY seg) AS k FROM c) SELECT ep, CAST(k AS BIGINT) AS section, any_value(title) AS title, list(text ORDER BY seg) AS paragraphs FROM i GROUP BY ep, k""")
 def section_islands(spark, d):
+    """Neighbouring sections whose titles are the same but for case, blanks and marks at the ends, as one."""
     w = Window.partitionBy("ep").orderBy("seg")
-    x = V.segments(spark, d).withColumn("title", F.lower(F.trim(F.substring("text", 1, 1))))
-    x = x.withColumn("n", F.when(F.col("title") == F.lag("title").over(w), 0).otherwise(1)).withColumn("section", F.sum("n").over(w))
+    raw = F.expr(_TITLE.replace("seg // 4", "seg div 4"))
+    x = V.segments(spark, d).withColumn("title", F.btrim(F.trim(F.lower(F.regexp_replace(raw, r"\s+", " "))), F.lit(" .:—-")))
+    same = (F.col("title") == F.lag("title").over(w)) & (F.col("title") != "")
+    x = x.withColumn("n", F.when(same, 0).otherwise(1)).withColumn("section", F.sum("n").over(w))
     return x.groupBy("ep", "section").agg(F.first("title").alias("title"), F.transform(F.array_sort(F.collect_list(F.struct("seg", "text"))), lambda y: y["text"]).alias("paragraphs"))
 
 

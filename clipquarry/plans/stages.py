@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import semistructured as J
 from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import folds as O
 from ..operators import matching as M
 from ..operators import providers as P
+from ..operators import records as R
+from ..operators.store import stored
 from ..sources import files as S
 from ..sources import sinks as K
 from . import analysis as N
 from . import views as V
+from .text_queries import stems
 from .views import using
 
 STAGES = tuple("transcribe diarize proofread article analyze cut".split())
@@ -58,6 +64,40 @@ def article(edits: DataFrame, limits: dict[str, float] | None = None) -> DataFra
     return x.groupBy("ep", "chunk").agg(best.alias("b")).select("ep", "chunk", F.col("b.try").alias("try"), F.col("b.f.ok").alias("faithful"), F.col("b.f.novel").alias("novel"), F.col("b.edited").alias("edited"))
 
 
+def corrected(segments: DataFrame, make: Callable[[], P.Provider], chars: int = 3500, template: str = "PROOFREAD\n{segments_json}") -> DataFrame:
+    """Segments proofread by a model in batches that fit its prompt: what it gives back for a segment is taken if it is a safe correction. A batch that fails keeps its texts; verdict tells what became of each segment."""
+    rows = O.per_key(segments.select("ep", "seg", "text"), "ep", ["seg"], lambda r: O.next_fit(r, lambda x: len(x["text"] or ""), chars), "seg long, bin long")
+    x = segments.select("ep", "seg", "text").join(rows, ["ep", "seg"])
+    item = F.to_json(F.struct(F.col("seg").alias("id"), F.trim("text").alias("text")))
+    asked = x.groupBy("ep", "bin").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", item.alias("j")))), lambda y: y["j"]), ","), F.lit("]")).alias("j"))
+    replies = P.generate(asked.select("ep", "bin", T.render(template, {"segments_json": "j"}).alias("prompt")), make)
+    fixes = replies.select("ep", F.explode(J.corrections("reply")).alias("seg", "corrected")).withColumn("seg", F.col("seg").cast("long"))
+    return M.applied(segments, fixes, ["ep", "seg"])
+
+
+RETRY = "\n\nThe answer before was not the speaker's own words. Keep them, add and leave out nothing but slips."
+
+
+def written(chunks: DataFrame, make: Callable[[], P.Provider], limits: dict[str, float] | None = None, template: str = "ARTICLE\n{transcript}") -> DataFrame:
+    """(ep, chunk, try, faithful, novel, edited) of chunks (ep, chunk, source): what a model makes of each; one that is not faithful, or has no sections, is asked for once more, and the closer of the two kept."""
+    prompts = chunks.withColumn("prompt", T.render(template, {"transcript": "source"}))
+    said = lambda df: df.withColumn("edited", F.array_join(F.flatten(F.transform(J.sections("answer"), lambda x: x["paragraphs"])), "\n\n")).drop("answer", "error", "prompt")
+    one = stored(said(P.answers(prompts, make)).withColumn("try", F.lit(1)), "article")
+    bad = one.filter((F.col("edited") == "") | ~T.faithfulness("source", "edited", limits)["ok"])
+    two = said(P.answers(bad.drop("edited", "try").withColumn("prompt", F.concat(T.render(template, {"transcript": "source"}), F.lit(RETRY))), make)).withColumn("try", F.lit(2))
+    return article(one.unionByName(two).filter("edited <> ''"), limits)
+
+
+def speaker_names(turns: DataFrame, make: Callable[[], P.Provider], chars: int = 6000, template: str = "NAMES\n{transcript}") -> DataFrame:
+    """(ep, id, name): names that a model, shown both ends of an episode's turns (ep, turn, speaker, text), gives to its speakers. Only ids that are there count, a name once; an episode of fewer than two speakers has none."""
+    ids = turns.filter("speaker <> ''").select("ep", F.col("speaker").alias("id")).distinct()
+    several = ids.groupBy("ep").agg(F.count("*").alias("n")).filter("n >= 2").select("ep")
+    shown = R.rendered_turns(turns, "ep").join(several, "ep", "left_semi").select("ep", T.render(template, {"transcript": R.both_ends(F.col("text"), chars)}).alias("prompt"))
+    reply = P.generate(shown, make).select("ep", F.coalesce(F.get_json_object("reply", "$.speakers"), "reply").alias("r"))
+    entries = reply.select("ep", F.posexplode(F.from_json("r", "array<struct<id:string,name:string>>")).alias("pos", "x")).select("ep", "pos", F.trim("x.id").alias("id"), F.coalesce("x.name", F.lit("")).alias("name"))
+    return M.unique_names(entries.join(ids, ["ep", "id"], "left_semi"), "ep")
+
+
 def checked_terms(docs: DataFrame, key: str) -> DataFrame:
     """(key, term_fixes, text) of every row: a suspect term that no other document has is set right to the spelling that most documents have, if at least five do. docs: (key, text)."""
     suspects = A.suspect_terms(docs, key)
@@ -83,9 +123,12 @@ def full_analysis(spark, d):
     return N.staged(V.segments(spark, d), V.words(spark, d), V.sentences(spark, d), MODELS, settings)
 
 
-@register("scout_replies")
+@register("scout_replies", using("segments") + r""", p AS (SELECT *, seg % 3 < 2 AS timed, CASE WHEN seg % 3 < 2 THEN '[' || (s_ms // 1000) || '-' || (e_ms // 1000) || '] ' || text ELSE text END AS prompt, regexp_extract_all(text, '\p{L}{4,}') AS w FROM segments)
+SELECT ep, seg, CASE WHEN timed THEN '{"moments": [{"end": ' || greatest(s_ms // 1000 + 1, e_ms // 1000) || ', "quote": "' || array_to_string(w[1:8], ' ') || '", "score": ' || (1 + length(prompt) % 10) || ', "start": ' || (s_ms // 1000) || ', "title": "' || array_to_string(w[1:3], ' ') || '"}]}' END AS reply, CASE WHEN NOT timed THEN 'no JSON in the answer' END AS error FROM p""")
 def scout_replies(spark, d):
-    p = V.segments(spark, d).select("ep", "seg", F.when(F.col("seg") % 3 < 2, F.concat(F.lit("["), F.floor(F.col("s_ms") / 1000).cast("string"), F.lit("-"), F.floor(F.col("e_ms") / 1000).cast("string"), F.lit("] "), F.col("text"))).otherwise("no times here").alias("prompt"))
+    """Each turn as a prompt; those of every third turn have no times, and their answers no JSON."""
+    timed = F.concat(F.lit("["), F.floor(F.col("s_ms") / 1000).cast("string"), F.lit("-"), F.floor(F.col("e_ms") / 1000).cast("string"), F.lit("] "), F.col("text"))
+    p = V.segments(spark, d).select("ep", "seg", F.when(F.col("seg") % 3 < 2, timed).otherwise(F.col("text")).alias("prompt"))
     return P.generate(p, P.rule_based).select("ep", "seg", "reply", "error")
 
 
@@ -119,12 +162,18 @@ def spelling_variants(spark, d):
     return t.select("term", M.spelling_variants("term").alias("variants")).filter("size(variants) > 0")
 
 
-@register("verify_terms", "SELECT 'Bonk' AS wrong, 'Bong' AS \"right\", 2 AS occurrences, 7 AS hits")
+#: Every word of six letters or more, with the documents that have it; of words of nine letters nothing is known.
+_TERMS = "d AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{6,}'))) AS t FROM documents), n AS (SELECT t, count(*) AS hits FROM d GROUP BY t), v AS (SELECT t, k, left(t, k - 1) || m.b || substr(t, k + 1) AS v FROM (SELECT t, unnest(range(2, length(t) + 1)) AS k FROM n WHERE hits < 2 AND length(t) <> 9) JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in M.LATIN.items()) + ") m(a, b) ON substr(t, k, 1) = m.a), f AS (SELECT t, v, max(k) AS k FROM v GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY k DESC) AS pos FROM f), h AS (SELECT o.t, o.v, o.pos, coalesce(n.hits, 0) AS hits FROM o LEFT JOIN n ON n.t = o.v WHERE pos <= 24)"
+
+
+@register("verify_terms", f"WITH {_TERMS}, b AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY hits DESC, pos) AS r FROM h) SELECT t AS wrong, v AS \"right\", 1 AS occurrences, hits FROM b WHERE r = 1 AND hits >= 5")
 def verify_terms(spark, d):
-    """Bonk is unknown and Bong is known best; Fidea has a variant that could not be looked up."""
-    s = spark.createDataFrame([("Bonk", 2), ("Fidea", 3), ("Known", 4)], "term string, occurrences long")
-    look = spark.createDataFrame([("bonk", 0), ("bong", 7), ("bank", 5), ("fidea", 0), ("fideo", 9), ("known", 3)], "term string, hits long")
-    return M.verified_terms(s, look)
+    """Every word that only one document has, against the spelling of its like that most documents have."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0)), F.lower))
+    n = V.table(spark, d, "documents").select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("hits"))
+    asked = n.filter("hits < 2").select(F.explode(M.spelling_variants("term")).alias("term")).distinct().join(n, "term", "left_anti").withColumn("hits", F.lit(0).cast("long"))
+    look = n.unionByName(asked).filter("length(term) <> 9")
+    return M.verified_terms(n.filter("hits < 2").select("term", F.col("hits").alias("occurrences")), look, unknown=2)
 
 
 @register("corpus_terms")
@@ -132,18 +181,25 @@ def corpus_terms(spark, d):
     return checked_terms(V.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
-@register("unique_names", using("segments") + ", n AS (SELECT ep, seg AS pos, 'id' || seg AS id, CASE WHEN seg % 3 = 0 THEN 'Ann' WHEN seg % 3 = 1 THEN 'bob' ELSE 'ANN ' END AS name FROM segments), r AS (SELECT *, row_number() OVER (PARTITION BY ep, lower(trim(name)) ORDER BY pos) AS r FROM n), c AS (SELECT *, count(*) OVER (PARTITION BY ep) AS c FROM r WHERE r = 1) SELECT ep, id, trim(name) AS name FROM c WHERE c >= 2")
+@register("unique_names", using("segments") + ", n AS (SELECT ep, seg AS pos, 'id' || seg AS id, CASE WHEN seg % 3 = 0 THEN 'Ann' WHEN seg % 3 = 1 THEN 'bob' ELSE 'ANN ' END AS name FROM segments), r AS (SELECT *, row_number() OVER (PARTITION BY ep, lower(trim(name)) ORDER BY pos) AS r FROM n) SELECT ep, id, trim(name) AS name FROM r WHERE r = 1")
 def unique_names(spark, d):
     n = V.segments(spark, d).select("ep", F.col("seg").alias("pos"), F.concat(F.lit("id"), F.col("seg").cast("string")).alias("id"), F.expr("CASE WHEN seg % 3 = 0 THEN 'Ann' WHEN seg % 3 = 1 THEN 'bob' ELSE 'ANN ' END AS name"))
     return M.unique_names(n, "ep")
 
 
-@register("article_retry", "SELECT lang AS ep, doc_id AS chunk, CASE WHEN doc_id % 2 = 0 AND trim(text) <> '' THEN 2 ELSE 1 END AS try, doc_id % 2 = 0 AND trim(text) <> '' AS faithful FROM documents")
+_TRIED = f"""WITH p AS (SELECT lang AS ep, doc_id AS chunk, text AS source, unnest(['', CASE WHEN doc_id % 2 = 0 THEN text ELSE left(text, length(text) // 2) || ' Zzzzzz yyyyyy xxxxxx' END]) AS edited, unnest([1, 2]) AS try FROM documents),
+s AS (SELECT *, {stems('source')} AS a, {stems('edited')} AS b FROM p),
+r AS (SELECT *, CASE WHEN len(b) = 0 THEN 0.0 ELSE floor((len(b) - len(list_intersect(a, b))) / len(b) * 10000 + 0.5) / 10000 END AS novel, CASE WHEN len(a) = 0 THEN 1.0 ELSE floor(len(list_intersect(a, b)) / len(a) * 10000 + 0.5) / 10000 END AS cover, CASE WHEN length(trim(source)) = 0 THEN 0.0 ELSE floor(length(trim(edited)) / length(trim(source)) * 10000 + 0.5) / 10000 END AS part FROM s),
+k AS (SELECT *, novel <= 0.08 AND cover >= 0.5 AND part BETWEEN 0.3 AND 1.1 AS ok FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY ep, chunk ORDER BY NOT ok, CASE WHEN ok THEN 0 ELSE novel END, try) AS n FROM k)
+SELECT ep, chunk, try, ok AS faithful, novel FROM o WHERE n = 1"""
+
+
+@register("article_retry", _TRIED)
 def article_retry(spark, d):
-    """The first try of each document is empty; the second is the text itself, or, for every other document, foreign words."""
+    """The first try of each document is empty; the second is the text itself, or, for every other document, its first half and foreign words."""
     p = V.table(spark, d, "documents").select(F.col("lang").alias("ep"), F.col("doc_id").alias("chunk"), F.col("text").alias("source"))
-    tries = F.array(F.struct(F.lit(1).alias("try"), F.lit("").alias("edited")), F.struct(F.lit(2).alias("try"), F.expr("CASE WHEN chunk % 2 = 0 THEN source ELSE 'Zzzzzz yyyyyy xxxxxx' END").alias("edited")))
-    return article(p.select("*", F.explode(tries).alias("t")).select("ep", "chunk", "source", "t.*")).select("ep", "chunk", "try", "faithful")
+    tries = F.array(F.struct(F.lit(1).alias("try"), F.lit("").alias("edited")), F.struct(F.lit(2).alias("try"), F.expr("CASE WHEN chunk % 2 = 0 THEN source ELSE concat(left(source, length(source) div 2), ' Zzzzzz yyyyyy xxxxxx') END").alias("edited")))
+    return article(p.select("*", F.explode(tries).alias("t")).select("ep", "chunk", "source", "t.*")).select("ep", "chunk", "try", "faithful", "novel")
 
 
 @register("srt_files", using("sentences") + ", n AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY seg, pos) AS n FROM sentences), t AS (SELECT *, " + ", ".join(f"printf('%02d:%02d:%02d,%03d', {c} // 3600000, {c} // 60000 % 60, {c} // 1000 % 60, {c} % 1000) AS {n}" for c, n in (("s_ms", "a"), ("e_ms", "b"))) + " FROM n) SELECT ep, string_agg(n || chr(10) || a || ' --> ' || b || chr(10) || text || chr(10), chr(10) ORDER BY n) AS srt FROM t GROUP BY ep")
@@ -183,18 +239,26 @@ def drawtext_filters(spark, d):
     return K.drawtext(V.sentences(spark, d), T.escape_filter("text")).select("ep", "seg", "pos", "filter")
 
 
-@register("reel_index_join", using("moments") + ", m AS (SELECT ep, id, row_number() OVER (PARTITION BY ep ORDER BY score DESC, s, id) AS rank FROM moments), f AS (SELECT DISTINCT doc_id % 30 AS n, 'reel_' || lpad(CAST(doc_id % 30 AS VARCHAR), 3, '0') || '.mp4' AS name FROM documents) SELECT f.name, m.ep, m.id FROM f JOIN m ON m.rank = f.n AND f.n > 0")
+@register("reel_index_join", using("moments") + ", m AS (SELECT ep, id, row_number() OVER (PARTITION BY ep ORDER BY score DESC, s, id) AS rank FROM moments), f AS (SELECT DISTINCT doc_id AS n, 'reel_' || doc_id || '.mp4' AS name FROM documents) SELECT f.name, m.ep, m.id FROM f JOIN m ON m.rank = f.n AND f.n > 0")
 def reel_index_join(spark, d):
     w = Window.partitionBy("ep").orderBy(F.desc("score"), "s", "id")
     m = V.moments(spark, d).withColumn("rank", F.row_number().over(w)).select("rank", "ep", "id")
-    f = V.table(spark, d, "documents").select(F.concat(F.lit("reel_"), F.lpad((F.col("doc_id") % 30).cast("string"), 3, "0"), F.lit(".mp4")).alias("name")).distinct()
+    f = V.table(spark, d, "documents").select(F.concat(F.lit("reel_"), F.col("doc_id").cast("string"), F.lit(".mp4")).alias("name")).distinct()
     return K.reels_to_moments(f, m, T.reel_index("name")).select("name", "ep", "id")
 
 
 _TJ = """concat('{"duration":"9","segments":[{"start":', conv_id, ',"end":', conv_id + 9, ',"text":" seg ', turn, ' ","words":[{"start":1,"end":2,"word":"a"},{"start":"x","end":3,"word":"b"},{"start":4,"end":4,"word":" c "},{"start":5,"end":4,"word":"d"}]},{"start":3,"end":2,"text":"bad"}],"sentences":[', CASE WHEN turn % 2 = 0 THEN '{"start":1,"end":2,"text":"s"}' ELSE '{"start":2,"end":2,"text":"s"}' END, ']}')"""
 
 
-@register("transcript_scan", f"""WITH r AS (SELECT conv_id * 100 + turn AS k, conv_id, turn, {_TJ} AS j FROM conversations) SELECT k, 2::BIGINT AS words, CASE WHEN turn % 2 = 0 THEN 's' ELSE 'seg ' || turn END AS first_sentence, CASE WHEN turn % 2 = 0 THEN 1.0 ELSE conv_id END::DOUBLE AS start FROM r WHERE json_valid(j)""")
+_NUM = lambda x, k: f"TRY_CAST({x}->>'$.{k}' AS DOUBLE)"
+_SPAN = lambda x: f"{_NUM(x, 'start')} >= 0 AND {_NUM(x, 'end')} > {_NUM(x, 'start')} AND trim({x}->>'$.text') <> ''"
+
+
+@register("transcript_scan", f"""WITH r AS (SELECT conv_id * 100 + turn AS k, ({_TJ})::JSON AS j FROM conversations), w AS (SELECT k, unnest(json_extract(j, '$.segments[*].words[*]')) AS w FROM r),
+n AS (SELECT k, count(*) AS words FROM w WHERE {_NUM('w', 'start')} >= 0 AND {_NUM('w', 'end')} >= {_NUM('w', 'start')} AND trim(w->>'$.word') <> '' GROUP BY k),
+s AS (SELECT k, unnest(json_extract(j, '$.sentences[*]')) AS x FROM r), g AS (SELECT k, unnest(json_extract(j, '$.segments[*]')) AS x FROM r), v AS (SELECT k, x FROM s WHERE {_SPAN('x')}),
+u AS (SELECT * FROM v UNION ALL SELECT k, x FROM g WHERE {_SPAN('x')} AND k NOT IN (SELECT k FROM v))
+SELECT u.k, n.words, trim(x->>'$.text') AS first_sentence, {_NUM('x', 'start')} AS start FROM u JOIN n USING (k)""")
 def transcript_scan(spark, d):
     raw = V.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), F.expr(_TJ).alias("json"))
     t = S.transcripts(raw)
@@ -205,7 +269,8 @@ def transcript_scan(spark, d):
 _DJ = """concat('[{"start":1,"end":3,"speaker":" A "},{"start":"4","end":"6.5","speaker":"B"},{"start":5,"end":5,"speaker":"C"},{"end":5,"speaker":"D"},{"start":', turn, ',"end":9,"speaker":""}]')"""
 
 
-@register("diarization_scan", "SELECT conv_id * 100 + turn AS k, unnest([0, 1])::INT AS pos, unnest([1.0, 4.0])::DOUBLE AS start, unnest([3.0, 6.5])::DOUBLE AS \"end\", unnest(['A', 'B']) AS speaker FROM conversations")
+@register("diarization_scan", f"""WITH r AS (SELECT conv_id * 100 + turn AS k, json_extract(({_DJ})::JSON, '$[*]') AS l FROM conversations), x AS (SELECT k, unnest(l) AS x, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos FROM r)
+SELECT k, pos, {_NUM('x', 'start')} AS start, {_NUM('x', 'end')} AS "end", trim(x->>'$.speaker') AS speaker FROM x WHERE {_NUM('x', 'end')} > {_NUM('x', 'start')} AND trim(x->>'$.speaker') <> ''""")
 def diarization_scan(spark, d):
     raw = V.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), F.expr(_DJ).alias("json"))
     return S.diarization(raw, "k")
