@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scoring import col
+from .text import let
 
 #: Fields of a moment beside start, end, score and hashtags: texts, numbers that may be missing, lists.
 TEXTS = tuple("title quote why clip_type hook caption selection_stage speaker".split())
@@ -28,16 +29,18 @@ def fields(payload: Column | str) -> Column:
 
 def coerced(payload: Column | str) -> Column:
     """A moment out of a JSON object, null if it is not valid: start and end (0 where they are not named) must be numbers, end after start, and one of title, quote and why there. Texts are trimmed, a bad score is 0, other bad numbers null, lists other than lists none, a missing type reel; keys not known go to extra."""
-    m = fields(payload)
-    get = lambda k: F.trim(F.coalesce(m[k], F.lit("")))
-    num = lambda k: F.when(~F.isnan(x := m[k].try_cast("double")), x)
-    listed = lambda k: F.coalesce(F.filter(F.transform(F.from_json(m[k], "array<string>"), lambda t: F.trim(t)), lambda t: t != ""), F.array().cast("array<string>"))
-    time = lambda k: F.when(F.map_contains_key(m, k), num(k)).otherwise(0.0)
-    said = lambda k: ~F.coalesce(m[k], F.lit("")).isin("", "false", "0", "0.0", "[]", "{}")
-    s, e = time("start"), time("end")
-    texts = [F.coalesce(F.nullif(get(k), F.lit("")), F.lit("reel")).alias(k) if k == "clip_type" else get(k).alias(k) for k in TEXTS]
-    record = F.struct(s.alias("start"), e.alias("end"), F.coalesce(num("score"), F.lit(0.0)).alias("score"), *texts, *[num(k).alias(k) for k in NUMBERS], *[listed(k).alias(k) for k in LISTS], F.map_filter(m, lambda k, v: ~k.isin(*KNOWN)).alias("extra"))
-    return F.when(s.isNotNull() & e.isNotNull() & (e > s) & (said("title") | said("quote") | said("why")), record)
+
+    def record(m: Column) -> Column:
+        get = lambda k: F.trim(F.coalesce(m[k], F.lit("")))
+        num = lambda k: F.nanvl(m[k].try_cast("double"), F.lit(None).cast("double"))
+        listed = lambda k: F.coalesce(F.filter(F.transform(F.from_json(m[k], "array<string>"), lambda t: F.trim(t)), lambda t: t != ""), F.array().cast("array<string>"))
+        time = lambda k: F.when(F.map_contains_key(m, k), num(k)).otherwise(0.0)
+        said = lambda k: ~F.coalesce(m[k], F.lit("")).isin("", "false", "0", "0.0", "[]", "{}")
+        texts = [F.coalesce(F.nullif(get(k), F.lit("")), F.lit("reel")).alias(k) if k == "clip_type" else get(k).alias(k) for k in TEXTS]
+        whole = F.struct(time("start").alias("start"), time("end").alias("end"), F.coalesce(num("score"), F.lit(0.0)).alias("score"), *texts, *[num(k).alias(k) for k in NUMBERS], *[listed(k).alias(k) for k in LISTS], F.map_filter(m, lambda k, v: ~k.isin(*KNOWN)).alias("extra"))
+        return F.when((time("end") > time("start")) & (said("title") | said("quote") | said("why")), whole)
+
+    return let(fields(payload), record)
 
 
 def stamped(reply: Column | str, stage: str) -> Column:

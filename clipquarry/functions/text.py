@@ -150,9 +150,14 @@ def hashtags(given: Column, sources: list[Column | str], bucket: Column, most: i
     """The first ``most`` distinct of the given tags, the keywords of the sources in turn and the tags of the type. A source is looked at only where those before it do not give enough."""
     types = F.coalesce(*[F.when(bucket == k, F.array(*map(F.lit, v))) for k, v in TYPE_TAGS.items()], F.array(*map(F.lit, TYPE_TAGS["reel"])))
     tags = lambda raw: F.array_distinct(F.array_compact(F.transform(raw, normalise_hashtag)))
-    more = lambda acc, x: F.when(F.size(acc) >= most, acc).otherwise(F.array_distinct(F.concat(acc, tags(keywords(x)))))
-    found = F.aggregate(F.array(*[F.coalesce(col(x), F.lit("")) for x in sources]), tags(given_tags(given)), more)
-    return F.slice(let(found, lambda t: F.when(F.size(t) >= most, t).otherwise(F.array_distinct(F.concat(t, tags(types))))), 1, most)
+
+    def more(acc: Column, rest: list[Callable[[], Column]]) -> Column:
+        if not rest:
+            return acc
+        return F.when(F.size(acc) >= most, acc).otherwise(let(F.array_distinct(F.concat(acc, tags(rest[0]()))), lambda a: more(a, rest[1:])))
+
+    steps = [lambda x=x: keywords(x) for x in sources] + [lambda: types]
+    return F.slice(let(tags(given_tags(given)), lambda a: more(a, steps)), 1, most)
 
 
 _UP, _ANY = "[A-ZА-ЯЁ]", "A-Za-zА-Яа-яЁё"
@@ -167,7 +172,8 @@ TOPICS = (
 
 def subject(*fields: Column | str) -> Column:
     """What a text is about: the first of the topic patterns in the first field that has any; '' if none has."""
-    edge = r"(?<![\p{L}\p{N}_])(?:%s)(?![\p{L}\p{N}_])"
+    # the first letter is looked for before what stands before it
+    edge = rf"(?={_UP})(?<![\p{{L}}\p{{N}}_])(?:%s)(?![\p{{L}}\p{{N}}_])"
     topic = lambda f: F.coalesce(*[F.nullif(F.regexp_extract(f, edge % p, 0), F.lit("")) for p in TOPICS], F.lit(""))
     found = F.aggregate(F.array(*[F.coalesce(col(f), F.lit("")) for f in fields]), F.lit(""), lambda acc, f: F.when(acc != "", acc).otherwise(let(without_hashtags(f), topic)))
     return F.regexp_replace(found, r"\s+", " ")
@@ -180,14 +186,17 @@ _THIS = "эт(?:а|и|о|у|их|ой|ом|от)"
 VAGUE = rf"{_THIS}\s+(?:" + "|".join([f"{stem}[{ends}]?" for stem, ends in _VAGUE.items()] + _VAGUE_FORMS.split()) + ")"
 
 
+_VAGUE_PHRASE = rf"(?iu)(?=э)(?<![\p{{L}}\p{{N}}_])(?:{VAGUE})(?![\p{{L}}\p{{N}}_])"
+
+
 def rewrite_vague(x: Column, by: Column) -> Column:
-    """Phrases like "this game" replaced by the subject, taken as it stands."""
-    return F.when(by != "", F.regexp_replace(x, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{VAGUE})(?![\p{{L}}\p{{N}}_])"), by)).otherwise(x)
+    """Phrases like "this game" replaced by the subject, taken as it stands; the subject is worked out only for texts that have one."""
+    return F.when(~x.rlike(_VAGUE_PHRASE), x).otherwise(let(by, lambda b: F.when(b != "", F.regexp_replace(x, F.lit(_VAGUE_PHRASE), b)).otherwise(x)))
 
 
 def without_hashtags(x: Column | str) -> Column:
-    t = F.regexp_replace(clean(x), r"(?<![\p{L}\p{N}_])#[\p{L}\p{N}_]+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+([,.!?;:])", "$1"), r"\s+", " "))
+    t = F.regexp_replace(clean(x), r"#(?<![\p{L}\p{N}_]#)[\p{L}\p{N}_]+", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+([,.!?;:])", "$1"), r"\s\s+", " "))
 
 
 NOTHING_SAID = {True: "Сильный момент из подкаста.", False: "Strong podcast moment."}
@@ -198,7 +207,7 @@ def description(caption="caption", hook="hook", title="title", quote="quote", wh
     parts = F.array_join(F.filter(F.transform(F.array(*[F.coalesce(col(x), F.lit("")) for x in (hook, title, quote, why)]), without_hashtags), lambda p: p != ""), " ")
     base = let(without_hashtags(caption), lambda c: F.when(c != "", c).otherwise(parts))
     nothing = F.when(cyrillic(F.concat_ws(" ", title, hook, quote, why, caption)), NOTHING_SAID[True]).otherwise(NOTHING_SAID[False])
-    return trimmed(let(base, lambda b: F.when(b == "", nothing).otherwise(let(subject(title, hook, quote, why), lambda by: rewrite_vague(b, by)))), most)
+    return trimmed(let(base, lambda b: F.when(b == "", nothing).otherwise(rewrite_vague(b, subject(title, hook, quote, why)))), most)
 
 
 def cyrillic(x: Column | str) -> Column:

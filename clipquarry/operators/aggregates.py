@@ -49,7 +49,7 @@ def stability(m: DataFrame, width: int) -> DataFrame:
 
 
 #: A capitalised word of four letters or more that opens no sentence and no line.
-CAPITAL = r"(?m)(?<![.!?…\n]\s)(?<!^)(?<![\p{L}\p{N}_])[А-ЯЁA-Z][а-яёa-z]{3,}(?![\p{L}\p{N}_])"
+CAPITAL = r"(?m)(?=[А-ЯЁA-Z])(?<![.!?…\n]\s)(?<!^)(?<![\p{L}\p{N}_])[А-ЯЁA-Z][а-яёa-z]{3,}(?![\p{L}\p{N}_])"
 
 
 def suspect_terms(docs: DataFrame, key: str, least: int = 2, stem: int = 6, length: int = 6) -> DataFrame:

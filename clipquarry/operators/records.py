@@ -41,9 +41,12 @@ def units(segments: DataFrame, key: str) -> DataFrame:
     total = F.greatest(F.lit(1), F.length(F.array_join("parts", "")))
     length = F.greatest(F.lit(10), F.col("e_ms") - F.col("s_ms"))
 
+    chars = F.aggregate("parts", F.array(F.lit(0)), lambda a, p: F.array_append(a, F.element_at(a, -1) + F.length(p)))
+    x = x.withColumn("chars", chars)
+
     def shared(acc: Column, i: Column) -> Column:
         last = F.element_at(acc, -1)["e"]
-        end = F.when(i == F.size("parts") - 1, F.col("e_ms").cast("double")).otherwise(last + length * F.length(F.get("parts", i)) / total)
+        end = F.when(i == F.size("parts") - 1, F.col("e_ms").cast("double")).otherwise(F.col("s_ms") + length * F.get("chars", i + 1) / total)
         return F.array_append(acc, F.struct(last.alias("s"), F.greatest(last + 10, end).alias("e")))
 
     zero = F.array(F.struct(F.lit(0.0).alias("s"), F.col("s_ms").cast("double").alias("e")))
