@@ -10,8 +10,6 @@ from . import jpeg, minhash, mixing, packing, pii, preferences, quality, suffix,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     return {
         "op1_jpeg": jpeg.query,
         "op2_pii": pii.query,
@@ -23,11 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.query,
         "op9_packing": packing.query,
         "op10_mixing": mixing.query,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    return {"op5_preferences": preferences.SQL, "op10_mixing": mixing.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op4_repeats": suffix.SQL, "op5_preferences": preferences.SQL, "op6_vectors": vectors.SQL, "op10_mixing": mixing.SQL}

@@ -74,7 +74,7 @@ def anchors(h: np.ndarray, row: np.ndarray, least: int = LEAST) -> tuple[np.ndar
 
 
 def parse(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(name, doc_id, first, words) of every anchor; and one row for each text of at least ``least`` words as a whole, with first = -1 - its length in characters."""
+    """(name, doc_id, first) of every anchor; and one row for each text of at least ``least`` words as a whole, with first = -1 - its length in characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,18 +86,18 @@ def parse(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 size = np.bincount(row, minlength=end - lo)
                 begin = np.cumsum(size) - size
                 long = np.flatnonzero(size >= least)
-                name, first, words, _ = anchors(h, row, least)
+                name, first, _, _ = anchors(h, row, least)
                 chars = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][off]
                 whole = _whole(_sums(h), begin[long], size[long])
                 keep = size[row[first]] >= least
-                name, first, words = name[keep], first[keep], words[keep]
+                name, first = name[keep], first[keep]
                 r = row[first]
                 yield pa.record_batch(
-                    [pa.array(np.r_[name, whole].view(np.int64)), pa.array(ids[lo + np.r_[r, long]].astype(np.int64)), pa.array(np.r_[first - begin[r], -1 - np.diff(chars)[long]].astype(np.int32)), pa.array(np.r_[words, size[long]].astype(np.int32))],
-                    names=["name", "doc_id", "first", "words"],
+                    [pa.array(np.r_[name, whole].view(np.int64)), pa.array(ids[lo + np.r_[r, long]].astype(np.int64)), pa.array(np.r_[first - begin[r], -1 - np.diff(chars)[long]].astype(np.int32))],
+                    names=["name", "doc_id", "first"],
                 )
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "name long, doc_id long, first int, words int")
+    return only(docs, "doc_id", "text").mapInArrow(run, "name long, doc_id long, first int")
 
 
 def ordered(marked: DataFrame, least: int = LEAST) -> DataFrame:
@@ -152,20 +152,23 @@ def ordered(marked: DataFrame, least: int = LEAST) -> DataFrame:
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, begin, end): each longest stretch of characters of a text that is covered by runs of ``least`` words that occur at least twice in the corpus, in another text or in the same.
 
-    Words are compared without case, marks and white space. Texts of under ``least`` words, null and empty texts and rows with a null doc_id have no row. Rows that repeat a doc_id count as texts of their own; their stretches are given together. No rows in: none out. Other columns are ignored. Passages that only one text has are never given."""
+    Words are compared without case, marks and white space. Texts of under ``least`` words, null and empty texts and rows with a null doc_id have no row. Rows that repeat a doc_id count as texts of their own; their stretches are given together. No rows in: none out. Other columns are ignored. Passages that only one text has are never given. Texts are read whole, however long. A phrase that very many texts share is counted before it is shuffled on, and its places are sorted, not gathered."""
     small_batches(docs.sparkSession)
     own = only(docs, "doc_id", "text").filter("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    by = Window.partitionBy("name")
-    seen = parse(own, least).select("*", F.count("*").over(by).alias("n"), F.min("doc_id").over(by).alias("lead")).filter("n > 1").drop("n")
+    # rows of a name stream by in order: its first, and whether there is another before or after; no name is held in memory
+    by = Window.partitionBy("name").orderBy("doc_id")
+    alone = F.lag("first").over(by).isNull() & F.lead("first").over(by).isNull()
+    seen = parse(own, least).select("*", alone.alias("alone"), F.first("doc_id").over(by).alias("lead")).filter("not alone").drop("alone")
     spots = stored(seen.groupBy("doc_id").agg(F.collect_list(F.when(F.col("first") >= 0, F.col("first"))).alias("spots"), F.min("first").alias("least"), F.collect_set(F.when((F.col("first") < 0) & (F.col("lead") < F.col("doc_id")), F.col("name"))).alias("copies")), "anchors")
     whole = spots.filter("least < 0").select("doc_id", F.lit(0).alias("begin"), (-1 - F.col("least")).alias("end"))
     # a doc_id's only text is left out here if it is a copy; where there are more, each is looked at by itself, with the spots of all: too many are no harm
     several = only(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1")
     some = spots.filter("size(spots) > 0").join(several, "doc_id", "left").filter("size(copies) = 0 or texts is not null")
     marked = own.join(some, "doc_id").select("doc_id", "text", "spots", "copies")
-    order = Window.partitionBy("a").orderBy("b")
-    neighbours = ordered(marked, least).select("doc_id", "begin", "end", ((F.col("b") == F.lag("b").over(order)) | F.lit(False)).alias("p"), ((F.col("b") == F.lead("b").over(order)) | F.lit(False)).alias("q"))
-    found = neighbours.filter("coalesce(p, false) or coalesce(q, false)").select("doc_id", "begin", "end").unionByName(whole)
+    # a neighbour in the order has the same names or none has, so places are dealt by both: a common beginning is no group of its own
+    order = Window.partitionBy("a", "b").orderBy("doc_id", "begin")
+    alone = F.lag("begin").over(order).isNull() & F.lead("begin").over(order).isNull()
+    found = ordered(marked, least).select("doc_id", "begin", "end", alone.alias("alone")).filter("not alone").select("doc_id", "begin", "end").unionByName(whole)
     return joined(found)
 
 
@@ -182,4 +185,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(read_table(spark, sf_dir, "documents"))
 
 
+#: The same by brute force: every run of LEAST words of every text by its words, those that come twice, joined; and texts that are the same as a whole. Words here fold case of all letters; the corpus has none beyond Latin-1.
+SQL = rf"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS row, text, regexp_extract_all(text, '[A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+|[^A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+') AS p FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+u AS (SELECT doc_id, row, text, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM t),
+c AS (SELECT *, sum(length(x)) OVER (PARTITION BY row ORDER BY i) AS stop FROM u),
+w AS (SELECT doc_id, row, lower(x) AS x, CAST(stop - length(x) AS INT) AS start, CAST(stop AS INT) AS stop, row_number() OVER (PARTITION BY row ORDER BY i) AS k FROM c WHERE regexp_matches(x, '^[A-Za-z0-9\x{{80}}-\x{{10FFFF}}]')),
+l AS (SELECT row, any_value(doc_id) AS doc_id, list(x ORDER BY k) AS ws, list(start ORDER BY k) AS a, list(stop ORDER BY k) AS b FROM w GROUP BY row HAVING count(*) >= {LEAST}),
+r AS (SELECT row, doc_id, a, b, ws, unnest(range(1, len(ws) - {LEAST} + 2)) AS k FROM l),
+n AS (SELECT row, doc_id, a[k] AS s, b[k + {LEAST - 1}] AS e, md5(array_to_string(ws[k:k + {LEAST - 1}], ' ')) AS name FROM r),
+twice AS (SELECT name FROM n GROUP BY name HAVING count(*) > 1),
+same AS (SELECT row, doc_id, count(*) OVER (PARTITION BY array_to_string(ws, ' ')) AS n FROM l),
+spans AS (SELECT doc_id, s, e FROM n WHERE name IN (SELECT name FROM twice) UNION ALL SELECT same.doc_id, 0, CAST(length(t.text) AS INT) FROM same JOIN t ON t.row = same.row WHERE n > 1),
+f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM spans),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM f)
+SELECT doc_id, min(s) AS "begin", max(e) AS "end" FROM g GROUP BY doc_id, run
+"""
+
 by_value(__name__)

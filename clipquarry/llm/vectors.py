@@ -246,4 +246,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+#: The same by comparing all pairs; the index finds a pair with the target recall, so with near copies the two may differ by as much.
+SQL = f"""
+WITH RECURSIVE e AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+p AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding, b.embedding) >= {COSINE}),
+r AS (SELECT vec_id AS id, vec_id AS root FROM e UNION SELECT p.v, r.root FROM r JOIN p ON p.u = r.id)
+SELECT id AS vec_id, min(root) AS rep_vec_id FROM r GROUP BY id HAVING min(root) < id
+"""
+
 by_value(__name__)

@@ -58,6 +58,25 @@ def test_isotonic_equals_brute_force():
         assert (np.diff(py) > 0).all() and np.allclose(sorted(set(np.round(fit, 9))), np.round(py, 9))
 
 
+def test_ridge_equals_a_direct_solve(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["plain", "words", "AND", "$$$", "1234", "tail."]) for _ in range(rng.randrange(5, 80))), "s") for i in range(150)]
+    labels = spark.createDataFrame([(i, int(t.count("$") < len(t) / 25), 0) for i, t, _ in rows], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    model = quality.fit(docs, labels, features=24)
+    y = np.array([int(t.count("$") < len(t) / 25) for _, t, _ in rows], float)
+    raw = [t.encode() for _, t, _ in rows]
+    x = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+    scale = x.std(0)
+    z = np.sqrt(2 / 24) * np.cos(np.clip((x - x.mean(0)) / np.where(scale > 1e-9, scale, 1.0), -8, 8) @ model.omega + model.phase)
+    z = np.c_[z, np.ones(len(z))]
+    assert np.allclose(z, model.features(x))
+    penalty = quality.RIDGE * len(z) * np.eye(25)
+    penalty[-1, -1] = 0
+    beta = np.linalg.lstsq(np.r_[z, np.sqrt(penalty)], np.r_[y, np.zeros(25)], rcond=None)[0]
+    assert np.allclose(z @ beta, z @ model.beta, atol=1e-6)
+
+
 def brute(chosen, rejected):
     c, r = ([(a or "", b or "") for a, b in x] for x in (chosen, rejected))
     if c == r or not c or not r:

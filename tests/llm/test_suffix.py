@@ -90,3 +90,12 @@ def test_rows_that_differ_under_one_doc_id(spark):
     for rows in (docs[:4], docs):
         df = spark.createDataFrame([(d, t, "clash", 1, 2) for d, t in rows], SCHEMA)
         assert {tuple(r) for r in repeats(df).collect()} == brute(rows, 50)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rng = random.Random(8)
+    passage = words(rng, 80)
+    long = words(rng, 30_000, 10**6)
+    docs = [(1, " ".join(long[:15_000] + passage + long[15_000:])), (2, " ".join(passage)), (3, "é" * 100_000), (4, " ".join(words(rng, 60)))]
+    df = spark.createDataFrame([(d, t, 1, 2, "x", "y", 3, 4) for d, t in docs], "doc_id long, text string, begin int, end int, spots string, copies string, first int, b long")
+    assert {tuple(r) for r in repeats(df).collect()} == brute(docs, 50)
