@@ -39,7 +39,7 @@ def analysed(segments: DataFrame) -> DataFrame:
 
 def summaries(moments: DataFrame) -> DataFrame:
     """(ep, markdown): what the episode's reels are."""
-    return K.summary_markdown(moments.select("ep", "rank", "title", F.col("caption").alias("description"), F.col("hashtags").alias("tags")), "ep")
+    return K.summary_markdown(moments.select("ep", "rank", "title", "clip_type", "s", "e", "score", "priority", "why", "hook", F.col("caption").alias("description"), F.col("hashtags").alias("tags")), "ep")
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -61,6 +61,57 @@ def answers(prompts: DataFrame, make: Callable[[], Provider]) -> DataFrame:
     return prompts.mapInPandas(run, ", ".join([*names, "answer string", "error string"]))
 
 
+def in_passes(episodes: DataFrame, make: Callable[[], Provider], template: str, target: int = 5, passes: int = 3) -> DataFrame:
+    """(ep, rank, s, e, title, pass, seconds, error): moments in whole seconds of episodes (ep, transcript, starts, ends), a model asked again, told what is taken, until ``target`` are valid, the passes are over or a call fails. An episode without any has one row of nulls, with the time and the error. Episodes run in parallel; passes of one follow each other."""
+    from .records import accepted
+
+    kind = episodes.schema["ep"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+        import time
+
+        ask = make()
+        for pdf in batches:
+            rows = []
+            for ep, transcript, starts, ends in zip(pdf["ep"], pdf["transcript"], pdf["starts"], pdf["ends"], strict=True):
+                began, got, error = time.perf_counter(), [], None
+                for k in range(1, passes + 1):
+                    taken = ", ".join(f"[{m['s']}-{m['e']}]" for m in got)
+                    told = f"\nTAKEN ALREADY (don't repeat or overlap): {taken}" if got else ""
+                    try:
+                        value = json.loads(salvage(ask(template.replace("{transcript}", transcript or "") + told)) or "[]")
+                    except Exception as e:  # noqa: BLE001  whatever a provider raises ends this episode's passes only
+                        error = f"{type(e).__name__}: {e}"
+                        break
+                    items = value if isinstance(value, list) else next((v for v in value.values() if isinstance(v, list)), []) if isinstance(value, dict) else []
+                    new = [{"s": whole(x.get("start")), "e": whole(x.get("end")), "title": str(x.get("title") or ""), "pass": k} for x in items if isinstance(x, dict)]
+                    got = accepted([*got, *new], list(starts), list(ends), target)
+                    if len(got) >= target:
+                        break
+                seconds = time.perf_counter() - began
+                rows += [(ep, i + 1, m["s"], m["e"], m["title"], m["pass"], seconds, error) for i, m in enumerate(got)] or [(ep, None, None, None, None, None, seconds, error)]
+            yield pd.DataFrame(rows, columns=["ep", "rank", "s", "e", "title", "pass", "seconds", "error"], dtype=object)
+
+    def whole(x: object) -> int | None:
+        try:
+            return int(x)  # type: ignore[call-overload]
+        except (TypeError, ValueError):
+            return None
+
+    return episodes.select("ep", "transcript", "starts", "ends").mapInPandas(run, f"ep {kind}, rank long, s long, e long, title string, pass long, seconds double, error string")
+
+
+def each_file(files: DataFrame, make: Callable[[], Provider], done: DataFrame | None = None) -> DataFrame:
+    """(path, status, result, error) of every file (path): a program outside (speech recognition, say) run on each that is not among those done; status is done, skipped or failed, and a failure keeps nothing else from running."""
+    x = files.select("path")
+    skipped = x.join(done.select("path").distinct(), "path", "left_semi") if done is not None else x.limit(0)
+    todo = x.join(done.select("path").distinct(), "path", "left_anti") if done is not None else x
+    ran = answers(todo.withColumn("prompt", F.col("path")), make)
+    ran = ran.select("path", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), F.col("answer").alias("result"), "error")
+    return ran.unionByName(skipped.withColumns({"status": F.lit("skipped"), "result": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}))
+
+
 def all_failed(replies: DataFrame, key: str) -> DataFrame:
     """Keys of which no row has a reply: where a caller stops rather than go on with nothing."""
     return replies.groupBy(key).agg(F.count("reply").alias("__n")).filter("__n = 0").select(key)

@@ -215,18 +215,44 @@ def ass_files(spark, d):
     return K.ass(w, "ep", ["seg"])
 
 
-@register("reel_documents", using("cards") + ", x AS (SELECT id, title, quote, ['#a', '#b' || (id % 3)] AS tags, CASE WHEN score < 4 THEN ['score'] ELSE [] END AS why, hook FROM cards) SELECT id, '# ' || title || chr(10) || chr(10) || quote || chr(10) || chr(10) || array_to_string(tags, ' ') || chr(10) AS md, concat_ws(chr(10) || chr(10), CASE WHEN len(why) > 0 THEN 'REJECTED: score' END, CASE WHEN hook <> '' AND hook <> quote THEN hook END, nullif(quote, ''), array_to_string(tags, ' ')) || chr(10) AS social FROM x")
+_HOOK = "trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(hook, '\\s+', ' ', 'g')), '(^|[^\\p{L}\\p{N}_])#[\\p{L}\\p{N}_]+', '\\1', 'g'), '\\s+([,.!?;:])', '\\1', 'g'), '\\s+', ' ', 'g'))"
+
+
+@register("reel_documents", using("cards") + rf""", x AS (SELECT id, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN '## ' || title ELSE title END AS t, quote, ['#a', '#b' || (id % 3)] AS tags, CASE WHEN score < 3 THEN ['score', 'short'] WHEN score < 4 THEN ['score'] ELSE [] END AS why, {_HOOK} AS h FROM cards),
+y AS (SELECT *, coalesce(nullif(trim(regexp_replace(t, '\s+', ' ', 'g')), ''), 'reel_' || id) AS t2 FROM x), z AS (SELECT *, CASE WHEN t2 LIKE '#%' THEN coalesce(nullif(trim(regexp_replace(t2, '^#+', '')), ''), 'Reel') ELSE t2 END AS t3 FROM y)
+SELECT id, '# ' || t3 || chr(10) || chr(10) || quote || chr(10) || chr(10) || array_to_string(tags, ' ') || chr(10) AS md, concat_ws(chr(10) || chr(10), CASE WHEN len(why) > 0 THEN '[ОТКЛОНЁН: ' || array_to_string(why, ', ') || ']' END, CASE WHEN h <> '' AND h <> quote THEN h END, quote, array_to_string(tags, ' ')) || chr(10) AS social FROM z""")
 def reel_documents(spark, d):
     c = V.cards(spark, d).withColumn("tags", F.array(F.lit("#a"), F.concat(F.lit("#b"), (F.col("id") % 3).cast("string"))))
-    why = F.when(F.col("score") < 4, F.array(F.lit("score"))).otherwise(F.array().cast("array<string>"))
-    return c.select("id", K.reel_markdown(F.col("title"), F.col("quote"), F.col("tags")).alias("md"), K.social_text(why, F.col("hook"), F.col("quote"), F.col("tags")).alias("social"))
+    why = F.expr("CASE WHEN score < 3 THEN array('score', 'short') WHEN score < 4 THEN array('score') ELSE array() END").cast("array<string>")
+    title = F.expr("CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('## ', title) ELSE title END")
+    label = F.concat(F.lit("reel_"), F.col("id").cast("string"))
+    return c.select("id", K.reel_markdown(title, label, F.col("quote"), F.col("tags")).alias("md"), K.social_text(why, F.col("hook"), F.col("quote"), F.col("tags")).alias("social"))
+
+
+_HMS = lambda c: f"CASE WHEN {c} >= 3600 THEN printf('%02d:%02d:%02d', {c} // 3600, {c} // 60 % 60, {c} % 60) ELSE printf('%02d:%02d', {c} // 60 % 60, {c} % 60) END"
 
 
-@register("summary_markdown", using("moments") + ", r AS (SELECT ep, title, id, row_number() OVER (PARTITION BY ep ORDER BY score DESC, s, id) AS rank FROM moments) SELECT ep, '# Reels' || chr(10) || chr(10) || string_agg('## ' || rank || '. ' || title || chr(10) || chr(10) || 'id ' || id || chr(10) || chr(10) || '#x', chr(10) || chr(10) ORDER BY rank) || chr(10) AS markdown FROM r WHERE rank <= 5 GROUP BY ep")
+@register("summary_markdown", using("moments") + f""", r AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY score DESC, s, id) AS rank FROM moments),
+p AS (SELECT ep, rank, '## ' || rank || '. ' || title || ' [' || clip_type || ']' || chr(10) || 'Time: ' || {_HMS('s')} || '-' || {_HMS('e')} || chr(10) || 'Score: ' || score || '.0/10' || CASE WHEN id % 2 = 0 THEN ' (priority ' || score || '.50)' ELSE '' END || chr(10) || CASE WHEN id % 3 = 0 THEN 'Why: w' || id || chr(10) ELSE '' END || CASE WHEN id % 5 > 0 THEN 'Hook: h' || id || chr(10) ELSE '' END || chr(10) || 'id ' || id || chr(10) || chr(10) || '#x' AS part FROM r)
+SELECT ep, '# Reels Suggestions' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY rank) || chr(10) AS markdown FROM p GROUP BY ep""")
 def summary_markdown(spark, d):
     w = Window.partitionBy("ep").orderBy(F.desc("score"), "s", "id")
-    r = V.moments(spark, d).withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
-    return K.summary_markdown(r.select("ep", "rank", "title", F.concat(F.lit("id "), F.col("id").cast("string")).alias("description"), F.array(F.lit("#x")).alias("tags")), "ep")
+    r = V.moments(spark, d).withColumn("rank", F.row_number().over(w))
+    text = lambda sql: F.expr(sql).cast("string")
+    return K.summary_markdown(r.select("ep", "rank", "title", "clip_type", (F.col("s") * 1000).alias("s"), (F.col("e") * 1000).alias("e"), "score", F.expr("CASE WHEN id % 2 = 0 THEN score + 0.5D END").alias("priority"), text("CASE WHEN id % 3 = 0 THEN concat('w', id) END").alias("why"), text("CASE WHEN id % 5 > 0 THEN concat('h', id) ELSE '' END").alias("hook"), F.concat(F.lit("id "), F.col("id").cast("string")).alias("description"), F.array(F.lit("#x")).alias("tags")), "ep")
+
+
+_ASS = lambda c: f"printf('%d:%02d:%02d.%02d', {c} // 3600000, {c} // 60000 % 60, {c} // 1000 % 60, {c} // 10 % 100)"
+
+
+@register("karaoke_blocks", using("words") + f""", k AS (SELECT *, (row_number() OVER (PARTITION BY ep ORDER BY seg, pos) - 1) // 5 AS block FROM words), c AS (SELECT ep, block, min(s_ms) AS s, max(e_ms) AS e, string_agg('{{\\kf' || ((e_ms - s_ms) // 10) || '}}' || word, ' ' ORDER BY seg, pos) AS t FROM k GROUP BY ep, block)
+SELECT ep, '{K.ASS_HEADER}' || string_agg('Dialogue: 0,' || {_ASS('s')} || ',' || {_ASS('e')} || ',Default,,0,0,0,,' || t, chr(10) ORDER BY block) || chr(10) AS ass FROM c GROUP BY ep""".replace("\\\\", "\\"))
+def karaoke_blocks(spark, d):
+    """Karaoke of five words at a time."""
+    w = Window.partitionBy("ep").orderBy("seg", "pos")
+    k = V.words(spark, d).withColumn("block", F.floor((F.row_number().over(w) - 1) / 5))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("seg", "pos", "s_ms", "e_ms", "word"))), lambda x: F.struct(x["s_ms"].alias("s_ms"), x["e_ms"].alias("e_ms"), x["word"].alias("word")))
+    return K.ass(k.groupBy("ep", "block").agg(F.min("s_ms").alias("s_ms"), F.max("e_ms").alias("e_ms"), words.alias("words")), "ep", ["block"])
 
 
 @register("moments_json", using("moments") + """ SELECT ep, '[' || string_agg('{"id":' || id || ',"s":' || s || CASE WHEN id % 3 = 0 THEN '' ELSE ',"t":"' || title || '"' END || '}', ',' ORDER BY s, id) || ']' AS json FROM moments GROUP BY ep""")

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ass_time, srt_time
+from ..functions.text import ass_time, clean, hms, srt_time, without_hashtags
 
 _STYLE = [("Name", "Default"), ("Fontname", "Arial"), ("Fontsize", 64), ("PrimaryColour", "&H00FFFFFF"), ("SecondaryColour", "&H0000FFFF"), ("OutlineColour", "&H00000000"), ("BackColour", "&H64000000"), ("Bold", -1), ("Italic", 0), ("Alignment", 2), ("MarginL", 60), ("MarginR", 60), ("MarginV", 240)]
 _EVENT = "Layer Start End Style Name MarginL MarginR MarginV Effect Text"
@@ -46,20 +46,28 @@ def ass(cues: DataFrame, key: str, order: list[str], fade: Column | None = None,
     return cues.groupBy(key).agg(F.concat(F.lit(ASS_HEADER), joined(order, line, "\n"), F.lit("\n")).alias("ass"))
 
 
-def reel_markdown(title: Column, description: Column, tags: Column) -> Column:
-    return F.concat(F.lit("# "), title, F.lit("\n\n"), description, F.lit("\n\n"), F.array_join(tags, " "), F.lit("\n"))
+def reel_markdown(title: Column, label: Column, description: Column, tags: Column) -> Column:
+    """Title, description and hashtags of a reel; without a title its label, # before a title go."""
+    t = F.coalesce(F.nullif(clean(title), F.lit("")), F.nullif(clean(label), F.lit("")), F.lit("Reel"))
+    t = F.when(t.startswith("#"), F.coalesce(F.nullif(F.trim(F.regexp_replace(t, "^#+", "")), F.lit("")), F.lit("Reel"))).otherwise(t)
+    return F.concat(F.regexp_replace(F.concat(F.lit("# "), t, F.lit("\n\n"), description, F.lit("\n\n"), F.array_join(tags, " ")), r"\s+$", ""), F.lit("\n"))
 
 
 def social_text(reasons: Column, hook: Column, description: Column, tags: Column) -> Column:
-    """Why it was rejected, if it was; the hook, if it says something else; description and tags."""
-    head = F.when(F.size(reasons) > 0, F.concat(F.lit("REJECTED: "), F.array_join(reasons, "; ")))
-    return F.concat(F.concat_ws("\n\n", head, F.when((hook != "") & (hook != description), hook), F.nullif(description, F.lit("")), F.nullif(F.array_join(tags, " "), F.lit(""))), F.lit("\n"))
+    """What to paste: why it was rejected, if it was; the hook, if it says something else; description and tags."""
+    head = F.when(F.size(reasons) > 0, F.concat(F.lit("[ОТКЛОНЁН: "), F.array_join(reasons, ", "), F.lit("]")))
+    h = without_hashtags(hook)
+    body = F.concat_ws("\n\n", head, F.when((h != "") & (h != description), h), description, F.array_join(tags, " "))
+    return F.concat(F.regexp_replace(body, r"\s+$", ""), F.lit("\n"))
 
 
 def summary_markdown(reels: DataFrame, key: str) -> DataFrame:
-    """(key, markdown): a section for each reel (rank, title, description, tags)."""
-    part = F.concat(F.lit("## "), F.col("rank").cast("string"), F.lit(". "), F.col("title"), F.lit("\n\n"), F.col("description"), F.lit("\n\n"), F.array_join("tags", " "))
-    return reels.groupBy(key).agg(F.concat(F.lit("# Reels\n\n"), joined(["rank"], part, "\n\n"), F.lit("\n")).alias("markdown"))
+    """(key, markdown): a section for each reel (rank, title, clip_type, s, e in milliseconds, score, priority, why, hook, description, tags)."""
+    line = lambda name, c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(f"{name}: "), F.trim(c)))
+    score = F.concat(F.format_string("Score: %.1f/10", F.col("score").cast("double")), F.when(F.col("priority").isNotNull(), F.format_string(" (priority %.2f)", F.col("priority").cast("double"))).otherwise(""))
+    head = F.concat_ws("\n", F.concat(F.lit("## "), F.col("rank").cast("string"), F.lit(". "), F.trim("title"), F.lit(" ["), "clip_type", F.lit("]")), F.concat(F.lit("Time: "), hms("s"), F.lit("-"), hms("e")), score, line("Why", F.col("why")), line("Hook", F.col("hook")))
+    part = F.concat_ws("\n\n", head, F.nullif("description", F.lit("")), F.nullif(F.array_join("tags", " "), F.lit("")))
+    return reels.groupBy(key).agg(F.concat(F.lit("# Reels Suggestions\n\n"), joined(["rank"], part, "\n\n"), F.lit("\n")).alias("markdown"))
 
 
 def article_markdown(sections: DataFrame, key: str) -> DataFrame:

@@ -211,6 +211,30 @@ def test_records(spark):
     assert json.loads(m.select(semistructured.moment_json(analysis.column).alias("j")).first()["j"]) == {"start": 1.234, "end": 5.0, "title": "t", "quote": "", "why": "", "score": 5.0, "clip_type": "reel", "hook": "", "caption": "", "hashtags": ["#a"], "speaker": "A", "priority": 2.5}
 
 
+def test_passes_and_files(spark):
+    eps = spark.createDataFrame([(1, "text", [0, 100, 200], [40, 140, 250]), (2, "bad", [0], [40]), (3, None, [0], [40])], "ep int, transcript string, starts array<int>, ends array<int>")
+
+    def model(prompt):
+        if "bad" in prompt:
+            raise RuntimeError("down")
+        if "TAKEN" not in prompt:
+            return '[{"start": 1, "end": "40", "title": "a"}, {"start": "x", "end": 3}, 5]'
+        return json.dumps({"moments": [{"start": 1, "end": 40, "title": "again"}, {"start": 100, "end": 140, "title": "b"}]}) if "[0-40]" in prompt else "none"
+
+    got = providers.in_passes(eps, scripted(model), "P {transcript}", 3).orderBy("ep", "rank").collect()
+    assert [(r["ep"], r["rank"], r["s"], r["e"], r["title"], r["pass"], r["error"]) for r in got] == [(1, 1, 0, 40, "a", 1, None), (1, 2, 100, 140, "b", 2, None), (2, None, None, None, None, None, "RuntimeError: down"), (3, 1, 0, 40, "a", 1, None)]
+    files_ = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+
+    def recognise(path):
+        if path == "b":
+            raise OSError("broken")
+        return f"{path}!"
+
+    ran = providers.each_file(files_, scripted(recognise), spark.createDataFrame([("c",)], "path string"))
+    assert sorted((r["path"], r["status"], r["result"]) for r in ran.collect()) == [("a", "done", "a!"), ("b", "failed", None), ("c", "skipped", None)]
+    assert {r["status"]: r["count"] for r in ran.groupBy("status").count().collect()} == {"done": 1, "failed": 1, "skipped": 1}
+
+
 def test_configuration():
     conf = {"analysis": {"quotes": {"enabled": False}, "bad": 3}}
     assert config.section(conf, "analysis", "quotes") == {"enabled": False} and config.section(conf, "analysis", "bad") == {} and config.section(None, "x") == {}
