@@ -73,8 +73,25 @@ def anchors(h: np.ndarray, row: np.ndarray, least: int = LEAST) -> tuple[np.ndar
     return _name(total, first, first + words), first, words, phrase
 
 
+def marks(doc_id: np.ndarray, *name: np.ndarray) -> np.ndarray:
+    """Of the rows of a chunk: 0 for one whose name no other has, 1 for the one of least doc_id of those that share a name, and for its others a number of 2 or more of their own, odd if they have the same doc_id.
+
+    So what a chunk repeats is known without a look elsewhere, and of a name that very many rows have each chunk sends one row to the place where names meet; the others are dealt over all tasks."""
+    n = len(doc_id)
+    out = np.zeros(n, np.int32)
+    if n:
+        order = np.lexsort((doc_id, *name[::-1]))
+        new = np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in name], axis=0)]
+        first, size = np.flatnonzero(new), np.diff(np.r_[np.flatnonzero(new), n])
+        out[order[first[size > 1]]] = 1
+        rest = order[~new]
+        own = mix(doc_id[rest].astype(np.uint64) * np.uint64(31) + rest.astype(np.uint64)) % np.uint64((1 << 30) - 2)
+        out[rest] = own.astype(np.int64) * 2 + 2 + (doc_id[rest] == np.repeat(doc_id[order[first]], size - 1))
+    return out
+
+
 def parse(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(name, doc_id, first) of every anchor; and one row for each text of at least ``least`` words as a whole, with first = -1 - its length in characters."""
+    """(name, doc_id, first, mark) of every anchor; and one row for each text of at least ``least`` words as a whole, with first = -1 - its length in characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,17 +109,18 @@ def parse(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 keep = size[row[first]] >= least
                 name, first = name[keep], first[keep]
                 r = row[first]
+                name, doc = np.r_[name, whole].view(np.int64), ids[lo + np.r_[r, long]].astype(np.int64)
                 yield pa.record_batch(
-                    [pa.array(np.r_[name, whole].view(np.int64)), pa.array(ids[lo + np.r_[r, long]].astype(np.int64)), pa.array(np.r_[first - begin[r], -1 - np.diff(chars)[long]].astype(np.int32))],
-                    names=["name", "doc_id", "first"],
+                    [pa.array(name), pa.array(doc), pa.array(np.r_[first - begin[r], -1 - np.diff(chars)[long]].astype(np.int32)), pa.array(marks(doc, name))],
+                    names=["name", "doc_id", "first", "mark"],
                 )
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "name long, doc_id long, first int")
+    return only(docs, "doc_id", "text").mapInArrow(run, "name long, doc_id long, first int, mark int")
 
 
 def ordered(marked: DataFrame, least: int = LEAST) -> DataFrame:
-    """From (doc_id, text, spots, copies): (a, b, doc_id, begin, end) of every run of ``least`` words all of whose anchors repeat: the names of its phrase suffix and of its parse suffix, and its characters. A text whose name as a whole is in copies is left out."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
+    """From (doc_id, text, spots, copies): (a, b, doc_id, begin, end, mark) of every run of ``least`` words all of whose anchors repeat: the names of its phrase suffix and of its parse suffix, and its characters. A text whose name as a whole is in copies is left out."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("mark", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,21 +162,23 @@ def ordered(marked: DataFrame, least: int = LEAST) -> DataFrame:
                 b = _name(total, cut, stop)
                 chars = np.cumsum((raw & 0xC0) != 0x80)
                 zero = np.r_[0, chars][off[row[begin]]]
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids[lo + row[begin]]), pa.array((chars[sb[begin]] - 1 - zero).astype(np.int32)), pa.array((chars[eb[begin + least - 1] - 1] - zero).astype(np.int32))], schema=schema)
+                doc = ids[lo + row[begin]]
+                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array((chars[sb[begin]] - 1 - zero).astype(np.int32)), pa.array((chars[eb[begin + least - 1] - 1] - zero).astype(np.int32)), pa.array(marks(doc, a, b))], schema=schema)
 
-    return marked.mapInArrow(run, "a long, b long, doc_id long, begin int, end int")
+    return marked.mapInArrow(run, "a long, b long, doc_id long, begin int, end int, mark int")
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, begin, end): each longest stretch of characters of a text that is covered by runs of ``least`` words that occur at least twice in the corpus, in another text or in the same.
 
-    Words are compared without case, marks and white space. Texts of under ``least`` words, null and empty texts and rows with a null doc_id have no row. Rows that repeat a doc_id count as texts of their own; their stretches are given together. No rows in: none out. Other columns are ignored. Passages that only one text has are never given. Texts are read whole, however long. A phrase that very many texts share is counted before it is shuffled on, and its places are sorted, not gathered."""
+    Words are compared without case, marks and white space. Texts of under ``least`` words, null and empty texts and rows with a null doc_id have no row. Rows that repeat a doc_id count as texts of their own; their stretches are given together. No rows in: none out. Other columns are ignored. Passages that only one text has are never given. Texts are read whole, however long. Of a phrase or a passage that very many texts share, each chunk of text sends one row to where they are compared."""
     small_batches(docs.sparkSession)
     own = only(docs, "doc_id", "text").filter("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    # rows of a name stream by in order: its first, and whether there is another before or after; no name is held in memory
-    by = Window.partitionBy("name").orderBy("doc_id")
-    alone = F.lag("first").over(by).isNull() & F.lead("first").over(by).isNull()
-    seen = parse(own, least).select("*", alone.alias("alone"), F.first("doc_id").over(by).alias("lead")).filter("not alone").drop("alone")
+    apart = F.when(F.col("mark") < 2, 0).otherwise(F.col("mark"))
+    by = Window.partitionBy("name", apart)
+    # of copies in one chunk all but the first have a mark of their own; there is one of a lower doc_id if it is even
+    lead = F.when(F.col("mark") < 2, F.min("doc_id").over(by)).otherwise(F.col("doc_id") - 1 + F.col("mark") % 2)
+    seen = parse(own, least).select("*", F.count("*").over(by).alias("n"), lead.alias("lead")).filter("n > 1 or mark > 0").drop("n", "mark")
     spots = stored(seen.groupBy("doc_id").agg(F.collect_list(F.when(F.col("first") >= 0, F.col("first"))).alias("spots"), F.min("first").alias("least"), F.collect_set(F.when((F.col("first") < 0) & (F.col("lead") < F.col("doc_id")), F.col("name"))).alias("copies")), "anchors")
     whole = spots.filter("least < 0").select("doc_id", F.lit(0).alias("begin"), (-1 - F.col("least")).alias("end"))
     # a doc_id's only text is left out here if it is a copy; where there are more, each is looked at by itself, with the spots of all: too many are no harm
@@ -166,9 +186,8 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     some = spots.filter("size(spots) > 0").join(several, "doc_id", "left").filter("size(copies) = 0 or texts is not null")
     marked = own.join(some, "doc_id").select("doc_id", "text", "spots", "copies")
     # a neighbour in the order has the same names or none has, so places are dealt by both: a common beginning is no group of its own
-    order = Window.partitionBy("a", "b").orderBy("doc_id", "begin")
-    alone = F.lag("begin").over(order).isNull() & F.lead("begin").over(order).isNull()
-    found = ordered(marked, least).select("doc_id", "begin", "end", alone.alias("alone")).filter("not alone").select("doc_id", "begin", "end").unionByName(whole)
+    same = F.count("*").over(Window.partitionBy("a", "b", apart))
+    found = ordered(marked, least).select("doc_id", "begin", "end", "mark", same.alias("n")).filter("n > 1 or mark > 0").select("doc_id", "begin", "end").unionByName(whole)
     return joined(found)
 
 

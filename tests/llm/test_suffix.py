@@ -87,7 +87,8 @@ def test_rows_that_differ_under_one_doc_id(spark):
     part = x[20:80] + words(rng, 30)
     docs = [(5, x), (7, x), (7, y), (9, z), (4, part), (11, x), (11, x), (12, z), (12, y), (13, [w.upper() for w in x]), (13, part)]
     docs = [(d, " ".join(w)) for d, w in docs]
-    for rows in (docs[:4], docs):
+    again = [(1, " ".join(x)), (1, " ".join(x)), (2, " ".join(part)), (3, " ".join(y)), (3, " ".join(y)), (4, " ".join(z))]
+    for rows in (docs[:4], docs, again, again[:3]):
         df = spark.createDataFrame([(d, t, "clash", 1, 2) for d, t in rows], SCHEMA)
         assert {tuple(r) for r in repeats(df).collect()} == brute(rows, 50)
 
