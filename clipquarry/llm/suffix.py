@@ -20,6 +20,8 @@ from .common import by_value, mix, only, powers, read_table, small_batches, stor
 
 #: A repeat has at least LEAST words; a trigger is a pair of words of which one in MODULUS is one.
 LEAST, MODULUS = 50, 6
+#: Bytes of text that a step works on; names are hashed in many arrays, so they are fewer than elsewhere.
+CHUNK = 1 << 19
 _W = 2
 
 
@@ -96,7 +98,7 @@ def parse(docs: DataFrame, least: int = LEAST) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, end, raw, off in text_chunks(batch.column(1)):
+            for lo, end, raw, off in text_chunks(batch.column(1), CHUNK):
                 h, row, _, _ = tokens(raw, off)
                 if not len(h):
                     continue
@@ -126,7 +128,7 @@ def ordered(marked: DataFrame, least: int = LEAST) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             spots, copies = batch.column(2), batch.column(3)
-            for lo, end, raw, off in text_chunks(batch.column(1)):
+            for lo, end, raw, off in text_chunks(batch.column(1), CHUNK):
                 h, row, sb, eb = tokens(raw, off)
                 n = len(h)
                 if n < least:
