@@ -13,6 +13,7 @@ from ..sources import files as S
 from ..sources import sinks as K
 from . import analysis as N
 from . import views as V
+from .aggregate_queries import oracles as SUMS
 from .fold_queries import _CHUNKS, overlap_chunks
 from .text_queries import _DESCRIBED, _TAGGED, _VAGUE_CARDS, _described
 from .views import using
@@ -214,7 +215,7 @@ def speech_rates(spark, d):
     return N.with_speech_rate(q, V.words(spark, d)).select("id", F.col("speech_rate_wps").alias("rate"))
 
 
-@register("suspect_queries", None)
+@register("suspect_queries", f"SELECT s.doc_id, s.term, s.occurrences, trim(concat_ws(' ', c.neighbour, s.term)) AS query FROM ({SUMS['suspect_terms']}) s LEFT JOIN ({SUMS['collocates']}) c ON c.doc_id = s.doc_id AND c.stem = s.stem")
 def suspect_queries(spark, d):
     """What is asked of a source about each suspect: the word that stands before it most often, and the term."""
     docs = V.table(spark, d, "documents")

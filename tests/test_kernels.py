@@ -258,6 +258,9 @@ def test_proofread_query_equals_difflib(spark):
     seg = views.segments(spark, SF)
     fixes = {(r["ep"], r["seg"]): r["corrected"] for r in stages._fixes(seg).collect()}
     got = {(r["ep"], r["seg"]): r["verdict"] for r in stages.queries["proofread_guard"](spark, SF).collect()}
+    counts = {r["ep"]: r.asDict() for r in stages.queries["proofread_counts"](spark, SF).collect()}
+    for ep, c in counts.items():
+        assert {v: sum(x == v for (e, _), x in got.items() if e == ep) for v in ("applied", "rejected", "same", "none")} == {k: v for k, v in c.items() if k != "ep"}
     for r in seg.collect():
         k = (r["ep"], r["seg"])
         new = fixes.get(k)
