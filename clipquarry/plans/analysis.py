@@ -237,10 +237,10 @@ def topped_up(kept: DataFrame, pool: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def text_between(spans: DataFrame, words: DataFrame, sentences: DataFrame, row: str, most: int = 0) -> DataFrame:
-    """(row, text): what is said in each span (ep, row, s, e): its words or, where there are none, its sentences; cut at ``most`` characters."""
+    """(row, text): what is said in each span (ep, row, s, e): its words or, where there are none, its sentences; cut at ``most`` characters. A span without length has the word it lies in."""
     join = lambda t, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s2", "seg", "pos", c))), lambda x: x[c]), " ")
     side = lambda t, c: t.select("ep", F.col("s_ms").alias("s2"), F.col("e_ms").alias("e2"), "seg", "pos", c)
-    own = spans.select("ep", row, "s", "e").filter("e > s")
+    own = spans.select("ep", row, "s", "e")
     said = I.overlap_join(own, side(words, "word"), "ep", MINUTE).groupBy(row).agg(join(words, "word").alias("__w"))
     told = I.overlap_join(own, side(sentences, "text"), "ep", MINUTE).groupBy(row).agg(join(sentences, "text").alias("__t"))
     x = spans.select(row).join(said, row, "left").join(told, row, "left")

@@ -145,6 +145,13 @@ def test_judge_snap_and_clamp(spark):
     assert [r["title"] for r in chosen] == ["a"]
 
 
+def test_text_of_a_span_without_length_is_the_word_it_lies_in(spark):
+    _, words, sent = timeline(spark)
+    spans = spark.createDataFrame([(1, 1, 11_200, 11_200), (1, 2, 11_000, 11_000), (1, 3, 11_950, 11_950), (1, 4, 900_000, 900_000)], "ep int, id long, s long, e long")
+    text = {r["id"]: r["text"] for r in analysis.text_between(spans, words, sent, "id").collect()}
+    assert text == {1: "beta1", 2: "alpha1 beta1 gamma1 delta1 omega1.", 3: "alpha1 beta1 gamma1 delta1 omega1.", 4: ""}
+
+
 def test_proofread_article_and_names(spark):
     seg = spark.createDataFrame([(1, k, t) for k, t in enumerate(["hello wrold today", "all is fine", "a b c"])] + [(2, 0, "left alone")], "ep int, seg long, text string")
 
