@@ -54,25 +54,13 @@ def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
 
 
 def content_stems(x: Column | str) -> Column:
-    """Distinct 5-letter beginnings of words of 6 letters or more."""
-    w = F.regexp_extract_all(F.replace(F.lower(F.coalesce(col(x), F.lit(""))), F.lit("ё"), F.lit("е")), F.lit(r"\p{L}+"), F.lit(0))
-    return F.array_distinct(F.transform(F.filter(w, lambda t: F.length(t) >= 6), lambda t: F.substring(t, 1, 5)))
+    """Distinct 5-letter beginnings of words of 6 letters or more; one expression that matches these words only."""
+    return F.array_distinct(F.regexp_extract_all(F.replace(F.lower(F.coalesce(col(x), F.lit(""))), F.lit("ё"), F.lit("е")), F.lit(r"(\p{L}{5})\p{L}++"), F.lit(1)))
 
 
-def novel_ratio(source: Column, edited: Column) -> Column:
-    """Share of the edit's stems that the source lacks; 0 without stems. Takes stem arrays, as the next does."""
-    n = F.size(edited)
-    return F.when(n == 0, 0.0).otherwise(fixed(F.size(F.array_except(edited, source)) / n))
-
-
-def coverage(source: Column, edited: Column) -> Column:
-    n = F.size(source)
-    return F.when(n == 0, 1.0).otherwise(fixed(F.size(F.array_intersect(edited, source)) / n))
-
-
-def length_ratio(source: Column | str, edited: Column | str) -> Column:
-    n = F.length(F.trim(F.coalesce(col(source), F.lit(""))))
-    return F.when(n == 0, 0.0).otherwise(fixed(F.length(F.trim(F.coalesce(col(edited), F.lit("")))) / n))
+def said_length(x: Column | str) -> Column:
+    """Characters without the blanks at the ends; null for null."""
+    return F.length(F.trim(col(x)))
 
 
 FAITHFUL = {"max_novel": 0.08, "min_coverage": 0.5, "min_length": 0.3, "max_length": 1.1}
@@ -80,11 +68,25 @@ FAITHFUL = {"max_novel": 0.08, "min_coverage": 0.5, "min_length": 0.3, "max_leng
 
 def faithfulness(source: Column | str, edited: Column | str, limits: dict[str, float] | None = None) -> Column:
     """struct(novel, coverage, length, ok, reasons) of an edit against its source."""
+    return stem_faithfulness(content_stems(source), content_stems(edited), said_length(source), said_length(edited), limits)
+
+
+def stem_faithfulness(a: Column, b: Column, na: Column, nb: Column, limits: dict[str, float] | None = None) -> Column:
+    """The same of the stems and the lengths of both. Novel is the share of the edit's stems that the source lacks, 0 without stems; coverage the share of the source's that the edit has, 1 without. Each part is worked out once."""
     lim = FAITHFUL | (limits or {})
-    a, b = content_stems(source), content_stems(edited)
-    n, c, r = novel_ratio(a, b), coverage(a, b), length_ratio(source, edited)
-    reasons = F.array_compact(F.array(F.when(n > lim["max_novel"], "novel words"), F.when(c < lim["min_coverage"], "low coverage"), F.when(r < lim["min_length"], "too short"), F.when(r > lim["max_length"], "too long")))
-    return F.struct(n.alias("novel"), c.alias("coverage"), r.alias("length"), (F.size(reasons) == 0).alias("ok"), reasons.alias("reasons"))
+    length = F.when(F.coalesce(na, F.lit(0)) == 0, 0.0).otherwise(fixed(F.coalesce(nb, F.lit(0)) / na))
+
+    def shares(x: Column) -> Column:
+        n = F.when(x["b"] == 0, 0.0).otherwise(fixed((x["b"] - x["both"]) / x["b"]))
+        return F.struct(n.alias("novel"), F.when(x["a"] == 0, 1.0).otherwise(fixed(x["both"] / x["a"])).alias("coverage"), x["length"].alias("length"))
+
+    def told(x: Column) -> Column:
+        n, c, r = x["novel"], x["coverage"], x["length"]
+        reasons = F.array_compact(F.array(F.when(n > lim["max_novel"], "novel words"), F.when(c < lim["min_coverage"], "low coverage"), F.when(r < lim["min_length"], "too short"), F.when(r > lim["max_length"], "too long")))
+        return let(reasons, lambda y: F.struct(n.alias("novel"), c.alias("coverage"), r.alias("length"), (F.size(y) == 0).alias("ok"), y.alias("reasons")))
+
+    counts = let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.struct(F.size(s["a"]).alias("a"), F.size(s["b"]).alias("b"), F.size(F.array_intersect(s["b"], s["a"])).alias("both"), length.alias("length")))
+    return let(let(counts, shares), told)
 
 
 def trimmed(x: Column | str, most: int) -> Column:

@@ -76,16 +76,15 @@ def topic_jaccard(spark, d):
 _PAIRS = "p AS (SELECT doc_id, text AS source, lead(text) OVER w AS edited FROM documents WINDOW w AS (PARTITION BY lang, doc_id % 8 ORDER BY doc_id))"
 
 
-def doc_pairs(spark, d):
-    w = Window.partitionBy("lang", F.col("doc_id") % 8).orderBy("doc_id")
-    return V.table(spark, d, "documents").select("doc_id", F.col("text").alias("source"), F.lead("text").over(w).alias("edited")).filter("edited IS NOT NULL")
-
-
 @register("faithfulness", f"""WITH {_PAIRS}, s AS (SELECT doc_id, source, edited, {stems('source')} AS a, {stems('edited')} AS b FROM p WHERE edited IS NOT NULL),
 r AS (SELECT doc_id, CASE WHEN len(b) = 0 THEN 0.0 ELSE floor((len(b) - len(list_intersect(a, b))) / len(b) * 10000 + 0.5) / 10000 END AS novel, CASE WHEN len(a) = 0 THEN 1.0 ELSE floor(len(list_intersect(a, b)) / len(a) * 10000 + 0.5) / 10000 END AS coverage, CASE WHEN length(trim(source)) = 0 THEN 0.0 ELSE floor(length(trim(edited)) / length(trim(source)) * 10000 + 0.5) / 10000 END AS length FROM s)
 SELECT *, novel <= 0.08 AND coverage >= 0.5 AND length BETWEEN 0.3 AND 1.1 AS ok, list_filter([CASE WHEN novel > 0.08 THEN 'novel words' END, CASE WHEN coverage < 0.5 THEN 'low coverage' END, CASE WHEN length < 0.3 THEN 'too short' END, CASE WHEN length > 1.1 THEN 'too long' END], lambda x: x IS NOT NULL) AS reasons FROM r""")
 def faithfulness(spark, d):
-    return doc_pairs(spark, d).select("doc_id", T.faithfulness("source", "edited").alias("f")).select("doc_id", "f.*")
+    """Each document against the next of its like. The stems are taken where a text lies; these are dealt, the texts are not."""
+    w = Window.partitionBy("lang", F.col("doc_id") % 8).orderBy("doc_id")
+    x = V.table(spark, d, "documents").select("lang", "doc_id", T.content_stems("text").alias("a"), T.said_length("text").alias("na"))
+    p = x.select("doc_id", "a", "na", F.lead("a").over(w).alias("b"), F.lead("na").over(w).alias("nb")).filter("nb IS NOT NULL")
+    return p.select("doc_id", T.stem_faithfulness(F.col("a"), F.col("b"), F.col("na"), F.col("nb")).alias("f")).select("doc_id", "f.*")
 
 
 def _short(t, most):
