@@ -59,9 +59,10 @@ def proofread(segments: DataFrame, fixes: DataFrame) -> tuple[DataFrame, DataFra
 
 def article(edits: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
     """Of each chunk's tries (ep, chunk, try, source, edited) the one to keep: the first that is faithful, else that of the fewest novel words, marked as not faithful."""
-    x = edits.withColumn("f", T.faithfulness("source", "edited", limits))
-    best = F.min_by(F.struct("edited", "f", "try"), F.struct(~F.col("f.ok"), F.when(F.col("f.ok"), 0.0).otherwise(F.col("f.novel")), "try"))
-    return x.groupBy("ep", "chunk").agg(best.alias("b")).select("ep", "chunk", F.col("b.try").alias("try"), F.col("b.f.ok").alias("faithful"), F.col("b.f.novel").alias("novel"), F.col("b.edited").alias("edited"))
+    x = edits.select("ep", "chunk", "try", "edited", T.faithfulness("source", "edited", limits).alias("f"))
+    order = F.struct(~F.col("f.ok"), F.when(F.col("f.ok"), 0.0).otherwise(F.col("f.novel")), "try")
+    # a pick of each column, so that texts that nobody asks for are not dealt
+    return x.groupBy("ep", "chunk").agg(*[F.min_by(c, order).alias(name) for c, name in (("try", "try"), ("f.ok", "faithful"), ("f.novel", "novel"), ("edited", "edited"))])
 
 
 def corrected(segments: DataFrame, make: Callable[[], P.Provider], chars: int = 3500, template: str = "PROOFREAD\n{segments_json}") -> DataFrame:

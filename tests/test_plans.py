@@ -10,3 +10,9 @@ def plan(spark, name):
 
 def test_faithfulness_takes_the_stems_of_a_text_once(spark):
     assert plan(spark, "faithfulness").count("regexp_extract_all") == 1
+
+
+def test_article_takes_the_stems_of_source_and_edit_once_and_deals_no_text(spark):
+    text = plan(spark, "article_retry")
+    assert text.count("regexp_extract_all") == 2
+    assert "min_by(edited" not in text and "edited, edited" not in text
