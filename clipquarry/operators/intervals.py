@@ -7,7 +7,7 @@ nothing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -63,34 +63,39 @@ def largest_overlap(left: DataFrame, right: DataFrame, key: str, row: str, value
 
 
 def containing_or_nearest(points: DataFrame, spans: DataFrame, key: str, row: str, value: str) -> DataFrame:
-    """points (key, row, t) with ``value`` of the first span (by s, e, pos) that contains t, both ends included, else of the nearest one, the first on a tie; '' where the key has no span.
-
-    One window per key over points and spans in time order. The span that contains t and comes first is found by a running
-    structure only where spans don't nest; so containment goes through the bucketed join, and the rest through the window."""
-    width = 86_400
-    inside = overlap_join(points.select(key, row, F.col("t").alias("s"), F.col("t").alias("e")), spans.select(key, F.col("pos").alias("__pos"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col(value).alias("__v")), key, width, touch=True)
-    first = inside.groupBy(row).agg(F.min_by("__v", F.struct("s2", "e2", "__pos")).alias("__in"))
-    order = spans.select(key, F.row_number().over(Window.partitionBy(key).orderBy("s", "e", "pos")).alias("__r"), "s", "e", F.col(value).alias("__v"))
-    none = F.lit(None)
-    q = points.select(key, F.col("t"), F.lit(1).alias("__q"), F.col(row).alias("__row"), none.cast("struct<x:bigint,r:int,v:string>").alias("__a"))
-    ends = order.select(key, F.col("e").alias("t"), F.lit(0).alias("__q"), none.cast(points.schema[row].dataType).alias("__row"), F.struct(F.col("e").cast("long").alias("x"), (-F.col("__r")).alias("r"), F.col("__v").alias("v")).alias("__a"))
-    starts = order.select(key, F.col("s").alias("t"), F.lit(2).alias("__q"), none.cast(points.schema[row].dataType).alias("__row"), F.struct(F.col("s").cast("long").alias("x"), F.col("__r").cast("int").alias("r"), F.col("__v").alias("v")).alias("__a"))
-    back = Window.partitionBy(key).orderBy("t", "__q").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy("t", "__q").rowsBetween(0, Window.unboundedFollowing)
-    both = q.unionByName(ends).unionByName(starts)
-    seen = both.withColumn("__b", F.max(F.when(F.col("__q") == 0, F.col("__a"))).over(back)).withColumn("__f", F.min(F.when(F.col("__q") == 2, F.col("__a"))).over(ahead)).filter("__q = 1")
+    """points (key, row, t) with ``value`` of the first span (by s, e, pos) that contains t, both ends included, else of the nearest one, the first on a tie; '' where the key has no span. row need not be unique: points keep their columns and are joined with nothing.
+
+    Points and spans of a key lie in one order of time, looked at forwards and backwards. A span contains t first if it is the first to end at t or later, and so ends after all spans before it; only such spans are asked for that."""
+    own = spans.filter(F.col(key).isNotNull())
+    w = Window.partitionBy(key).orderBy("s", "e", "pos")
+    before = F.max(F.when(F.col("e") >= F.col("s"), F.col("e"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    order = own.select(key, F.row_number().over(w).alias("__r"), F.col("s").cast("long").alias("__s"), F.col("e").cast("long").alias("__e"), F.col(value).alias("__v"), ((F.col("e") >= F.col("s")) & (before.isNull() | (F.col("e") > before))).alias("__top"))
+    first = order.filter("__top").select(key, F.col("__e").alias("t"), F.lit(2).alias("__q"), F.struct(F.col("__r").alias("r"), F.col("__s").alias("s"), F.col("__v").alias("v")).alias("__i"))
+    ends = order.select(key, F.col("__e").alias("t"), F.lit(0).alias("__q"), F.struct(F.col("__e").alias("x"), (-F.col("__r")).alias("r"), F.col("__v").alias("v")).alias("__b"))
+    starts = order.select(key, F.col("__s").alias("t"), F.lit(2).alias("__q"), F.struct(F.col("__s").alias("x"), F.col("__r").alias("r"), F.col("__v").alias("v")).alias("__f"))
+    both = points.withColumns({"t": F.col("t").cast("long"), "__q": F.lit(1)})
+    for part in (first, ends, starts):
+        both = both.unionByName(part, allowMissingColumns=True)
+    back, ahead = onward(key), onward(key, forward=True)
+    seen = both.withColumns({"__b": F.max("__b").over(back), "__f": F.min("__f").over(ahead), "__i": F.min("__i").over(ahead)}).filter("__q = 1")
     gap_b = F.struct((F.col("t") - F.col("__b.x")).alias("g"), (-F.col("__b.r")).cast("int").alias("r"), F.col("__b.v").alias("v"))
     gap_f = F.struct((F.col("__f.x") - F.col("t")).alias("g"), F.col("__f.r").cast("int").alias("r"), F.col("__f.v").alias("v"))
-    near = seen.select(F.col("__row").alias(row), F.array_min(F.array_compact(F.array(F.when(F.col("__b").isNotNull(), gap_b), F.when(F.col("__f").isNotNull(), gap_f))))["v"].alias("__near"))
-    return points.join(first, row, "left").join(near, row, "left").withColumn(value, F.coalesce("__in", "__near", F.lit(""))).drop("__in", "__near")
+    near = F.array_min(F.array_compact(F.array(F.when(F.col("__b").isNotNull(), gap_b), F.when(F.col("__f").isNotNull(), gap_f))))["v"]
+    inside = F.when(F.col("__i.s") <= F.col("t"), F.col("__i.v"))
+    return seen.select(*points.columns, F.coalesce(inside, near, F.lit("")).alias(value))
+
+
+def onward(key: str, forward: bool = False) -> WindowSpec:
+    """All rows of a key up to this one in order of t and __q, or, with forward, from this one on: in falling order, as Spark counts a frame that ends with the partition anew for every row."""
+    order = [F.desc("t"), F.desc("__q")] if forward else ["t", "__q"]
+    return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def asof(points: DataFrame, anchors: DataFrame, key: str, row: str, forward: bool = False) -> DataFrame:
     """(row, anchor): the last anchor (key, a) at or before each point's t, or with forward the first at or after it; null without any."""
     q = points.select(key, "t", F.lit(1).alias("__q"), F.col(row), F.lit(None).cast("long").alias("a"))
     a = anchors.select(key, F.col("a").cast("long").alias("t"), F.lit(2 if forward else 0).alias("__q"), F.lit(None).cast(points.schema[row].dataType).alias(row), F.col("a").cast("long"))
-    w = Window.partitionBy(key).orderBy("t", "__q")
-    pick = F.min("a").over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.max("a").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    pick = (F.min if forward else F.max)("a").over(onward(key, forward))
     return q.unionByName(a).withColumn("anchor", pick).filter("__q = 1").select(row, "anchor")
 
 
@@ -100,9 +105,7 @@ def snapped(points: DataFrame, tiers: list[DataFrame], key: str, row: str, most:
     everything = points.select(key, "t", F.lit(1).alias("__q"), F.col(row), F.lit(-1).alias("__tier"), F.lit(None).cast("long").alias("a"))
     for k, tier in enumerate(tiers):
         everything = everything.unionByName(tier.select(key, F.col("a").cast("long").alias("t"), F.lit(2 if forward else 0).alias("__q"), F.lit(None).cast(kinds).alias(row), F.lit(k).alias("__tier"), F.col("a").cast("long")))
-    w = Window.partitionBy(key).orderBy("t", "__q")
-    w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.min if forward else F.max
+    pick, w = F.min if forward else F.max, onward(key, forward)
     near = everything.withColumns({f"__a{k}": pick(F.when(F.col("__tier") == k, F.col("a"))).over(w) for k in range(len(tiers))}).filter("__q = 1")
     within = [F.when((F.abs(F.col("t") - F.col(f"__a{k}")) <= most) & F.lit(most > 0), F.col(f"__a{k}")) for k in range(len(tiers))]
     return near.select(row, "t", F.coalesce(*within, F.col("t")).alias("snapped"))

@@ -16,3 +16,9 @@ def test_article_takes_the_stems_of_source_and_edit_once_and_deals_no_text(spark
     text = plan(spark, "article_retry")
     assert text.count("regexp_extract_all") == 2
     assert "min_by(edited" not in text and "edited, edited" not in text
+
+
+def test_no_window_looks_ahead_to_the_end_of_its_partition(spark):
+    """Spark counts such a frame anew for every row, so that an episode costs the square of its length."""
+    for name in ("speaker_turns", "speaker_at_nearest", "asof_anchor", "nearest_allowed", "snap_start", "snap_end", "snap_record_boundaries"):
+        assert "unboundedfollowing" not in plan(spark, name).replace("unboundedpreceding$(), unboundedfollowing", ""), name
