@@ -8,14 +8,12 @@ from __future__ import annotations
 import difflib
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import normalised, tokens
-from .intervals import overlap_join
+from ..functions.text import let, normalised, tokens
 
 MATCH = 0.75
 
@@ -69,13 +67,21 @@ def best_window(quote: str | None, said: list[str]) -> tuple[float, int, int]:
 
 
 def _bounds(needle: str, said: list[str], n: int) -> list[float]:
-    """Of every run of n words, the ratio that the counts of its characters allow: difflib's quick_ratio."""
-    letters = sorted(set(needle) - {" "})
-    per = np.array([[w.count(c) for c in letters] for w in said])
-    total = np.vstack([np.zeros((1, len(letters)), int), np.cumsum(per, axis=0)])
-    length = np.r_[0, np.cumsum([len(w) for w in said])]
-    both = np.minimum(total[n:] - total[:-n], [needle.count(c) for c in letters]).sum(axis=1) + n - 1
-    return (2.0 * both / (len(needle) + length[n:] - length[:-n] + n - 1)).tolist()
+    """Of every run of n words, the ratio that its longest common subsequence with the needle allows: the blocks that difflib matches are one. Found with the needle's places as the bits of a number."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(needle):
+        places[c] = places.get(c, 0) | 1 << i
+    size = len(needle)
+    full = (1 << size) - 1
+    out = []
+    for k in range(len(said) - n + 1):
+        run, open_ = " ".join(said[k : k + n]), full
+        for c in run:
+            hit = open_ & places.get(c, 0)
+            if hit:
+                open_ = ((open_ + hit) | (open_ - hit)) & full
+        out.append(2.0 * (size - open_.bit_count()) / (size + len(run)))
+    return out
 
 
 _FOUND = T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -87,16 +93,51 @@ def window_match(quote: pd.Series, said: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(round(r, 4), a, b) for r, a, b in rows], columns=["ratio", "first", "end"])
 
 
-def verified_quotes(moments: DataFrame, words: DataFrame, key: str, row: str, tolerance: int = 10_000, width: int = 60_000) -> DataFrame:
+def exact_window(quote: Column | str, said: Column) -> Column:
+    """What window_match finds where the quote's words are said in a row: 1 and the first such place; null elsewhere. said: an array of tokens."""
+
+    def found(x: Column) -> Column:
+        before = F.call_function("substring_index", x["said"], x["quote"], F.lit(1))
+        first = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+        return F.when((x["n"] > 0) & F.contains(x["said"], x["quote"]), F.struct(F.lit(1.0).alias("ratio"), first.cast("int").alias("first"), (first + x["n"]).cast("int").alias("end")))
+
+    pad = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    return let(tokens(quote), lambda q: let(F.struct(pad(said).alias("said"), pad(q).alias("quote"), F.size(q).alias("n")), found))
+
+
+def said_near(spans: DataFrame, words: DataFrame, key: str, row: str, around: int, width: int) -> DataFrame:
+    """spans (key, row, s, e) with w: the words (key, s2, e2, seg, pos, t) that share time with each, widened by ``around`` at both ends, in order of time: an array of struct(s2, seg, pos, t, e2), empty or null without any.
+
+    Words lie in buckets of time as arrays, each with the bucket after it, so a span no longer than a bucket is a filter over one array; only longer ones are put together from several."""
+    at = lambda c: F.floor(F.col(c) / width).cast("long")
+    w = words.filter("s2 IS NOT NULL AND e2 IS NOT NULL AND e2 >= s2").withColumn("__b", F.explode(F.sequence(at("s2") - 1, at("e2"))))
+    held = w.groupBy(key, "__b").agg(F.array_sort(F.collect_list(F.struct("s2", "seg", "pos", "t", "e2"))).alias("__w"))
+    own = spans.withColumns({"__s": F.col("s") - around, "__e": F.col("e") + around})
+    own = own.withColumn("__more", F.coalesce(at("__e") - at("__s") > 1, F.lit(False)))
+    meets = lambda y: (y["s2"] < F.col("__e")) & (F.col("__s") < y["e2"])
+    one = own.filter("NOT __more").withColumn("__b", at("__s")).join(held, [key, "__b"], "left")
+    one = one.withColumn("w", F.when(F.col("__e") >= F.col("__s"), F.filter("__w", meets)))
+    # of a word that several arrays have, the one of the first bucket that both share has it
+    first = lambda y: F.floor(F.greatest(y["s2"], F.col("__s")) / width).between(F.col("__b"), F.col("__b") + 1)
+    long = own.filter("__more")
+    parts = long.select(key, row, "__s", "__e", F.explode(F.sequence(at("__s"), at("__e"), F.lit(2).cast("long"))).alias("__b")).join(held, [key, "__b"])
+    parts = parts.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list(F.filter("__w", lambda y: meets(y) & first(y))))).alias("w"))
+    cols = [*spans.columns, "w"]
+    return one.select(cols).unionByName(long.join(parts, row, "left").select(cols))
+
+
+def verified_quotes(moments: DataFrame, words: DataFrame, key: str, row: str, tolerance: int = 10_000, width: int = 30_000) -> DataFrame:
     """moments (key, row, s, e, quote) with quote_match_ratio, and s and e widened to the words that match, if they do by 0.75. words: (key, seg, pos, word, s_ms, e_ms); those within tolerance of the span are looked at. No quote or no words: 0."""
-    near = moments.select(key, row, (F.col("s") - tolerance).alias("s"), (F.col("e") + tolerance).alias("e"))
     w = words.select(key, F.get(tokens("word"), F.lit(0)).alias("t"), F.col("s_ms").alias("s2"), F.col("e_ms").alias("e2"), "seg", "pos").filter("t is not null")
-    said = overlap_join(near, w, key, width).groupBy(row).agg(F.array_sort(F.collect_list(F.struct("s2", "seg", "pos", "t", "e2"))).alias("w"))
-    x = moments.join(said, row, "left").withColumn("m", window_match("quote", F.transform("w", lambda y: y["t"])))
+    x = said_near(moments, w, key, row, tolerance, width).withColumn("__said", F.transform("w", lambda y: y["t"]))
+    # what plain search finds comes to Python as nulls
+    x = x.withColumn("__x", exact_window("quote", F.col("__said")))
+    left = lambda c: F.when(F.col("__x").isNull(), F.col(c))
+    x = x.withColumn("m", F.coalesce("__x", window_match(left("quote"), left("__said"))))
     hit = (F.col("m.ratio") >= MATCH) & (F.col("m.end") > F.col("m.first"))
     s = F.when(hit, F.least("s", F.get("w", F.col("m.first"))["s2"])).otherwise(F.col("s"))
     e = F.when(hit, F.greatest("e", F.get("w", F.col("m.end") - 1)["e2"])).otherwise(F.col("e"))
-    return x.withColumn("quote_match_ratio", F.col("m.ratio")).withColumns({"s": s, "e": e}).drop("w", "m")
+    return x.withColumn("quote_match_ratio", F.col("m.ratio")).withColumns({"s": s, "e": e}).drop("w", "m", "__said", "__x")
 
 
 SWAPS = {"д": "т", "т": "д", "б": "п", "п": "б", "в": "ф", "ф": "в", "г": "к", "к": "г", "ж": "ш", "ш": "ж", "з": "с", "с": "з", "е": "э", "э": "е", "и": "ы", "ы": "и", "о": "а", "а": "о", "щ": "ш", "ъ": "ь", "ь": "ъ"}

@@ -155,6 +155,26 @@ def test_best_window_is_that_of_every_window_tried():
         assert matching.best_window(quote, said) == ((best, -k, n - k) if best else (0.0, 0, n))
 
 
+def test_words_near_a_span_are_those_of_the_plain_join(spark):
+    rng = random.Random(7)
+    words = [(k % 3, s, s + rng.randrange(0, 900), k // 7, k % 7, f"w{rng.randrange(9)}") for k in range(400) for s in [rng.randrange(0, 60_000)]]
+    spans = [(k % 4, k, s, s + rng.choice([-500, 0, 1, 900, 4000, 15_000, 40_000])) for k in range(120) for s in [rng.randrange(-2000, 62_000)]] + [(1, 120, None, 5)]
+    w = spark.createDataFrame(words, "ep int, s2 long, e2 long, seg long, pos long, t string")
+    x = matching.said_near(spark.createDataFrame(spans, "ep int, id long, s long, e long"), w, "ep", "id", 300, 2000)
+    got = {r["id"]: [tuple(y) for y in r["w"] or []] for r in x.collect()}
+    near = lambda s, e, y: s is not None and s - 300 <= e + 300 and y[1] < e + 300 and s - 300 < y[2]
+    assert got == {i: sorted((y[1], y[3], y[4], y[5], y[2]) for y in words if y[0] == ep and near(s, e, y)) for ep, i, s, e in spans}
+
+
+def test_plain_search_finds_what_the_window_finds(spark):
+    said = "on the day of the old mill and the old mill again".split()
+    quotes = ["The old mill!", "on", "again", "he old mill", "of the new mill", "", "the day of the old mill and the old mill again and on"]
+    x = spark.createDataFrame([(q, said) for q in quotes], "q string, said array<string>").select("q", matching.exact_window("q", F.col("said")).alias("x"))
+    got = {r["q"]: tuple(r["x"]) if r["x"] else None for r in x.collect()}
+    assert got == {q: w if w[0] == 1 else None for q in quotes for w in [matching.best_window(q, said)]}
+    assert got["The old mill!"] == (1.0, 4, 7) and got["he old mill"] is None
+
+
 def test_every_sentence_is_a_quote_and_whole(spark, tmp_path):
     same = "a quote is cut nowhere, and this one runs on for far more than sixty characters before it says "
     turns = [(1, 0, "user", f"Is it so? Yes, it is. {same}north. Then the end."), (1, 1, "assistant", f"First things first! {same}south."), (2, 0, "user", "Alone")]
