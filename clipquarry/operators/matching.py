@@ -115,7 +115,9 @@ def said_near(spans: DataFrame, words: DataFrame, key: str, row: str, around: in
     own = spans.withColumns({"__s": F.col("s") - around, "__e": F.col("e") + around})
     own = own.withColumn("__more", F.coalesce(at("__e") - at("__s") > 1, F.lit(False)))
     meets = lambda y: (y["s2"] < F.col("__e")) & (F.col("__s") < y["e2"])
-    one = own.filter("NOT __more").withColumn("__b", at("__s")).join(held, [key, "__b"], "left")
+    # a fixed number, as few moments ask for much of Python and would all be put into one task for their size
+    tasks = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = own.filter("NOT __more").withColumn("__b", at("__s")).repartition(tasks, key, "__b").join(held, [key, "__b"], "left")
     one = one.withColumn("w", F.when(F.col("__e") >= F.col("__s"), F.filter("__w", meets)))
     # of a word that several arrays have, the one of the first bucket that both share has it
     first = lambda y: F.floor(F.greatest(y["s2"], F.col("__s")) / width).between(F.col("__b"), F.col("__b") + 1)
@@ -123,7 +125,7 @@ def said_near(spans: DataFrame, words: DataFrame, key: str, row: str, around: in
     parts = long.select(key, row, "__s", "__e", F.explode(F.sequence(at("__s"), at("__e"), F.lit(2).cast("long"))).alias("__b")).join(held, [key, "__b"])
     parts = parts.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list(F.filter("__w", lambda y: meets(y) & first(y))))).alias("w"))
     cols = [*spans.columns, "w"]
-    return one.select(cols).unionByName(long.join(parts, row, "left").select(cols))
+    return one.select(cols).unionByName(long.repartition(tasks, row).join(parts, row, "left").select(cols))
 
 
 def verified_quotes(moments: DataFrame, words: DataFrame, key: str, row: str, tolerance: int = 10_000, width: int = 30_000) -> DataFrame:
