@@ -149,17 +149,24 @@ LATIN = {"d": "t", "t": "d", "b": "p", "p": "b", "v": "f", "f": "v", "g": "k", "
 def spelling_variants(term: Column | str, most: int = 24, swaps: dict[str, str] | None = None) -> Column:
     """One letter swapped for its like, from the last to the second, with the term's capital; distinct, at most ``most``."""
     t = F.col(term) if isinstance(term, str) else term
-    low = F.lower(F.coalesce(t, F.lit("")))
-    table = F.create_map(*[F.lit(x) for kv in (swaps or SWAPS | LATIN).items() for x in kv])
-    capital = F.substring(t, 1, 1) != F.substring(low, 1, 1)
+    table = swaps or SWAPS | LATIN
+    own, to = "".join(table), "".join(table.values())
 
-    def swap(i: Column) -> Column:
-        new = F.element_at(table, F.substring(low, i, F.lit(1)))
-        v = F.concat(F.substring(low, F.lit(1), i - 1), new, F.substring(low, i + 1, F.length(low)))
-        return F.when(capital, F.concat(F.upper(F.substring(v, 1, 1)), F.substring(v, F.lit(2), F.length(v)))).otherwise(v)
+    def swapped(x: Column) -> Column:
+        low, other, n = x["low"], x["other"], F.length(x["low"])
 
-    spots = F.when(F.length(low) >= 2, F.sequence(F.length(low), F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    return F.slice(F.array_distinct(F.array_compact(F.transform(spots, swap))), 1, most)
+        def swap(i: Column) -> Column:
+            new = F.substring(other, i, F.lit(1))
+            v = F.concat(F.substring(low, F.lit(1), i - 1), new, F.substring(low, i + 1, n))
+            v = F.when(x["capital"], let(v, lambda y: F.concat(F.upper(F.substring(y, 1, 1)), F.substring(y, F.lit(2), n)))).otherwise(v)
+            return F.when(new != F.substring(low, i, F.lit(1)), v)
+
+        spots = F.when(n >= 2, F.sequence(n, F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        return F.slice(F.array_distinct(F.array_compact(F.transform(spots, swap))), 1, most)
+
+    # every letter's like at once, worked out once for a term
+    parts = lambda low: F.struct(low.alias("low"), F.translate(low, own, to).alias("other"), (F.substring(t, 1, 1) != F.substring(low, 1, 1)).alias("capital"))
+    return let(let(F.lower(F.coalesce(t, F.lit(""))), parts), swapped)
 
 
 def verified_terms(suspects: DataFrame, lookup: DataFrame, unknown: int = 1, confident: int = 5) -> DataFrame:

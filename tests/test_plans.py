@@ -1,6 +1,9 @@
 """What a query's plan does once, and what it does not do at all."""
 
+import random
+
 from clipquarry import catalog
+from clipquarry.operators import folds
 from tests.oracle import SF
 
 
@@ -22,3 +25,7 @@ def test_no_window_looks_ahead_to_the_end_of_its_partition(spark):
     """Spark counts such a frame anew for every row, so that an episode costs the square of its length."""
     for name in ("speaker_turns", "speaker_at_nearest", "asof_anchor", "nearest_allowed", "snap_start", "snap_end", "snap_record_boundaries"):
         assert "unboundedfollowing" not in plan(spark, name).replace("unboundedpreceding$(), unboundedfollowing", ""), name
+
+
+def test_variants_are_worked_out_once(spark):
+    assert plan(spark, "spelling_variants").count("array_distinct(") == 1
