@@ -138,7 +138,8 @@ f AS (SELECT doc_id, k, 1 AS line, length(word) AS n FROM w WHERE k = 1 UNION AL
 SELECT doc_id, max(line)::BIGINT AS lines, max(n)::BIGINT AS longest FROM f GROUP BY doc_id""")
 def wrapped_lines(spark, d):
     """Every text wrapped where it lies; nothing is shuffled."""
-    lines = V.table(spark, d, "documents").select("doc_id", O.wrapped_text("text").alias("lines")).filter("size(lines) > 0")
+    said = V.table(spark, d, "documents").filter(F.col("text").rlike(f"[^{O.BLANK}]"))
+    lines = said.select("doc_id", O.wrapped_text("text").alias("lines"))
     return lines.select("doc_id", F.size("lines").cast("long").alias("lines"), F.array_max(F.transform("lines", lambda x: F.length(x).cast("long"))).alias("longest"))
 
 

@@ -29,3 +29,11 @@ def test_no_window_looks_ahead_to_the_end_of_its_partition(spark):
 
 def test_variants_are_worked_out_once(spark):
     assert plan(spark, "spelling_variants").count("array_distinct(") == 1
+
+
+def test_lines_are_wrapped_without_python_as_the_kernel_wraps(spark):
+    assert not any(x in plan(spark, "wrapped_lines") for x in ("Python", "Arrow"))
+    rng = random.Random(5)
+    texts = ["", " \n\t", "x" * 43, "x" * 42, "a " + "y" * 41 + " b", "\U0001f600" * 41 + " \U0001f600", *["".join(rng.choice("abcdef  \n \x1c.\U0001f600") * rng.choice([1, 1, 1, 15]) for _ in range(rng.randrange(200))) for _ in range(60)]]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", folds.wrapped_text("t").alias("l")).collect()
+    assert {r["k"]: r["l"] for r in got} == {k: folds.wrapped(t) for k, t in enumerate(texts)}
