@@ -63,10 +63,9 @@ def subtitle_words(segments: DataFrame, key: str) -> DataFrame:
     x = segments.select(key, "seg", "s_ms", F.greatest("e_ms", F.col("s_ms") + 10).alias("e_ms"), own.alias("t"), F.coalesce("words", F.array().cast(WORDS)).alias("w")).filter("size(t) > 0")
     same = (F.size("t") == F.size("w")) & F.forall(F.zip_with("t", "w", lambda a, b: T.bare_word(a) == T.bare_word(b["word"])), lambda ok: F.coalesce(ok, F.lit(False)))
     x = x.withColumn("real", same)
-    upto = F.aggregate(F.transform("t", lambda p: F.length(p)), F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
-    x = x.withColumn("upto", upto)
-    share = lambda i: F.col("s_ms") + (F.col("e_ms") - F.col("s_ms")) * F.get("upto", i) / F.element_at("upto", -1)
+    x = x.withColumn("upto", letters_upto(F.col("t")))
     after = lambda i: F.coalesce(F.get("w", i + 1)["s_ms"], F.get("w", i)["e_ms"])
+    share = lambda i: shared(F.col("s_ms"), F.col("e_ms"), F.col("upto"), i)
 
     def timed(p: Column, i: Column) -> Column:
         s = F.when(F.col("real"), F.get("w", i)["s_ms"].cast("double")).otherwise(share(i))
@@ -77,6 +76,28 @@ def subtitle_words(segments: DataFrame, key: str) -> DataFrame:
     return out.select(key, "seg", F.col("pos").cast("long").alias("pos"), "x.*")
 
 
+def letters_upto(t: Column) -> Column:
+    """Of an array of words, the letters before each, and all of them at the end."""
+    return F.aggregate(F.transform(t, lambda p: F.length(p)), F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+
+
+def shared(s: Column, e: Column, upto: Column, i: Column) -> Column:
+    """The time at which word i of a span begins if the span goes by letters."""
+    return s + (e - s) * F.get(upto, i) / F.element_at(upto, -1)
+
+
+def words_by_letters(text: Column, s: Column, e: Column) -> Column:
+    """An array of struct(s_ms, e_ms, word): the words of a text whose own times are not known, as subtitle_words has them."""
+    own = F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
+    end = F.greatest(e, s + 10)
+
+    def timed(p: Column, i: Column, upto: Column) -> Column:
+        a, b = shared(s, end, upto, i), shared(s, end, upto, i + 1)
+        return F.struct(rounded(a).alias("s_ms"), rounded(F.greatest(a + 10, b)).alias("e_ms"), p.alias("word"))
+
+    return T.let(own, lambda t: T.let(letters_upto(t), lambda upto: F.transform(t, lambda p, i: timed(p, i, upto))))
+
+
 def sample_times(s: Column, e: Column, n: int) -> Column:
     """n times evenly spread over the inner 70 % of a span, its middle for one; none without a length."""
     length = (e - s).cast("double")

@@ -39,10 +39,18 @@ def srt(cues: DataFrame, key: str, order: list[str]) -> DataFrame:
     return cues.withColumn("__n", n).groupBy(key).agg(joined(["__n"], line, "\n").alias("srt"))
 
 
+def karaoke_tag(w: Column) -> Column:
+    return F.concat(F.lit("{\\kf"), F.floor((w["e_ms"] - w["s_ms"]) / 10).cast("string"), F.lit("}"), w["word"])
+
+
+def dialogue(s: Column, e: Column, tags: Column, fade: Column | None = None, margin: int = 0) -> Column:
+    return F.concat(F.lit("Dialogue: 0,"), ass_time(s), F.lit(","), ass_time(e), F.lit(f",Default,,0,0,{margin},,"), fade if fade is not None else F.lit(""), tags)
+
+
 def ass(cues: DataFrame, key: str, order: list[str], fade: Column | None = None, margin: int = 0) -> DataFrame:
     """(key, ass): header, then a dialogue line for each cue (s_ms, e_ms, words: array of s_ms, e_ms, word) with karaoke tags in whole centiseconds."""
-    tags = F.array_join(F.transform("words", lambda w: F.concat(F.lit("{\\kf"), F.floor((w["e_ms"] - w["s_ms"]) / 10).cast("string"), F.lit("}"), w["word"])), " ")
-    line = F.concat(F.lit("Dialogue: 0,"), ass_time("s_ms"), F.lit(","), ass_time("e_ms"), F.lit(f",Default,,0,0,{margin},,"), fade if fade is not None else F.lit(""), tags)
+    tags = F.array_join(F.transform("words", karaoke_tag), " ")
+    line = dialogue(F.col("s_ms"), F.col("e_ms"), tags, fade, margin)
     return cues.groupBy(key).agg(F.concat(F.lit(ASS_HEADER), joined(order, line, "\n"), F.lit("\n")).alias("ass"))
 
 
@@ -104,16 +112,17 @@ def write_texts(df: DataFrame, path: str, text: str, key: str) -> None:
 
 
 def reel_assets(cues: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """(key, srt, ass): the cues of a clip merged, split and timed, as both kinds of subtitles; a clip without cues has none."""
+    """(key, srt, ass): the cues of a clip merged, split and timed, as both kinds of subtitles; a clip without cues has none. A clip's cues are one row from the first to the last step, so they are dealt once."""
     from ..operators import folds as O
     from ..operators import records as R
 
-    ready = O.per_key(cues.select(key, *order, "s_ms", "e_ms", "text"), key, order, O.subtitles, "s_ms long, e_ms long, text string")
-    ready = ready.withColumn("seg", F.row_number().over(Window.partitionBy(key).orderBy("s_ms", "e_ms")).cast("long"))
-    words = R.subtitle_words(ready.withColumn("words", F.lit(None).cast(R.WORDS)), key)
-    lists = words.groupBy(key, "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s_ms", "e_ms", "word"))), lambda x: F.struct(x["s_ms"].alias("s_ms"), x["e_ms"].alias("e_ms"), x["word"].alias("word"))).alias("words"))
-    timed = ready.join(lists, [key, "seg"])
-    return srt(ready, key, ["seg"]).join(ass(timed, key, ["seg"]), key)
+    listed = cues.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "s_ms", "e_ms", "text"))).alias("cues"))
+    ready = O.per_row(listed, "cues", O.subtitles, "s_ms long, e_ms long, text string")
+    ready = ready.filter("size(cues) > 0").withColumn("cues", F.array_sort("cues"))
+    number = F.transform("cues", lambda c, i: F.concat((i + 1).cast("string"), F.lit("\n"), srt_time(c["s_ms"]), F.lit(" --> "), srt_time(c["e_ms"]), F.lit("\n"), c["text"], F.lit("\n")))
+    tags = lambda c: F.array_join(F.transform(R.words_by_letters(c["text"], c["s_ms"], c["e_ms"]), karaoke_tag), " ")
+    lines = F.transform("cues", lambda c: dialogue(c["s_ms"], c["e_ms"], tags(c)))
+    return ready.select(key, F.array_join(number, "\n").alias("srt"), F.concat(F.lit(ASS_HEADER), F.array_join(lines, "\n"), F.lit("\n")).alias("ass"))
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

@@ -2,8 +2,12 @@
 
 import random
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from clipquarry import catalog
-from clipquarry.operators import folds
+from clipquarry.operators import folds, records
+from clipquarry.sources import sinks
 from tests.oracle import SF
 
 
@@ -37,3 +41,15 @@ def test_lines_are_wrapped_without_python_as_the_kernel_wraps(spark):
     texts = ["", " \n\t", "x" * 43, "x" * 42, "a " + "y" * 41 + " b", "\U0001f600" * 41 + " \U0001f600", *["".join(rng.choice("abcdef  \n \x1c.\U0001f600") * rng.choice([1, 1, 1, 15]) for _ in range(rng.randrange(200))) for _ in range(60)]]
     got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", folds.wrapped_text("t").alias("l")).collect()
     assert {r["k"]: r["l"] for r in got} == {k: folds.wrapped(t) for k, t in enumerate(texts)}
+
+
+def test_reel_assets_deal_a_clip_once_and_are_those_of_its_parts(spark):
+    df = catalog.queries()["reel_assets"](spark, SF)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in text and text.count("Join") == 1 and text.count("Aggregate") == 1
+    cues = spark.createDataFrame([("a", 0, 0, 900, "Hi."), ("a", 1, 950, 2600, "It is, as they say, a long way to the old mill on the hill and back to the house by the sea."), ("b", 0, 0, 5, "One")], "clip string, pos long, s_ms long, e_ms long, text string")
+    ready = folds.per_key(cues, "clip", ["pos"], folds.subtitles, "s_ms long, e_ms long, text string").withColumn("seg", F.row_number().over(Window.partitionBy("clip").orderBy("s_ms", "e_ms")).cast("long"))
+    words = records.subtitle_words(ready.withColumn("words", F.lit(None).cast(records.WORDS)), "clip").groupBy("clip", "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s_ms", "e_ms", "word"))), lambda x: F.struct(x["s_ms"].alias("s_ms"), x["e_ms"].alias("e_ms"), x["word"].alias("word"))).alias("words"))
+    want = sinks.srt(ready, "clip", ["seg"]).join(sinks.ass(ready.join(words, ["clip", "seg"]), "clip", ["seg"]), "clip").collect()
+    got = sinks.reel_assets(cues, "clip", ["pos"]).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 2
